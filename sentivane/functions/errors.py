@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sentivane.functions.let import let
+from sentivane.functions.search import found_any, head
 from sentivane.vocab import (
     ERROR_DEFAULT_4,
     ERROR_DEFAULT_5,
@@ -26,16 +28,21 @@ def group_pattern(patterns: list[str], clown_token: bool = False) -> str:
 def _first_group(low: Column, groups, default: str, clown_token: bool, start=None) -> Column:
     expr = start
     for name, patterns in groups:
-        hit = low.rlike("(?d)" + group_pattern(patterns, clown_token))
+        words = [head(p) for p in patterns] + ([CLOWN_TOKEN] if clown_token else [])
+        hit = found_any(low, words) & low.rlike("(?d)" + group_pattern(patterns, clown_token))
         expr = F.when(hit, name) if expr is None else expr.when(hit, name)
     return expr.otherwise(default)
 
 
 def error_category_4(text: Column, clown_token: bool = False) -> Column:
-    return _first_group(F.lower(text), ERROR_GROUPS_4, ERROR_DEFAULT_4, clown_token)
+    return let(F.lower(text), lambda low: _first_group(
+        low, ERROR_GROUPS_4, ERROR_DEFAULT_4, clown_token))
 
 
 def error_category_5(text: Column, clown_token: bool = False) -> Column:
     """Long posts first, whatever they say; then the five groups in order."""
-    start = F.when(F.length(text) > LONG_POST, ERROR_LONG_5)
-    return _first_group(F.lower(text), ERROR_GROUPS_5, ERROR_DEFAULT_5, clown_token, start)
+    def rule(x: Column) -> Column:
+        start = F.when(F.length(x["text"]) > LONG_POST, ERROR_LONG_5)
+        return _first_group(x["low"], ERROR_GROUPS_5, ERROR_DEFAULT_5, clown_token, start)
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), rule)

@@ -7,11 +7,15 @@ java.util.regex gives what a Python regex would on any input.
 from __future__ import annotations
 
 import html
+import operator
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentivane.functions.let import let
 from sentivane.vocab import COMMON_ENTITIES, DELETED, EMOJI_TOKENS, SPACE, SPACE_CHARS
 
 URL = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
@@ -22,6 +26,10 @@ CODE = r"(?d)`{1,3}(.*?)`{1,3}"
 HEADER = rf"(?md)^#+[{SPACE}]*"
 QUOTE = rf"(?md)^>[{SPACE}]*"
 NON_ASCII = r"[^\x00-\x7F]+"
+# Every run of white space but a lone blank.
+RUN = rf"[\t-\r\x1c-\x1f\x85\xa0\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}" \
+      rf"\x{{205f}}\x{{3000}}][{SPACE}]*|[{SPACE}]{{2,}}"
+ASCII_RUN = r"[\t-\r\x1c-\x1f][\t-\r\x1c-\x20]*|[\t-\r\x1c-\x20]{2,}"
 # An entity outside the common ones: the text then goes through the full table.
 RARE_ENTITY = r"&(?!(?:lt|gt|quot|apos|nbsp|amp|#39|#x27);)[#A-Za-z]"
 
@@ -55,7 +63,7 @@ def unescape_html(c: Column, full: bool = True) -> Column:
 
 
 def drop_deleted(c: Column) -> Column:
-    return F.when(trim_ws(c).isin(DELETED), F.lit("")).otherwise(c)
+    return let(c, lambda x: F.when(trim_ws(x).isin(DELETED), F.lit("")).otherwise(x))
 
 
 def strip_urls(c: Column) -> Column:
@@ -97,7 +105,16 @@ def strip_non_ascii(c: Column) -> Column:
 
 
 def squash_ws(c: Column) -> Column:
-    return trim_ws(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return trim_ws(F.regexp_replace(c, RUN, " "))
+
+
+def _only_if(c: Column, marks: list[str], step: Callable[[Column], Column]) -> Column:
+    """`step` on the texts holding one of the marks: a byte search spares most of them a regex."""
+    def guarded(x: Column) -> Column:
+        found = reduce(operator.or_, [F.contains(x, F.lit(m)) for m in marks])
+        return F.when(found, step(x)).otherwise(x)
+
+    return let(c, guarded)
 
 
 def clean_text(
@@ -111,25 +128,49 @@ def clean_text(
     By default URLs go before markdown links, so a link to a URL loses its closing bracket with
     the URL; `links_first` swaps the two and keeps the link text whole.
     """
-    steps = [strip_md_links, strip_urls] if links_first else [strip_urls, strip_md_links]
-    steps += [strip_bold, strip_italic, strip_code, strip_headers, strip_quotes]
-    if preserve_financial_emojis:
-        steps.append(emoji_tokens)
-    steps += [strip_non_ascii, squash_ws]
+    urls = (["http", "www."], strip_urls)
+    links = (["]("], strip_md_links)
+    steps = [*([links, urls] if links_first else [urls, links]),
+             (["**", "__"], strip_bold), (["*", "_"], strip_italic), (["`"], strip_code),
+             (["#"], strip_headers), ([">"], strip_quotes)]
     c = drop_deleted(unescape_html(F.coalesce(c, F.lit("")), full_entities))
-    for step in steps:
-        c = step(c)
-    return c
+    for marks, step in steps:
+        c = _only_if(c, marks, step)
+
+    def to_ascii(x: Column) -> Column:
+        return strip_non_ascii(emoji_tokens(x) if preserve_financial_emojis else x)
+
+    # more bytes than characters: not plain ASCII
+    c = let(c, lambda x: F.when(F.octet_length(x) > F.length(x), to_ascii(x)).otherwise(x))
+    return trim_ws(F.regexp_replace(c, ASCII_RUN, " "))
 
 
 def combine_clean(title: Column, body: Column) -> Column:
-    """Join a cleaned title and a cleaned body."""
-    return (
-        F.when((title != "") & (body != "") & ~F.startswith(body, title),
-               F.concat_ws(" -- ", title, body))
-        .when(body != "", body)
-        .otherwise(title)
-    )
+    """Join a cleaned title and a cleaned body.
+
+    Bound with `let`, so that each long cleaning expression is evaluated once however often the
+    rule below mentions it.
+    """
+    def rule(x: Column) -> Column:
+        t, b = x["t"], x["b"]
+        return (
+            F.when((t != "") & (b != "") & ~F.startswith(b, t), F.concat_ws(" -- ", t, b))
+            .when(b != "", b)
+            .otherwise(t)
+        )
+
+    return let(F.struct(title.alias("t"), body.alias("b")), rule)
+
+
+def keep_long(df: DataFrame, text: Column, minimum: int, name: str = "text") -> DataFrame:
+    """Adds `text` as a column and keeps the rows where it has at least `minimum` characters.
+
+    A plain filter on a computed column is pushed below its projection and computes the text a
+    second time; exploding a one-element array that may be emptied computes it once.
+    """
+    kept = F.filter(F.array(text), lambda t: F.length(t) >= minimum)
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(kept).alias(name))
 
 
 def char_length(c: Column) -> Column:
@@ -141,6 +182,12 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
 
 
+def clean_word_count(c: Column) -> Column:
+    """As `word_count`, for cleaned text: its words stand one blank apart."""
+    blanks = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    return F.when(c == "", 0).otherwise(blanks + 1)
+
+
 def preview(c: Column, length: int = 300) -> Column:
     """The text itself, or its first `length` characters and three dots, for a report row."""
     return F.when(F.length(c) > length,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sentivane.functions.let import let
+from sentivane.functions.search import found_any, group_heads
 from sentivane.vocab import (
     COMPANY_OF,
     COMPANY_PATTERNS,
@@ -44,14 +46,18 @@ def extract_capitals(text: Column, stop_words: Sequence[str] = DEFAULT_STOP) ->
 
 
 def extract_companies(text: Column) -> Column:
-    """(ticker, company) of every name pattern found, in pattern order."""
-    low = F.lower(text)
-    hits = [
-        F.when(low.rlike(pattern),
-               F.struct(F.lit(ticker).alias("ticker"), F.lit(company).alias("company")))
-        for pattern, ticker, company in COMPANY_PATTERNS
-    ]
-    return F.array_compact(F.array(*hits))
+    """(ticker, company) of every name pattern found, in pattern order.
+
+    A byte search for the words of a pattern goes before the pattern itself.
+    """
+    def hits(low: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(found_any(low, group_heads(pattern)) & low.rlike(pattern),
+                   F.struct(F.lit(ticker).alias("ticker"), F.lit(company).alias("company")))
+            for pattern, ticker, company in COMPANY_PATTERNS
+        ]))
+
+    return let(F.lower(text), hits)
 
 
 def ticker_company(ticker: Column) -> Column:
@@ -78,9 +84,7 @@ def detect_tickers(text: Column, stop_words: Sequence[str] = DEFAULT_STOP) -> Co
 
     Fields: ticker, company, all_tickers (sorted, distinct), confidence, method.
     """
-    cash = extract_cashtags(text, stop_words)
-    names = extract_companies(text)
-    caps = extract_capitals(text, stop_words)
+    none = F.lit(None).cast("string")
 
     def found(ticker, company, symbols, confidence, method):
         return F.struct(
@@ -91,18 +95,25 @@ def detect_tickers(text: Column, stop_words: Sequence[str] = DEFAULT_STOP) -> Co
             F.lit(method).alias("method"),
         )
 
-    none = F.lit(None).cast("string")
-    by_cash = most_frequent(cash)
-    by_caps = most_frequent(caps)
-    first = F.try_element_at(names, F.lit(1))
-    return (
-        F.when(F.size(cash) > 0,
-               found(by_cash, ticker_company(by_cash), cash, F.lit(0.95), "cashtag"))
-        .when(F.size(names) > 0,
-              found(first["ticker"], first["company"],
-                    F.transform(names, lambda x: x["ticker"]), F.lit(0.85), "company_name"))
-        .when(F.size(caps) > 0,
-              found(by_caps, ticker_company(by_caps), caps,
-                    F.when(_known(by_caps), 0.70).otherwise(0.50), "capital_symbol"))
-        .otherwise(found(none, none, F.array().cast("array<string>"), F.lit(0.0), "none"))
-    )
+    def by_cashtag(cash):
+        return let(most_frequent(cash), lambda top: found(
+            top, ticker_company(top), cash, F.lit(0.95), "cashtag"))
+
+    def by_name(names):
+        first = F.get(names, 0)
+        return found(first["ticker"], first["company"],
+                     F.transform(names, lambda x: x["ticker"]), F.lit(0.85), "company_name")
+
+    def by_capitals(caps):
+        return let(most_frequent(caps), lambda top: found(
+            top, ticker_company(top), caps,
+            F.when(_known(top), 0.70).otherwise(0.50), "capital_symbol"))
+
+    nothing = found(none, none, F.array().cast("array<string>"), F.lit(0.0), "none")
+    # each level is bound once and only worked out when the level before it found nothing
+    level3 = let(extract_capitals(text, stop_words), lambda caps: F.when(
+        F.size(caps) > 0, by_capitals(caps)).otherwise(nothing))
+    level2 = let(extract_companies(text), lambda names: F.when(
+        F.size(names) > 0, by_name(names)).otherwise(level3))
+    return let(extract_cashtags(text, stop_words), lambda cash: F.when(
+        F.size(cash) > 0, by_cashtag(cash)).otherwise(level2))

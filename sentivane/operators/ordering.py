@@ -98,22 +98,29 @@ def rank_cuts(
             expr = expr | ((F.col("before") <= k) & (F.lit(k) < F.col("before") + F.col("n")))
         return expr
 
-    hit = cells.filter(holds_any(ranks)).collect()  # at most one row per rank
-    cuts: dict[int, tuple] = {}
+    # at most one cell per rank comes back
+    hit = sorted(cells.filter(holds_any(ranks)).collect(), key=lambda c: c["before"])
+    inside: dict[int, int] = {}  # rank -> position among the rows of the hit cells
+    start = 0
     for cell in hit:
-        here = [k for k in ranks if cell["before"] <= k < cell["before"] + cell["n"]]
-        rows = df
+        for k in ranks:
+            if cell["before"] <= k < cell["before"] + cell["n"]:
+                inside[k] = start + k - cell["before"]
+        start += cell["n"]
+    same_cell = F.lit(False)
+    for cell in hit:
+        here = F.lit(True)
         for c in coarse:
-            rows = rows.filter(F.col(c).eqNullSafe(F.lit(cell[c])))
-        order = running_totals(
-            rows.groupBy(*fine).agg(F.count(F.lit(1)).alias("n")), fine
-        )
-        found = order.filter(holds_any([k - cell["before"] for k in here])).collect()
-        for row in found:
-            for k in here:
-                if row["before"] <= k - cell["before"] < row["before"] + row["n"]:
-                    cuts[k] = tuple(row[c] for c in fine)
-    return cuts
+            here = here & F.col(c).eqNullSafe(F.lit(cell[c]))
+        same_cell = same_cell | here
+    order = [*coarse, *[c for c in fine if c not in coarse]]
+    rows = df.filter(same_cell).groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
+    found = running_totals(rows, order).filter(holds_any(inside.values())).collect()
+    return {
+        k: tuple(row[c] for c in fine)
+        for k, spot in inside.items() for row in found
+        if row["before"] <= spot < row["before"] + row["n"]
+    }
 
 
 def exact_floor(n: int, share: float) -> int:

@@ -93,7 +93,9 @@ def text_lengths(spark, sf):
 @query("min_length", ctes("clean_posts") +
        "SELECT post_id, text FROM clean_posts WHERE length(text) >= 15")
 def min_length(spark, sf):
-    return I.clean_posts(spark, sf).filter(F.length("text") >= 15).select("post_id", "text")
+    p = I.text_posts(spark, sf)
+    text = X.combine_clean(X.clean_text(F.col("title")), X.clean_text(F.col("body")))
+    return X.keep_long(p.select("post_id", "title", "body"), text, 15).select("post_id", "text")
 
 
 @query("truncate_text", ctes("clean_posts") + "SELECT post_id, CASE WHEN length(text) > 300 THEN "
