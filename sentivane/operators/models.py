@@ -18,6 +18,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentivane.functions.let import let
 from sentivane.operators.metrics import binary_metrics
 from sentivane.operators.ordering import exact_floor, rank_cuts
 from sentivane.operators.quality import require_columns
@@ -31,13 +32,15 @@ C_GRID = [0.01, 0.1, 1.0, 10.0]
 
 def terms(text: Column) -> Column:
     """Lower-case words of two or more characters, then their neighbouring pairs."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    n = F.size(words)
-    pairs = F.when(n > 1, F.zip_with(
-        F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    def with_pairs(words: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
+            F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        )
+        return F.concat(words, pairs)
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), with_pairs)
 
 
 def term_counts(docs: DataFrame, terms_col: str = "terms") -> DataFrame:
@@ -110,21 +113,24 @@ class TextClassifier:
         self.size, self.max_iter = size, max_iter
 
     def fit(self, train: DataFrame, text: str = "text", label: str = "sentiment_label"):
-        self.text = text
-        labels = [r[0] for r in train.filter(F.col(label).isNotNull()).groupBy(label).count()
-                  .select(label).limit(1000).collect()]
-        self.labels = sorted(labels)
+        train = train.filter(F.col(label).isNotNull())
+        tfidf = TfIdf(self.size).fit(train, text)
+        return self.fit_features(tfidf, tfidf.transform(train, text), text, label)
+
+    def fit_features(self, tfidf: TfIdf, rows: DataFrame, text: str = "text",
+                     label: str = "sentiment_label"):
+        """As `fit`, on rows that already carry the `features` of `tfidf`."""
+        self.text, self.tfidf = text, tfidf
+        # class names: one row per class
+        self.labels = sorted(r[0] for r in rows.groupBy(label).count().limit(1000).collect())
         if len(self.labels) < 2:
             raise ValueError("training needs at least two classes")
-        self.tfidf = TfIdf(self.size).fit(train, text)
         index = F.array_position(F.lit(self.labels), F.col(label)) - 1
-        rows = self.tfidf.transform(
-            train.filter(F.col(label).isNotNull()), text
-        ).select("features", index.cast("double").alias("label"), F.col(text)).persist()
+        rows = rows.select(
+            "features", index.cast("double").alias("label"), F.col(text)).persist()
         try:
-            n = rows.count()
             fit = {"logreg": self._fit_logreg, "svm": self._fit_svm, "nb": self._fit_nb}
-            self.model = fit[self.kind](rows, n)
+            self.model = fit[self.kind](rows, rows.count())
         finally:
             rows.unpersist()
         return self
@@ -158,7 +164,10 @@ class TextClassifier:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds `pred` and `probabilities` (in order of `self.labels`)."""
-        out = self.tfidf.transform(df, self.text)
+        return self.score(self.tfidf.transform(df, self.text))
+
+    def score(self, out: DataFrame) -> DataFrame:
+        """As `transform`, on rows that already carry the features."""
         if self.kind == "svm":
             sums = [F.lit(0.0)] * len(self.labels)
             for j, (i, svm, sigmoid) in enumerate(self.model):
@@ -198,11 +207,16 @@ def grid_search(train: DataFrame, val: DataFrame, kind: str = "logreg",
     from sentivane.operators.metrics import classification_metrics
 
     spark = train.sparkSession
+    tfidf = TfIdf(kw.get("size", MAX_FEATURES)).fit(train)
+    seen = tfidf.transform(train.filter(F.col(label).isNotNull())).persist()
+    held = tfidf.transform(val).select(label, "features").persist()
     rows = []
     for c in grid:
-        model = TextClassifier(kind, c=c, **kw).fit(train, label=label)
-        pred = model.transform(val).select(F.col(label).alias("truth"), "pred")
+        model = TextClassifier(kind, c=c, **kw).fit_features(tfidf, seen, label=label)
+        pred = model.score(held).select(F.col(label).alias("truth"), "pred")
         rows.append((float(c), classification_metrics(pred).first()["macro_f1"]))
+    seen.unpersist()
+    held.unpersist()
     rows.sort(key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "c double, macro_f1 double")
 
@@ -243,8 +257,8 @@ class StudentRegressor:
 class StudentClassifier(TextClassifier):
     """Logistic regression of the teacher's majority label."""
 
-    def fit(self, weak: DataFrame, text: str = "text", label: str | None = None):
-        return super().fit(weak, text, label or teacher_guard(weak, "classification"))
+    def fit(self, train: DataFrame, text: str = "text", label: str | None = None):
+        return super().fit(train, text, label or teacher_guard(train, "classification"))
 
 
 DIRECTION_MODELS = {

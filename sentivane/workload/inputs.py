@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentivane.functions import text as X
 from sentivane.operators import market
+from sentivane.session import spread
 from sentivane.vocab import COMMON_ENTITIES, DELETED, EMOJI_TOKENS, SPACE, SPACE_CHARS
 
 MODELS = ["model_0", "model_1", "model_2"]
@@ -132,7 +133,7 @@ SUFFIXES = {
 
 def text_posts(spark, sf) -> DataFrame:
     """Documents: first line as title, rest as body, a suffix that depends on the text alone."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     kind = F.length("text") % 10
     suffix = F.lit("")
     for k, s in SUFFIXES.items():
@@ -149,14 +150,19 @@ def text_posts(spark, sf) -> DataFrame:
     )
 
 
-def clean_posts(spark, sf) -> DataFrame:
-    """(post_id, subreddit, source, text): cleaned title and body joined."""
+def clean_posts(spark, sf, labelled: bool = False) -> DataFrame:
+    """(post_id, subreddit, source, text): cleaned title and body joined.
+
+    With `labelled` only the posts that have a label, joined before the cleaning work is done,
+    and `sentiment_label`.
+    """
     p = text_posts(spark, sf)
-    both = p.select("post_id", "subreddit", "source",
-                    X.clean_text(F.col("title")).alias("t"),
-                    X.clean_text(F.col("body")).alias("b"))
-    return both.select("post_id", "subreddit", "source",
-                       X.combine_clean(F.col("t"), F.col("b")).alias("text"))
+    keep = ["post_id", "subreddit", "source"]
+    if labelled:
+        p = p.join(text_truth(spark, sf), "post_id")
+        keep.append("sentiment_label")
+    text = X.combine_clean(X.clean_text(F.col("title")), X.clean_text(F.col("body")))
+    return p.select(*keep, text.alias("text"))
 
 
 def text_truth(spark, sf) -> DataFrame:

@@ -362,9 +362,8 @@ def quality_report(spark, sf):
 # ------------------------------------------------------------------ models (rows only)
 def _labelled(spark, sf):
     """Cleaned documents with a label and a split, written once."""
-    rows = I.clean_posts(spark, sf).join(I.text_truth(spark, sf), "post_id")
-    return stage(split_stratified(stage(
-        rows.select("post_id", "text", "sentiment_label"), "labelled")), "labelled_split")
+    rows = I.clean_posts(spark, sf, labelled=True).select("post_id", "text", "sentiment_label")
+    return split_stratified(stage(rows, "labelled"))
 
 
 def _parts(spark, sf):

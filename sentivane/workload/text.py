@@ -233,8 +233,7 @@ def _text_predictions(spark, sf):
         cue == "negative", names["negative"]).otherwise(names["neutral"])
     size = F.length("text") % 3
     by_size = F.when(size == 0, "BULLISH").when(size == 1, "BEARISH").otherwise("NEUTRAL")
-    rows = I.clean_posts(spark, sf).join(I.text_truth(spark, sf), "post_id")
-    return rows.select(
+    return I.clean_posts(spark, sf, labelled=True).select(
         "post_id", F.col("sentiment_label").alias("truth"),
         F.explode(F.array(
             F.struct(F.lit("cues").alias("model"), shown.alias("pred")),
