@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentivane.functions.let import let
@@ -45,12 +45,14 @@ def terms(text: Column) -> Column:
 
 def term_counts(docs: DataFrame, terms_col: str = "terms") -> DataFrame:
     """(term, tf, df): occurrences and documents of every term, folded on the map side."""
-    once = docs.select(F.explode(F.array_distinct(terms_col)).alias("term"),
-                       F.lit(0).alias("tf"), F.lit(1).alias("df"))
-    all_ = docs.select(F.explode(terms_col).alias("term"),
-                       F.lit(1).alias("tf"), F.lit(0).alias("df"))
-    return all_.unionAll(once).groupBy("term").agg(
-        F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    both = F.explode(F.array(
+        F.struct(F.col(terms_col).alias("terms"), F.lit(1).alias("tf"), F.lit(0).alias("df")),
+        F.struct(F.array_distinct(terms_col).alias("terms"), F.lit(0).alias("tf"),
+                 F.lit(1).alias("df")),
+    )).alias("v")
+    return docs.select(both).select(
+        F.explode("v.terms").alias("term"), "v.tf", "v.df"
+    ).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def vocabulary(docs: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
@@ -63,8 +65,13 @@ def vocabulary(docs: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
 
 
 def tfidf_long(docs: DataFrame, id_col: str, size: int = MAX_FEATURES) -> DataFrame:
-    """(id, term, tf, tfidf) with L2-normalised weights, as a table."""
-    rows = docs.select(id_col, terms(F.col("text")).alias("terms"))
+    """(id, term, tf, tfidf) with L2-normalised weights, as a table.
+
+    The texts are shuffled by id once; counting and normalising the far larger list of terms then
+    needs no further exchange.
+    """
+    placed = docs.select(id_col, "text").repartition(id_col)
+    rows = placed.select(id_col, terms(F.col("text")).alias("terms"))
     vocab = vocabulary(rows, size)
     counts = (
         rows.select(id_col, F.explode("terms").alias("term"))
@@ -72,9 +79,8 @@ def tfidf_long(docs: DataFrame, id_col: str, size: int = MAX_FEATURES) -> DataFr
         .groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
         .withColumn("w", F.col("tf") * F.col("idf"))
     )
-    norms = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return counts.join(norms, id_col).select(
-        id_col, "term", "tf", (F.col("w") / F.col("norm")).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return counts.select(id_col, "term", "tf", (F.col("w") / norm).alias("tfidf"))
 
 
 class TfIdf:

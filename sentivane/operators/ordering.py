@@ -51,10 +51,22 @@ def value_totals(df: DataFrame, column: str) -> DataFrame:
     return running_totals(counts, ["value"])
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(value, rank) with ranks from 1 and ties averaged."""
-    return value_totals(df, column).select(
-        "value", (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank")
+def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, rank) with ranks from 1 and ties averaged; one sort for all columns."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+        for c in columns
+    ])).alias("v")
+    counts = (
+        df.select(pairs).select("v.*").filter(F.col("value").isNotNull())
+        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    totals = running_totals(counts, ["column_name", "value"])
+    first = totals.groupBy("column_name").agg(F.min("before").alias("start"))
+    # one row per column
+    return totals.join(F.broadcast(first), "column_name").select(
+        "column_name", "value",
+        (F.col("before") - F.col("start") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
     )
 
 

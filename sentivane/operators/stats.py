@@ -93,14 +93,13 @@ def spearman(df: DataFrame, sentiment: str = "mean_sentiment",
     rows = stage(complete_cases(df, sentiment, horizons).select(
         sentiment, *[f"fwd_return_{h}d" for h in horizons]
     ), "spearman")  # read five times below
-    ranked = rows.join(
-        average_ranks(rows, sentiment).select(
-            F.col("value").alias(sentiment), F.col("rank").alias("_x")), sentiment)
-    for h in horizons:
-        c = f"fwd_return_{h}d"
+    columns = {sentiment: "_x", **{f"fwd_return_{h}d": f"_{h}" for h in horizons}}
+    ranks = stage(average_ranks(rows, list(columns)), "ranks")
+    ranked = rows
+    for c, name in columns.items():
         ranked = ranked.join(
-            average_ranks(rows, c).select(F.col("value").alias(c), F.col("rank").alias(f"_{h}")),
-            c)
+            ranks.filter(F.col("column_name") == c).select(
+                F.col("value").alias(c), F.col("rank").alias(name)), c)
     aggs = [F.corr("_x", f"_{h}").alias(f"r{h}") for h in horizons]
     wide = ranked.agg(*aggs, F.count(F.lit(1)).alias("n"))
     out = wide.select(F.explode(F.array(*[

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentivane.functions import prompts as P
+from sentivane.functions.labels import canonical
 from sentivane.operators.metrics import metrics_from_counts, prediction_counts
 from sentivane.vocab import PATH_GRID, PATH_LABELS, RETENTION_GRID, TOKEN_RATES
 
@@ -37,6 +38,13 @@ def render_prompts(
     return out
 
 
+def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
+    """Replaces the response column by status, label, display_label, reasoning_summary and
+    confidence.  The generator evaluates the parser once per row, whatever reads the columns."""
+    others = [c for c in df.columns if c != response]
+    return df.select(*others, F.inline(F.array(P.parse_response(F.col(response)))))
+
+
 def answered(requests: DataFrame, cache: DataFrame, key: str = "prompt_key") -> DataFrame:
     """Requests with the cached response, null where none is stored yet."""
     return requests.join(cache.select(key, "response"), key, "left")
@@ -183,12 +191,16 @@ def path_ablation(paths: DataFrame, truth: DataFrame, grid: Sequence[int] = PATH
         F.count_if((label == name) & (pid <= k)).alias(f"{name}_{k}")
         for k in grid for name in PATH_LABELS
     ])
-    per_k = F.explode(F.array(*[
+    known = g.join(truth.select("post_id", "truth"), "post_id")
+    per_k = F.inline(F.array(*[
         F.struct(F.lit(int(k)).alias("num_paths"),
                  *[F.col(f"{name}_{k}").alias(f"{name}_count") for name in PATH_LABELS])
         for k in grid
-    ])).alias("v")
-    votes = g.select("post_id", per_k).select("post_id", "v.*")
+    ]))
+    # most posts share a few combinations of counts: the votes are worked out on those
+    votes = known.select("truth", per_k).groupBy(
+        "truth", "num_paths", *[f"{name}_count" for name in PATH_LABELS]
+    ).agg(F.count(F.lit(1)).alias("posts"))
     counts = {name: F.col(f"{name}_count") for name in PATH_LABELS}
     total = sum(counts.values(), F.lit(0))
     top = F.greatest(*counts.values())
@@ -196,14 +208,12 @@ def path_ablation(paths: DataFrame, truth: DataFrame, grid: Sequence[int] = PATH
     first = F.when(counts["positive"] == top, "positive").when(
         counts["neutral"] == top, "neutral").otherwise("negative")
     scored = votes.filter(total > 0).select(
-        F.col("post_id").cast("string").alias("post_id"), "num_paths",
-        F.when(tied > 1, "neutral").otherwise(first).alias("pred"),
-        F.round(top / total, 4).alias("agreement"),
-    )
-    rows = scored.join(
-        truth.select(F.col("post_id").cast("string").alias("post_id"), "truth"), "post_id"
+        "num_paths", canonical(F.col("truth")).alias("truth"),
+        canonical(F.when(tied > 1, "neutral").otherwise(first)).alias("pred"),
+        "posts", (F.round(top / total, 4) * F.col("posts")).alias("agreement"),
     )
-    counted = prediction_counts(rows, ["num_paths"], extra=[F.sum("agreement").alias("a")])
+    counted = scored.groupBy("num_paths", "truth", "pred").agg(
+        F.sum("posts").alias("n"), F.sum("agreement").alias("a"))
     agreement = counted.groupBy("num_paths").agg(
         F.round(F.sum("a") / F.sum("n"), 6).alias("mean_agreement")
     )

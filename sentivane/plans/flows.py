@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sentivane.functions import text as X
 from sentivane.functions.labels import threshold_label
-from sentivane.functions.prompts import PromptSpec, parse_response, prompt_key
+from sentivane.functions.prompts import PromptSpec, prompt_key
 from sentivane.functions.tickers import DEFAULT_STOP, detect_tickers
 from sentivane.operators import dedup, errors, lexicon, market, metrics, models, quality
 from sentivane.operators import splits, stats, weak
@@ -33,14 +33,11 @@ def preprocess(raw: DataFrame, min_length: int = MIN_LENGTH, order: str = "post_
     text = X.combine_clean(X.clean_text(title), X.clean_text(body))
     df = X.keep_long(df, text, min_length)
     df = dedup.first_per_text(df, "text", order)
-    df = df.withColumn("_t", detect_tickers(F.col("text"), stop_words))
-    df = label_carry(df)
+    found = detect_tickers(F.col("text"), stop_words)
+    df = label_carry(df.select("*", F.inline(F.array(found))))
+    renamed = {"confidence": "ticker_confidence", "method": "detection_method"}
     return df.select(
-        *[c for c in df.columns if c not in ("_t", "_sentiment")],
-        F.col("_t.ticker").alias("ticker"), F.col("_t.company").alias("company"),
-        F.col("_t.all_tickers").alias("all_tickers"),
-        F.col("_t.confidence").alias("ticker_confidence"),
-        F.col("_t.method").alias("detection_method"),
+        *[F.col(c).alias(renamed.get(c, c)) for c in df.columns if c != "_sentiment"],
         X.char_length(F.col("text")).alias("char_length"),
         X.clean_word_count(F.col("text")).alias("word_count"),
     )
@@ -65,9 +62,7 @@ def inference_requests(posts: DataFrame, examples: DataFrame, model: str, temper
 def weak_labels(responses: DataFrame, posts: DataFrame | None = None, threshold: int = 5,
                 tie_rule: str = "neutral_default") -> DataFrame:
     """Responses (post_id, path_id, response) to consistency-filtered weak labels."""
-    paths = responses.select(
-        "post_id", "path_id", parse_response(F.col("response")).alias("p")
-    ).select("post_id", "path_id", "p.*")
+    paths = weak.parse_responses(responses.select("post_id", "path_id", "response"))
     kept = weak.keep_consistent(weak.vote(paths, tie_rule), threshold)
     return kept if posts is None else weak.with_posts(kept, posts)
 

@@ -202,7 +202,7 @@ def spearman(spark, sf):
        + _RANK.format("mean_sentiment", "rank").replace(" AS rank", "") + " AS rank FROM cases")
 def average_rank(spark, sf):
     return rounded(average_ranks(
-        stats.complete_cases(I.joint(spark, sf)), "mean_sentiment"))
+        stats.complete_cases(I.joint(spark, sf)), ["mean_sentiment"]).drop("column_name"))
 
 
 @query("ols", ctes("cases") + per_horizon(

@@ -156,12 +156,6 @@ def extract_companies(spark, sf):
                     F.array_join("c.company", ",").alias("names"))
 
 
-def _detected(spark, sf):
-    return I.clean_posts(spark, sf).select(
-        "post_id", "text", T.detect_tickers(F.col("text")).alias("d")
-    ).select("post_id", "text", "d.*")
-
-
 _CASH_N, _CAPS_N = _NAME.format("c.mode"), _NAME.format("k.mode")
 DETECTED = TICKERS + f""",
 detected AS (SELECT f.post_id,
@@ -183,7 +177,8 @@ detected AS (SELECT f.post_id,
 @query("detect_tickers", ctes("clean_posts", extra=DETECTED) +
        "SELECT post_id, ticker, company, all_tickers, confidence, method FROM detected")
 def detect_tickers(spark, sf):
-    return _detected(spark, sf).drop("text").withColumn(
+    found = F.inline(F.array(T.detect_tickers(F.col("text"))))
+    return I.clean_posts(spark, sf).select("post_id", found).withColumn(
         "all_tickers", F.array_join("all_tickers", " "))
 
 
@@ -493,9 +488,7 @@ PARSED = f"""parsed AS (SELECT conv_id, turn,
     WHEN reason = '' AND form <> 3 THEN '{P.NO_REASON_JSON}' ELSE reason END AS reasoning_summary,
   CASE WHEN status = 'ok' THEN 0.85 ELSE 0.33 END::DOUBLE AS confidence FROM parsed""")
 def parse_responses(spark, sf):
-    return I.responses(spark, sf).select(
-        "conv_id", "turn", P.parse_response(F.col("raw")).alias("p")
-    ).select("conv_id", "turn", "p.*")
+    return K.parse_responses(I.responses(spark, sf).select("conv_id", "turn", "raw"), "raw")
 
 
 _RATES = ", ".join(f"('{a}', {b!r}::DOUBLE, {c!r}::DOUBLE)" for a, b, c in TOKEN_RATES)
