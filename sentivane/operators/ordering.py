@@ -73,8 +73,8 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
     """One row with q0, q1, ...: exact quantiles, linear between neighbours."""
     totals = value_totals(df, column)
-    size = totals.select((F.max(F.col("before") + F.col("n"))).alias("size"))
-    spots = totals.crossJoin(F.broadcast(size))  # one row
+    size = totals.agg(F.max(F.col("before") + F.col("n"))).scalar()
+    spots = totals.withColumn("size", size)
     out = []
     for i, p in enumerate(probabilities):
         spot = (F.col("size") - 1) * F.lit(float(p))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentivane.functions.text import char_length, word_count
+from sentivane.session import one_row
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
@@ -134,7 +135,7 @@ def histogram(df: DataFrame, value: Column, bins: int = 50) -> DataFrame:
     rows = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull())
     folded = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     span = folded.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    both = folded.crossJoin(F.broadcast(span))  # one row
+    both = folded.withColumn("span", one_row(span)).select("v", "n", "span.*")
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     at = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), width), F.lit(0.0))
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentivane.operators.ordering import average_ranks, exact_quantiles
-from sentivane.session import stage
+from sentivane.session import one_row, stage
 from sentivane.vocab import HORIZONS
 
 
@@ -138,8 +138,8 @@ def event_study(df: DataFrame, sentiment: str = "mean_sentiment", percentile: fl
         df.dropna(subset=[sentiment, "fwd_return_1d", "fwd_return_3d"])
         .select(sentiment, "fwd_return_1d", "fwd_return_3d"), "events")  # read twice below
     limits = exact_quantiles(rows, sentiment, [percentile / 100, (100 - percentile) / 100])
-    both = rows.crossJoin(F.broadcast(limits))  # one row
-    bull, bear = F.col(sentiment) >= F.col("q0"), F.col(sentiment) <= F.col("q1")
+    both = rows.withColumn("q", one_row(limits))
+    bull, bear = F.col(sentiment) >= F.col("q.q0"), F.col(sentiment) <= F.col("q.q1")
     aggs = []
     for side, hit in (("bullish", bull), ("bearish", bear)):
         aggs.append(F.count_if(hit).alias(f"{side}_count"))
@@ -192,4 +192,4 @@ def scatter_trend(df: DataFrame, sentiment: str = "mean_sentiment") -> DataFrame
     )
     line = rows.agg(F.regr_slope("y", "x").alias("slope"),
                     F.regr_intercept("y", "x").alias("intercept"))
-    return rows.crossJoin(F.broadcast(line))  # one row
+    return rows.withColumn("line", one_row(line)).select("ticker", "trading_date", "x", "y", "line.*")

@@ -14,7 +14,7 @@ from sentivane.functions.prompts import PromptSpec, prompt_key
 from sentivane.functions.tickers import DEFAULT_STOP, detect_tickers
 from sentivane.operators import dedup, errors, lexicon, market, metrics, models, quality
 from sentivane.operators import splits, stats, weak
-from sentivane.session import stage
+from sentivane.session import one_row, stage
 from sentivane.sources.posts import assert_real, label_carry, tag_provenance
 from sentivane.vocab import HORIZONS
 
@@ -80,7 +80,8 @@ def distil(weak_train: DataFrame, val: DataFrame, test: DataFrame, **kw) -> Data
     spread = scored.agg(F.avg("score").alias("mean_predicted_score"),
                         F.stddev_pop("score").alias("std_predicted_score"))
     return metrics.classification_metrics(scored).withColumn(
-        "optimal_theta", F.lit(theta)).crossJoin(F.broadcast(spread))  # one row each
+        "optimal_theta", F.lit(theta)).withColumn("spread", one_row(spread)).select(
+        "*", "spread.*").drop("spread")
 
 
 def market_signals(posts: DataFrame, bars: DataFrame, min_posts: int = 1,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,13 +166,12 @@ def label_carry(df: DataFrame, hidden: str = "_sentiment") -> DataFrame:
 
 
 def first_existing(spark: SparkSession, paths: Sequence[str], view: str) -> DataFrame | None:
-    """Register the first readable Parquet path as a view."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Register the first readable Parquet path as a view; null if there is none."""
     for path in paths:
-        p = hadoop.Path(path)
-        if p.getFileSystem(conf).exists(p):
+        try:
             df = spark.read.parquet(path)
-            df.createOrReplaceTempView(view)
-            return df
+        except AnalysisException:
+            continue
+        df.createOrReplaceTempView(view)
+        return df
     return None

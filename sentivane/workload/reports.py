@@ -452,7 +452,14 @@ def e2e_weak_labels(spark, sf):
         "post_id", "dominant_label", "dominant_count", "teacher_soft_score", "ticker")
 
 
-@query("e2e_market", ctes("joint") + "SELECT ticker, trading_date, post_count, " +
+# In the flow the trading days are the days of the bars.
+TRADED = ",\n".join([
+    "traded AS (SELECT DISTINCT date AS trading_date FROM bars)",
+    I.CTES["aligned"][1].replace("ASOF JOIN calendar c", "ASOF JOIN traded c"),
+    I.CTES["daily"][1], I.CTES["rets"][1], I.CTES["joint"][1]])
+
+
+@query("e2e_market", ctes("posts", "bars", extra=TRADED) + "SELECT ticker, trading_date, post_count, " +
        r("mean_sentiment weighted_sentiment fwd_return_1d fwd_return_5d") + " FROM joint")
 def e2e_market(spark, sf):
     p = I.posts(spark, sf).withColumn("source", F.lit("orders"))
