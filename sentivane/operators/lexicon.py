@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentivane.functions.labels import threshold_label
+from sentivane.session import small_table
 from sentivane.vocab import (
     BOOST_DAMPING,
     BOOST_STEP,
@@ -24,7 +25,7 @@ BROADCAST_WORDS = 200_000
 
 
 def default_lexicon(spark) -> DataFrame:
-    return spark.createDataFrame(LEXICON, "word string, valence double")
+    return small_table(spark, LEXICON, "word string, valence double")
 
 
 def tokens(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sentivane.functions.labels import canonical
 from sentivane.operators.ordering import running_totals
+from sentivane.session import small_table
 from sentivane.vocab import CLASSES, THETA_GRID
 
 
@@ -31,7 +32,8 @@ def confusion_matrix(
 ) -> DataFrame:
     """(truth, pred, n) over the fixed class grid, 0 where nothing fell."""
     spark = counts.sparkSession
-    grid = spark.createDataFrame(
+    grid = small_table(
+        spark,
         [(t, p) for t in labels for p in labels], "truth string, pred string"
     )
     seen = counts.groupBy("truth", "pred").agg(F.sum("n").alias("n"))
@@ -152,7 +154,8 @@ def calibration_bins(rows: DataFrame, confidence: str = "confidence", correct: s
         F.avg(c).alias("confidence"),
     )
     total = g.agg(F.sum("size")).scalar()
-    grid = spark.createDataFrame(
+    grid = small_table(
+        spark,
         [(i, (edges[i] + edges[i + 1]) / 2) for i in range(bins)], "bin int, middle double"
     )
     return grid.join(g, "bin", "left").select(

@@ -22,6 +22,7 @@ from sentivane.functions.let import let
 from sentivane.operators.metrics import binary_metrics
 from sentivane.operators.ordering import exact_floor, rank_cuts
 from sentivane.operators.quality import require_columns
+from sentivane.session import small_table
 from sentivane.vocab import WORD
 
 TERM = f"[{WORD}]{{2,}}"
@@ -203,7 +204,7 @@ def top_features(model: TextClassifier, spark, n: int = 10) -> DataFrame:
         weights = [(float(matrix[i, j]), t) for j, t in enumerate(model.tfidf.terms)]
         weights.sort(key=lambda x: (-x[0], x[1]))
         rows += [(name, k + 1, t, w) for k, (w, t) in enumerate(weights[:n])]
-    return spark.createDataFrame(rows, "class string, rank int, term string, weight double")
+    return small_table(spark, rows, "class string, rank int, term string, weight double")
 
 
 def grid_search(train: DataFrame, val: DataFrame, kind: str = "logreg",
@@ -224,7 +225,7 @@ def grid_search(train: DataFrame, val: DataFrame, kind: str = "logreg",
     seen.unpersist()
     held.unpersist()
     rows.sort(key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame(rows, "c double, macro_f1 double")
+    return small_table(spark, rows, "c double, macro_f1 double")
 
 
 def teacher_guard(df: DataFrame, kind: str) -> str:
@@ -291,7 +292,7 @@ def direction_models(joint: DataFrame, horizon: int = 1, order: str = "time",
     try:
         n = rows.count()
         if n < min_rows:
-            return spark.createDataFrame([], out)
+            return small_table(spark, [], out)
         keys = ["trading_date", "ticker"] if order == "time" else ["ticker", "trading_date"]
         k = exact_floor(n, 0.8)
         cut = rank_cuts(rows, keys[:1], keys, [k])[k]
@@ -300,7 +301,7 @@ def direction_models(joint: DataFrame, horizon: int = 1, order: str = "time",
             F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(keys, cut)])
         train, test = rows.filter(key < limit), rows.filter(key >= limit)
         if min(d.select("label").distinct().count() for d in (train, test)) < 2:
-            return spark.createDataFrame([], out)
+            return small_table(spark, [], out)
         sizes = (train.count(), test.count())
         results = None
         for name, cols in DIRECTION_MODELS.items():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentivane.functions import prompts as P
 from sentivane.functions.labels import canonical
 from sentivane.operators.metrics import metrics_from_counts, prediction_counts
+from sentivane.session import small_table
 from sentivane.vocab import PATH_GRID, PATH_LABELS, RETENTION_GRID, TOKEN_RATES
 
 TIE_RULES = ("neutral_default", "highest_confidence", "first")
@@ -58,7 +59,8 @@ def pending(requests: DataFrame, cache: DataFrame, key: str = "prompt_key") -> D
 def usage_cost(usage: DataFrame) -> DataFrame:
     """USD per provider from its token counts; unknown providers keep null rates."""
     spark = usage.sparkSession
-    rates = spark.createDataFrame(
+    rates = small_table(
+        spark,
         TOKEN_RATES, "provider string, prompt_rate double, completion_rate double"
     )
     per = usage.groupBy("provider").agg(
@@ -154,7 +156,7 @@ def retention_stats(weak: DataFrame, thresholds: Sequence[int] = (5,), total: in
     folded = weak.groupBy("dominant_count", "dominant_label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("agreement_score").alias("agreement")
     )
-    grid = spark.createDataFrame([(int(m),) for m in thresholds], "threshold int")
+    grid = small_table(spark, [(int(m),) for m in thresholds], "threshold int")
     initial = folded.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     joined = F.broadcast(grid).join(
         folded, F.col("dominant_count") >= F.col("threshold"), "left"

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -70,3 +73,13 @@ def spread(df: DataFrame) -> DataFrame:
 def one_row(df: DataFrame) -> Column:
     """The only row of `df` as a struct, for use as a value in another frame's expressions."""
     return df.select(F.struct("*").alias("row")).scalar()
+
+
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of literal rows as a local relation: no Python worker, size known to the planner."""
+    schema = T.StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    table = pa.table(
+        [pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema=schema)

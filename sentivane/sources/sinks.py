@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentivane.session import small_table
+
 # Metric files and the name and phase they stand for in the overview table.
 METRIC_FILES = [
     ("VADER (Lexicon)", "vader_metrics.json", "Phase 2"),
@@ -68,7 +70,7 @@ def benchmark_table(spark: SparkSession, folder: str, files=METRIC_FILES) -> Dat
     """
     raw = spark.read.schema(METRIC_SCHEMA).option("multiLine", True).option(
         "recursiveFileLookup", True).json(folder)
-    names = spark.createDataFrame(files, "model string, file string, phase string")
+    names = small_table(spark, files, "model string, file string, phase string")
     path = F.input_file_name()
     tagged = raw.select(
         "*", F.regexp_extract(path, r"([^/]+\.json)(?:/[^/]*)?$", 1).alias("file"))

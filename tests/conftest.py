@@ -5,21 +5,31 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from sentivane.session import builder  # noqa: E402
+from sentivane.session import builder, small_table  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        builder("tests").master("local[8]")
+        builder("tests").master("local[2]")
         .config("spark.sql.shuffle.partitions", "2")
-        # tiny inputs: compiling costs more than it saves; the oracle check runs compiled plans
-        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    plain = session.createDataFrame
+
+    def create(data, schema=None, **kw):
+        if isinstance(data, list) and isinstance(schema, str):
+            session.createDataFrame = plain
+            try:
+                return small_table(session, data, schema)
+            finally:
+                session.createDataFrame = create
+        return plain(data, schema, **kw)
+
+    session.createDataFrame = create  # literal rows without Python workers
     yield session
     session.stop()
