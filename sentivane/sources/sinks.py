@@ -9,20 +9,6 @@ from pyspark.sql import functions as F
 
 from sentivane.session import small_table
 
-# Metric files and the name and phase they stand for in the overview table.
-METRIC_FILES = [
-    ("VADER (Lexicon)", "vader_metrics.json", "Phase 2"),
-    ("TF-IDF + LogReg", "logreg_metrics.json", "Phase 2"),
-    ("TF-IDF + Linear SVM", "svm_metrics.json", "Phase 2"),
-    ("FinBERT (ProsusAI)", "prosusai_finbert_metrics.json", "Phase 3"),
-    ("FinBERT (HKUST)", "yiyanghkust_finbert-tone_metrics.json", "Phase 3"),
-    ("LLM Zero-Shot (L1)", "llm_l1_metrics.json", "Phase 4"),
-    ("LLM Few-Shot (L2)", "llm_l2_metrics.json", "Phase 4"),
-    ("LLM Financial-Context (L3)", "llm_l3_metrics.json", "Phase 4"),
-    ("LLM Structured (L4)", "llm_l4_metrics.json", "Phase 4"),
-    ("LLM CoT (L5)", "llm_l5_metrics.json", "Phase 4"),
-    ("Distilled Student (R2)", "distillation_regression_metrics.json", "Phase 5"),
-]
 _CLASS = "struct<precision:double,recall:double,f1:double,support:bigint>"
 METRIC_SCHEMA = (
     "accuracy double, balanced_accuracy double, macro_f1 double, weighted_f1 double, "
@@ -63,20 +49,24 @@ def nest_metrics(metrics: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def benchmark_table(spark: SparkSession, folder: str, files=METRIC_FILES) -> DataFrame:
-    """All metric files of a folder as one flat table; files without a known name are left out.
+def benchmark_table(
+    spark: SparkSession, folder: str, files: Sequence[tuple[str, str, str]]
+) -> DataFrame:
+    """All metric files of a folder as one flat table.
+
+    `files` lists (model, file, phase); files it does not name are left out.
 
     Files hold one JSON object each (or are folders written by `write_report`).
     """
     raw = spark.read.schema(METRIC_SCHEMA).option("multiLine", True).option(
         "recursiveFileLookup", True).json(folder)
-    names = small_table(spark, files, "model string, file string, phase string")
+    names = small_table(spark, list(files), "model string, file string, phase string")
     path = F.input_file_name()
     tagged = raw.select(
         "*", F.regexp_extract(path, r"([^/]+\.json)(?:/[^/]*)?$", 1).alias("file"))
     zero = F.lit(0.0)
     per = F.col("per_class")
-    return tagged.join(F.broadcast(names), "file").select(  # eleven fixed rows
+    return tagged.join(F.broadcast(names), "file").select(  # one row per listed file
         "phase", "model",
         F.coalesce("accuracy", zero).alias("accuracy"),
         F.coalesce("balanced_accuracy", zero).alias("balanced_acc"),

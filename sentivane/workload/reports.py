@@ -170,11 +170,14 @@ def write_weak_labels(spark, sf):
     return back.groupBy("dominant_label", "dominant_count").agg(F.count(F.lit(1)).alias("n"))
 
 
+METRIC_FILES = [("model_0", "lexicon_metrics.json", "Phase 2"),
+                ("model_1", "logreg_metrics.json", "Phase 2")]
+
+
 def _metric_files(spark, sf):
     folder = new_path(spark, "metrics")
-    names = {"model_0": "vader_metrics.json", "model_1": "logreg_metrics.json"}
     p = I.predictions(spark, sf)
-    for model, file in names.items():
+    for model, file, _ in METRIC_FILES:
         m = M.classification_metrics(p.filter(F.col("model") == model))
         sinks.write_report(sinks.nest_metrics(m), f"{folder}/{file}")
     return folder
@@ -182,8 +185,7 @@ def _metric_files(spark, sf):
 
 _BOARD = ("phase model accuracy balanced_acc macro_f1 weighted_f1 bullish_f1 bearish_f1 "
           "neutral_f1")
-_NAMED = ("named AS (SELECT CASE model WHEN 'model_0' THEN 'VADER (Lexicon)' ELSE "
-          "'TF-IDF + LogReg' END AS model, truth, pred FROM predictions WHERE model <> 'model_2')")
+_NAMED = "named AS (SELECT model, truth, pred FROM predictions WHERE model <> 'model_2')"
 
 
 @query("benchmark_table", ctes("predictions", extra=_NAMED) +
@@ -191,7 +193,7 @@ _NAMED = ("named AS (SELECT CASE model WHEN 'model_0' THEN 'VADER (Lexicon)' ELS
        metrics_sql("model", "named", "model accuracy balanced_accuracy macro_f1 weighted_f1 "
                    "bullish_f1 bearish_f1 neutral_f1") + ")")
 def benchmark_table(spark, sf):
-    return sinks.benchmark_table(spark, _metric_files(spark, sf)).select(*_BOARD.split())
+    return sinks.benchmark_table(spark, _metric_files(spark, sf), METRIC_FILES).select(*_BOARD.split())
 
 
 @query("write_report", ctes("predictions") + "SELECT count(*) AS reports, round(max(a), 4) AS "
