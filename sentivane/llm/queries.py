@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sentivane.llm import sentencepiece_bpe
+from sentivane.llm import quality, sentencepiece_bpe, toxicity
 from sentivane.llm.texts import table
 
 QUERIES: dict = {}
@@ -26,3 +26,14 @@ def query(key: str, sql: str | None = None):
 def op1(spark, sf_dir):
     return sentencepiece_bpe.digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op2_quality_rules", quality.SQL)
+def op2(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
