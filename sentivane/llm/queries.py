@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sentivane.llm import quality, sentencepiece_bpe, toxicity
+from sentivane.llm import quality, sentencepiece_bpe, toxicity, urls
 from sentivane.llm.texts import table
 
 QUERIES: dict = {}
@@ -37,3 +37,8 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_url_filters")
+def op4(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
