@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sentivane.llm import quality, sentencepiece_bpe, toxicity, urls
+from sentivane.llm import quality, quotes, sentencepiece_bpe, toxicity, urls
 from sentivane.llm.texts import table
 
 QUERIES: dict = {}
@@ -42,3 +42,8 @@ def op3(spark, sf_dir):
 @query("op4_url_filters")
 def op4(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op5_chat_formatting", quotes.SQL)
+def op5(spark, sf_dir):
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
