@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sentivane.llm import quality, quotes, sentencepiece_bpe, toxicity, urls
+from sentivane.llm import packing, quality, quotes, sentencepiece_bpe, simhash, toxicity, urls
 from sentivane.llm.texts import table
 
 QUERIES: dict = {}
@@ -47,3 +47,17 @@ def op4(spark, sf_dir):
 @query("op5_chat_formatting", quotes.SQL)
 def op5(spark, sf_dir):
     return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_simhash")
+def op7(spark, sf_dir):
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"))
+
+
+@query("op9_packing")
+def op9(spark, sf_dir):
+    return packing.digests(packing.pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
