@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sentivane.llm import packing, quality, quotes, sentencepiece_bpe, simhash, toxicity, urls
+from sentivane.llm import (
+    packing, quality, quotes, sentencepiece_bpe, simhash, syncmers, token_files, toxicity, urls,
+)
 from sentivane.llm.texts import table
 
 QUERIES: dict = {}
@@ -61,3 +63,14 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     return packing.digests(packing.pieces(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op8_fingerprints")
+def op8(spark, sf_dir):
+    return syncmers.edited(table(spark, sf_dir, "documents"))
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    return token_files.of_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
