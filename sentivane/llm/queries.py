@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from sentivane.llm import (
-    packing, quality, quotes, sentencepiece_bpe, simhash, syncmers, token_files, toxicity, urls,
+    ctw, packing, quality, quotes, sentencepiece_bpe, simhash, syncmers,
+    token_files, toxicity, urls,
 )
 from sentivane.llm.texts import table
 
@@ -74,3 +75,8 @@ def op8(spark, sf_dir):
 def op10(spark, sf_dir):
     return token_files.of_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_lm_scoring")
+def op6(spark, sf_dir):
+    return ctw.scores(table(spark, sf_dir, "documents"))
