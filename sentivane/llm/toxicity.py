@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sentivane.llm.texts import LOWER, by_batches, narrow, raw
 
 SAMPLE_ROWS = 4_000
-MAX_WORDS = 2_000
+MAX_WORDS = 300
 GRADES = 3
 _SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
 _CLEAR = bytes.maketrans(_SIGNS, b" " * len(_SIGNS))
@@ -67,7 +67,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS,
-        grades: int = GRADES, l2: float = 0.05, steps: int = 400) -> Model:
+        grades: int = GRADES, l2: float = 0.5, steps: int = 400) -> Model:
     def count(batches):
         for b in batches:
             bags = [Counter(tokens(t)) for t in raw(b.column("text"))]
@@ -116,11 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_words:
 def _ordinal(row, col, val, y, n_words, grades, l2, steps):
     """Weights and thresholds by gradient steps with a scale per parameter (Adam)."""
     n = len(y)
-    first = np.log((n - (y > 0).sum() + 1) / ((y > 0).sum() + 1))
-    p = np.concatenate([np.zeros(n_words), [first], np.zeros(grades - 1)])
+    p = np.zeros(n_words + grades)
     m, v = np.zeros_like(p), np.zeros_like(p)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     rows = np.arange(n)
+    # both classes weigh the same, however many of each the sample has
+    each = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y == 0).sum()))
     for t in range(1, steps + 1):
         w, theta = p[:n_words], np.cumsum(np.concatenate([p[n_words:n_words + 1],
                                                           np.exp(p[n_words + 1:])]))
@@ -128,10 +129,10 @@ def _ordinal(row, col, val, y, n_words, grades, l2, steps):
         above = np.concatenate([np.ones((n, 1)), sig(s[:, None] - theta), np.zeros((n, 1))], 1)
         hi, lo = above[rows, y], above[rows, y + 1]
         prob = np.maximum(hi - lo, 1e-12)
-        ds = 1 - hi - lo  # d log prob / d s
+        ds = each * (1 - hi - lo)  # d log prob / d s
         dtheta = np.zeros((n, grades + 2))
-        dtheta[rows, y] -= hi * (1 - hi) / prob
-        dtheta[rows, y + 1] += lo * (1 - lo) / prob
+        dtheta[rows, y] -= each * hi * (1 - hi) / prob
+        dtheta[rows, y + 1] += each * lo * (1 - lo) / prob
         dtheta = dtheta[:, 1:-1].sum(0)
         gaps = np.array([dtheta[k:].sum() for k in range(grades)])
         grad = np.concatenate([
