@@ -13,26 +13,33 @@ repeated rows are packed as often as they are there.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentivane.llm.texts import CACHE_WORDS, by_batches, narrow, raw
+from sentivane.llm.texts import by_batches, narrow, raw
 from sentivane.session import stage
 
 LENGTH = 2048
-_PART = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+# Distinct words, and distinct parts of words, a worker remembers before it starts anew.
+CACHE_WORDS, CACHE_PARTS = 1_200_000, 800_000
+_PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# An apostrophe may begin a contraction, <| a special token; beyond Latin letters characters may be
+# composed, and some control signs count as white space here and not there.
+_WHOLE = re.compile(r"'|<\||[^\x00-\x1b\x20-\u024f]")
 
 
 class WordTokens:
     """Ids of a tokenizer that drops white space and never joins across it, word by word.
 
     Texts are split at ASCII white space; the ids of each word are asked of the tokenizer once and
-    remembered.  Words in plain ASCII are cut further where the tokenizer's own pattern cuts them.
+    remembered.  Words of Latin signs are cut further where the tokenizer's own pattern cuts them.
     """
 
     def __init__(self, path: str, special_as_text: bool):
@@ -41,22 +48,26 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.code = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = "H" if self.code == "<u2" else "I"
         self.known: dict[bytes, bytes] = {}
-        self.part: dict[bytes, bytes] = {}
+        self.part: dict[str, bytes] = {}
 
     def learn(self, missing: set[bytes]) -> None:
         if len(self.known) + len(missing) > CACHE_WORDS:
             self.known.clear()
-        if len(self.part) > CACHE_WORDS:
+        if len(self.part) > CACHE_PARTS:
             self.part.clear()
-        # an apostrophe may begin a contraction, <| a special token
-        cut = {w: _PART.findall(w.lower()) for w in missing
-               if w.isascii() and b"'" not in w and b"<|" not in w}
+        whole, cut = [], {}
+        for w in missing:
+            s = w.decode("utf-8", "replace")
+            if _WHOLE.search(s):
+                whole.append(w)
+            else:
+                cut[w] = _PART.findall(s.lower())
         new = {p for parts in cut.values() for p in parts} - self.part.keys()
-        whole = [w for w in missing if w not in cut]
-        asked = [*new, *whole]
-        got = [np.array(e.ids, self.code).tobytes() for e in self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in asked], add_special_tokens=False)]
+        asked = [*new, *(w.decode("utf-8", "replace") for w in whole)]
+        got = [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(
+            asked, add_special_tokens=False)]
         self.part.update(zip(new, got))
         self.known.update(zip(whole, got[len(new):]))
         for w, parts in cut.items():
