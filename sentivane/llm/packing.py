@@ -64,7 +64,7 @@ class WordTokens:
                 whole.append(w)
             else:
                 cut[w] = _PART.findall(s.lower())
-        new = {p for parts in cut.values() for p in parts} - self.part.keys()
+        new = {p for parts in cut.values() for p in parts}.difference(self.part)
         asked = [*new, *(w.decode("utf-8", "replace") for w in whole)]
         got = [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(
             asked, add_special_tokens=False)]
@@ -76,12 +76,11 @@ class WordTokens:
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
         split = [t.split() for t in texts]
-        missing = set().union(*split) - self.known.keys()
+        seen = set().union(*split)
+        missing = seen.difference(self.known)
         if missing:
-            # learn() may forget: the words of this batch that were known are then asked again
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                missing = set().union(*split)
-            self.learn(missing)
+            # learn() may forget: the words that were known are then asked again
+            self.learn(seen if len(self.known) + len(missing) > CACHE_WORDS else missing)
         return [b"".join(map(self.known.__getitem__, w)) for w in split]
 
 
