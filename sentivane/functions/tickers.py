@@ -12,14 +12,13 @@ from sentivane.functions.search import found_any, group_heads
 from sentivane.vocab import (
     COMPANY_OF,
     COMPANY_PATTERNS,
-    STOP_ACRONYMS,
-    STOP_ENGLISH,
+    STOP_TICKERS,
     WORD,
 )
 
 CASHTAG = rf"\$([A-Za-z]{{1,5}})(?![{WORD}])"
 CAPITALS = rf"(?<![{WORD}])([A-Z]{{2,5}})(?![{WORD}])"
-DEFAULT_STOP = [*STOP_ACRONYMS, *STOP_ENGLISH]
+DEFAULT_STOP = list(dict.fromkeys(STOP_TICKERS))
 
 
 def _known(c: Column) -> Column:

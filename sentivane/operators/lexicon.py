@@ -20,8 +20,6 @@ from sentivane.vocab import (
 )
 
 TOKEN = r"[a-z0-9_]+"
-# A lexicon up to this many words is broadcast; a larger one is left to the planner.
-BROADCAST_WORDS = 200_000
 
 
 def default_lexicon(spark) -> DataFrame:
@@ -46,21 +44,16 @@ def lexicon_score(posts: DataFrame, lexicon: DataFrame | None = None, text: str
                   id_col: str = "post_id", theta: float = LEXICON_THETA) -> DataFrame:
     """(id, hits, valence, compound, label) for every post.
 
-    Tokens carry their three predecessors, are exploded and matched with the lexicon; the sum per
-    post folds on the map side, so one short row per post is shuffled.
+    Tokens carry their three predecessors, are exploded and matched with the lexicon; the planner
+    broadcasts a lexicon that is small enough.  Only hits go on; their sum per post folds on the map
+    side, so one short row per post is shuffled.
     """
-    spark = posts.sparkSession
-    if lexicon is None:
-        lexicon = default_lexicon(spark)
-        small = True
-    else:
-        small = lexicon.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    words = F.broadcast(lexicon) if small else lexicon
+    words = default_lexicon(posts.sparkSession) if lexicon is None else lexicon
     arr = F.col("_tokens")
     listed = posts.select(F.col(id_col), tokens(F.col(text)).alias("_tokens"))
     each = listed.select(
         id_col,
-        F.explode_outer(F.transform(arr, lambda t, i: F.struct(
+        F.explode(F.transform(arr, lambda t, i: F.struct(
             t.alias("word"), F.get(arr, i - 1).alias("p1"), F.get(arr, i - 2).alias("p2"),
             F.get(arr, i - 3).alias("p3"),
         ))).alias("t"),
@@ -72,10 +65,14 @@ def lexicon_score(posts: DataFrame, lexicon: DataFrame | None = None, text: str
     )
     negated = before[0].isin(NEGATIONS) | before[1].isin(NEGATIONS) | before[2].isin(NEGATIONS)
     final = F.when(negated, boosted * NEGATION_FACTOR).otherwise(boosted)
-    sums = each.join(words, "word", "left").groupBy(id_col).agg(
+    sums = each.join(words, "word").groupBy(id_col).agg(
         F.count("valence").alias("hits"),
         F.coalesce(F.sum(final), F.lit(0.0)).alias("valence"),
     )
+    # posts without a hit come back by their ids alone
+    sums = posts.select(id_col).distinct().join(sums, id_col, "left").select(
+        id_col, F.coalesce("hits", F.lit(0)).alias("hits"),
+        F.coalesce("valence", F.lit(0.0)).alias("valence"))
     total = F.col("valence")
     compound = F.round(total / F.sqrt(total * total + NORM_ALPHA), 4)
     return sums.withColumn("compound", compound).withColumn(

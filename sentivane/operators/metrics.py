@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from sentivane.functions.labels import canonical
 from sentivane.operators.ordering import running_totals
-from sentivane.session import small_table
 from sentivane.vocab import CLASSES, THETA_GRID
 
 
@@ -27,23 +26,29 @@ def prediction_counts(
     ).agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
+def _grid(rows: DataFrame, by: Sequence[str], cells: Sequence[Column]) -> DataFrame:
+    """Every cell for every group; without groups, every cell."""
+    listed = F.explode(F.array(*cells)).alias("_cell")
+    groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+    return groups.select(*by, listed).select(*by, "_cell.*")
+
+
 def confusion_matrix(
-    counts: DataFrame, labels: Sequence[str] = CLASSES, normalise: bool = False
+    counts: DataFrame, labels: Sequence[str] = CLASSES, normalise: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """(truth, pred, n) over the fixed class grid, 0 where nothing fell."""
-    spark = counts.sparkSession
-    grid = small_table(
-        spark,
-        [(t, p) for t in labels for p in labels], "truth string, pred string"
-    )
-    seen = counts.groupBy("truth", "pred").agg(F.sum("n").alias("n"))
-    full = grid.join(seen, ["truth", "pred"], "left").withColumn(
+    """(by..., truth, pred, n) over the fixed class grid, 0 where nothing fell."""
+    by = list(by)
+    grid = _grid(counts, by, [F.struct(F.lit(t).alias("truth"), F.lit(p).alias("pred"))
+                              for t in labels for p in labels])
+    seen = counts.groupBy(*by, "truth", "pred").agg(F.sum("n").alias("n"))
+    full = grid.join(seen, [*by, "truth", "pred"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0)).cast("bigint")
     )
     if normalise:
-        rows = full.groupBy("truth").agg(F.sum("n").alias("_row"))
-        full = full.join(rows, "truth").select(
-            "truth", "pred", "n", F.try_divide("n", "_row").alias("share")
+        rows = full.groupBy(*by, "truth").agg(F.sum("n").alias("_row"))
+        full = full.join(rows, [*by, "truth"]).select(
+            *by, "truth", "pred", "n", F.try_divide("n", "_row").alias("share")
         )
     return full
 
@@ -138,39 +143,40 @@ def bin_edges(bins: int) -> list[float]:
 
 
 def calibration_bins(rows: DataFrame, confidence: str = "confidence", correct: str = "correct",
-                     bins: int = 10) -> DataFrame:
-    """Per bin: size, mean accuracy and confidence, share of all rows.
+                     bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """Per group and bin: size, mean accuracy and confidence, rows of the group.
 
     A confidence of exactly 1 lands in no bin but counts in the total; an empty bin shows
     accuracy 0 and its midpoint.
     """
-    spark = rows.sparkSession
+    by = list(by)
     edges = bin_edges(bins)
     c = F.col(confidence)
     index = sum(((c >= e).cast("int") for e in edges), F.lit(0)) - 1
-    g = rows.groupBy(index.alias("bin")).agg(
+    g = rows.groupBy(*by, index.alias("bin")).agg(
         F.count(F.lit(1)).alias("size"),
         F.avg(F.col(correct).cast("double")).alias("accuracy"),
         F.avg(c).alias("confidence"),
     )
-    total = g.agg(F.sum("size")).scalar()
-    grid = small_table(
-        spark,
-        [(i, (edges[i] + edges[i + 1]) / 2) for i in range(bins)], "bin int, middle double"
-    )
-    return grid.join(g, "bin", "left").select(
-        "bin",
+    grid = _grid(g, by, [F.struct(F.lit(i).alias("bin"),
+                                  F.lit((edges[i] + edges[i + 1]) / 2).alias("middle"))
+                         for i in range(bins)])
+    total = g.groupBy(*by).agg(F.sum("size").alias("total"))
+    binned = grid.join(g, [*by, "bin"], "left")
+    binned = binned.join(total, by) if by else binned.withColumn("total", total.scalar())
+    return binned.select(
+        *by, "bin",
         F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
         F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"),
         F.coalesce("confidence", "middle").alias("confidence"),
-        F.coalesce(total, F.lit(0)).cast("bigint").alias("total"),
+        F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
     )
 
 
-def calibration_error(binned: DataFrame) -> DataFrame:
+def calibration_error(binned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Expected and maximum calibration error of `calibration_bins`."""
     gap = F.when(F.col("size") > 0, F.abs(F.col("accuracy") - F.col("confidence"))).otherwise(0.0)
-    return binned.agg(
+    return binned.groupBy(*by).agg(
         F.sum(gap * F.try_divide("size", "total")).alias("ece"),
         F.max(gap).alias("mce"),
         F.max("total").alias("total_samples"),
@@ -222,24 +228,29 @@ def regression_errors(rows: DataFrame, pred: str = "pred", target: str = "target
 
 
 def binary_metrics(rows: DataFrame, truth: str = "truth", score: str = "score",
-                   cut: float = 0.5) -> DataFrame:
+                   cut: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, F1 and ROC-AUC of a 0/1 truth and a score.
 
     AUC by ranks: per distinct score the negatives below it, half of those beside it.
     """
+    by = list(by)
     y, s = F.col(truth), F.col(score)
-    values = rows.groupBy(s.alias("value")).agg(
+    values = rows.groupBy(*by, s.alias("value")).agg(
         F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("n")
     )
-    ranked = running_totals(values, ["value"])  # n, before: negatives
+    ranked = running_totals(values, [*by, "value"])  # n, before: negatives
+    # of the groups before this one, too: taken off below
     wins = F.sum(F.col("pos") * (F.col("before") + F.col("n") / F.lit(2.0)))
     up = F.col("value") > cut
-    tp = F.sum(F.when(up, F.col("pos")).otherwise(0))
-    fp = F.sum(F.when(up, F.col("n")).otherwise(0))
-    pos, neg = F.sum("pos"), F.sum("n")
-    return ranked.agg(
-        ((tp + neg - fp) / (pos + neg)).alias("accuracy"),
-        F.coalesce(F.try_divide(wins, (pos * neg).cast("double")), F.lit(0.5)).alias("auc_roc"),
+    sums = ranked.groupBy(*by).agg(
+        wins.alias("wins"), F.min("before").alias("start"), F.sum("pos").alias("pos"),
+        F.sum("n").alias("neg"), F.sum(F.when(up, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(up, F.col("n")).otherwise(0)).alias("fp"))
+    tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
+    return sums.select(
+        *by, ((tp + neg - fp) / (pos + neg)).alias("accuracy"),
+        F.coalesce(F.try_divide(F.col("wins") - F.col("start") * pos,
+                                (pos * neg).cast("double")), F.lit(0.5)).alias("auc_roc"),
         F.coalesce(F.try_divide(2 * tp, tp + fp + pos), F.lit(0.0)).alias("f1_score"),
         (pos + neg).alias("n"),
     )

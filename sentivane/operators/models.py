@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentivane.functions.let import let
@@ -29,6 +29,9 @@ TERM = f"[{WORD}]{{2,}}"
 MAX_FEATURES = 10_000
 # The regularisation grid.
 C_GRID = [0.01, 0.1, 1.0, 10.0]
+# Iteration limits; fits end earlier when they change less than the tolerance.
+MAX_ITER = {"logreg": 1000, "svm": 100, "nb": 1}
+TOLERANCE = 1e-4
 
 
 def terms(text: Column) -> Column:
@@ -65,25 +68,6 @@ def vocabulary(docs: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
         (F.log((1 + n).cast("double") / (1 + F.col("df")).cast("double")) + 1).alias("idf"))
 
 
-def tfidf_long(docs: DataFrame, id_col: str, size: int = MAX_FEATURES) -> DataFrame:
-    """(id, term, tf, tfidf) with L2-normalised weights, as a table.
-
-    The texts are shuffled by id once; counting and normalising the far larger list of terms then
-    needs no further exchange.
-    """
-    placed = docs.select(id_col, "text").repartition(id_col)
-    rows = placed.select(id_col, terms(F.col("text")).alias("terms"))
-    vocab = vocabulary(rows, size)
-    counts = (
-        rows.select(id_col, F.explode("terms").alias("term"))
-        .join(F.broadcast(vocab.select("term", "idf")), "term")  # at most `size` rows
-        .groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-        .withColumn("w", F.col("tf") * F.col("idf"))
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return counts.select(id_col, "term", "tf", (F.col("w") / norm).alias("tfidf"))
-
-
 class TfIdf:
     """Vector features.  The vocabulary (at most `size` terms) is the only thing collected."""
 
@@ -104,20 +88,38 @@ class TfIdf:
         ]
         return self
 
-    def transform(self, docs: DataFrame, text: str = "text") -> DataFrame:
+    def transform(self, docs: DataFrame, text: str = "text",
+                  keep: Sequence[str] = ()) -> DataFrame:
         out = docs.withColumn("terms", terms(F.col(text)))
         for stage in self.stages:
             out = stage.transform(out)
-        return out.drop("terms", "_tf", "_tfidf")
+        return out.drop(*[c for c in ("terms", "_tf", "_tfidf") if c not in keep])
+
+
+def tfidf_long(docs: DataFrame, id_col: str, size: int = MAX_FEATURES) -> DataFrame:
+    """(id, term, tf, tfidf) with L2-normalised weights, as a table.
+
+    A text is one row, so its terms are counted and normalised inside the row; only the counts of
+    the vocabulary are shuffled.
+    """
+    fitted = TfIdf(size).fit(docs)
+    rows = fitted.transform(docs, keep=("_tf",)).select(
+        id_col, F.unwrap_udt("_tf").alias("n"), F.unwrap_udt("features").alias("w"))
+    each = rows.select(id_col, F.explode(F.arrays_zip(
+        F.col("n.indices").alias("term"), F.col("n.values").alias("tf"),
+        F.col("w.values").alias("tfidf"))).alias("t"))
+    names = F.lit(fitted.terms) if fitted.terms else F.array().cast("array<string>")
+    return each.select(id_col, F.get(names, F.col("t.term")).alias("term"),
+                       F.col("t.tf").cast("bigint").alias("tf"), "t.tfidf")
 
 
 class TextClassifier:
     """TF-IDF and one of: logreg, svm (one against the rest, calibrated in 3 folds), nb."""
 
     def __init__(self, kind: str = "logreg", c: float = 1.0, alpha: float = 1.0,
-                 size: int = MAX_FEATURES, max_iter: int = 100):
+                 size: int = MAX_FEATURES, max_iter: int | None = None):
         self.kind, self.c, self.alpha = kind, c, alpha
-        self.size, self.max_iter = size, max_iter
+        self.size, self.max_iter = size, max_iter or MAX_ITER[kind]
 
     def fit(self, train: DataFrame, text: str = "text", label: str = "sentiment_label"):
         train = train.filter(F.col(label).isNotNull())
@@ -129,12 +131,13 @@ class TextClassifier:
         """As `fit`, on rows that already carry the `features` of `tfidf`."""
         self.text, self.tfidf = text, tfidf
         # class names: one row per class
-        self.labels = sorted(r[0] for r in rows.groupBy(label).count().limit(1000).collect())
+        self.labels = sorted(r[0] for r in rows.select(label).distinct().collect())
         if len(self.labels) < 2:
             raise ValueError("training needs at least two classes")
         index = F.array_position(F.lit(self.labels), F.col(label)) - 1
-        rows = rows.select(
-            "features", index.cast("double").alias("label"), F.col(text)).persist()
+        # the text itself only deals out the folds
+        rows = rows.select("features", index.cast("double").alias("label"),
+                           F.pmod(F.xxhash64(text), F.lit(3)).alias("fold")).persist()
         try:
             fit = {"logreg": self._fit_logreg, "svm": self._fit_svm, "nb": self._fit_nb}
             self.model = fit[self.kind](rows, rows.count())
@@ -145,29 +148,27 @@ class TextClassifier:
     def _fit_logreg(self, rows, n):
         return LogisticRegression(
             family="multinomial", regParam=1.0 / (self.c * n), standardization=False,
-            maxIter=self.max_iter).fit(rows)
+            maxIter=self.max_iter, tol=TOLERANCE).fit(rows)
 
     def _fit_nb(self, rows, n):
         return NaiveBayes(modelType="multinomial", smoothing=self.alpha).fit(rows)
 
     def _fit_svm(self, rows, n):
         """Per class and fold: a linear SVM on the other folds and a sigmoid on the fold."""
-        fold = F.pmod(F.xxhash64(self.text), F.lit(3))
-        parts = rows.withColumn("fold", fold)
         models = []
         for i in range(len(self.labels)):
-            binary = parts.withColumn("label", (F.col("label") == i).cast("double"))
+            binary = rows.withColumn("label", (F.col("label") == i).cast("double"))
             for k in range(3):
                 # squared-sum loss with C against Spark's mean loss with regParam
                 svm = LinearSVC(
                     regParam=1.0 / (self.c * max(1, 2 * n // 3)), standardization=False,
-                    maxIter=self.max_iter, rawPredictionCol="raw", predictionCol="p",
+                    maxIter=self.max_iter, tol=TOLERANCE, rawPredictionCol="raw", predictionCol="p",
                 ).fit(binary.filter(F.col("fold") != k))
                 held = svm.transform(binary.filter(F.col("fold") == k)).select(
                     "label", array_to_vector(F.array(F.get(vector_to_array("raw"), 1)))
                     .alias("features"))
-                # two parameters: converges in a few steps
-                models.append((i, svm, LogisticRegression(maxIter=20).fit(held)))
+                models.append((i, svm, LogisticRegression(
+                    maxIter=self.max_iter, tol=TOLERANCE).fit(held)))
         return models
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -243,7 +244,8 @@ def teacher_guard(df: DataFrame, kind: str) -> str:
 class StudentRegressor:
     """Squared-error regression of the teacher's soft score on TF-IDF features."""
 
-    def __init__(self, size: int = MAX_FEATURES, reg: float = 1e-3, max_iter: int = 100):
+    def __init__(self, size: int = MAX_FEATURES, reg: float = 1e-3,
+                 max_iter: int = 1000):
         self.size, self.reg, self.max_iter = size, reg, max_iter
 
     def fit(self, weak: DataFrame, text: str = "text") -> "StudentRegressor":
@@ -253,8 +255,8 @@ class StudentRegressor:
         rows = self.tfidf.transform(weak, text).select(
             "features", F.col(target).alias("label"))
         self.model = LinearRegression(
-            regParam=self.reg, standardization=False, maxIter=self.max_iter, solver="l-bfgs"
-        ).fit(rows)
+            regParam=self.reg, standardization=False, maxIter=self.max_iter, solver="l-bfgs",
+            tol=TOLERANCE).fit(rows)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""The end-to-end compositions.  Each takes tables and gives tables; nothing runs before a write."""
+"""The end-to-end compositions.  Each takes tables and gives tables; tables that several
+branches read are written in between."""
 
 from __future__ import annotations
 
@@ -152,9 +153,14 @@ def benchmark(train: DataFrame, test: DataFrame, votes: DataFrame | None = None,
     truth = test.select("post_id", F.col("sentiment_label").alias("truth"))
     rows = lexicon.lexicon_score(test).select("post_id", F.col("label").alias("pred")).join(
         truth, "post_id").select(F.lit("lexicon").alias("model"), "truth", "pred")
+    # one vocabulary and one set of vectors for all classifiers
+    tfidf = models.TfIdf(kw.get("size", models.MAX_FEATURES)).fit(train)
+    seen = stage(tfidf.transform(train.filter(F.col("sentiment_label").isNotNull())).select(
+        "text", "sentiment_label", "features"), "seen")
+    held = stage(tfidf.transform(test).select("sentiment_label", "features"), "held")
     for kind in kinds:
-        model = models.TextClassifier(kind, **kw).fit(train)
-        rows = rows.unionByName(model.transform(test).select(
+        model = models.TextClassifier(kind, **kw).fit_features(tfidf, seen)
+        rows = rows.unionByName(model.score(held).select(
             F.lit(f"tfidf_{kind}").alias("model"), F.col("sentiment_label").alias("truth"),
             "pred"))
     if votes is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,6 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="sentivane-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return _own_folder[0]
 
 
@@ -60,16 +63,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer tasks than the session has cores one task per core.
-
-    For CPU-heavy row work on a small input; any table worth a cluster has more files than cores
-    and passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def one_row(df: DataFrame) -> Column:
     """The only row of `df` as a struct, for use as a value in another frame's expressions."""
     return df.select(F.struct("*").alias("row")).scalar()

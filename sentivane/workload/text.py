@@ -379,8 +379,12 @@ def split_leakage(spark, sf):
        "WHERE split = 'train' INTERSECT SELECT text FROM splits WHERE split <> 'train'")
 def split_intersection(spark, sf):
     s = _doc_splits(spark, sf)
-    return s.filter(F.col("split") == "train").select("text").intersect(
-        s.filter(F.col("split") != "train").select("text"))
+    s = s.withColumn("_h", dedup.digest(F.col("text")))
+    shared = s.groupBy("_h").agg(
+        F.max((F.col("split") == "train").cast("int")).alias("a"),
+        F.max((F.col("split") != "train").cast("int")).alias("b"),
+        F.min("post_id").alias("post_id")).filter("a + b = 2")
+    return s.join(shared.select("post_id"), "post_id", "left_semi").select("text")
 
 
 # ------------------------------------------------------------------ prompts and responses

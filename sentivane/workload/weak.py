@@ -278,13 +278,13 @@ _GRID9 = ("(VALUES ('BULLISH'), ('NEUTRAL'), ('BEARISH')) a(truth), "
           "(VALUES ('BULLISH'), ('NEUTRAL'), ('BEARISH')) b(pred)")
 
 
-@query("confusion_matrix", ctes("predictions") + "SELECT g.truth, g.pred, count(p.truth) AS n, "
-       "round(count(p.truth) / sum(count(p.truth)) OVER (PARTITION BY g.truth), 6) AS share FROM "
-       f"(SELECT * FROM {_GRID9}) g LEFT JOIN (SELECT * FROM predictions WHERE model = 'model_0') "
-       "p ON g.truth = p.truth AND g.pred = p.pred GROUP BY 1, 2")
+@query("confusion_matrix", ctes("predictions") + "SELECT model, truth, pred, count(p.c) AS n, "
+       "round(count(p.c) / sum(count(p.c)) OVER (PARTITION BY model, truth), 6) AS share FROM "
+       f"(SELECT * FROM (SELECT DISTINCT model FROM predictions), {_GRID9}) LEFT JOIN "
+       "(SELECT *, 1 AS c FROM predictions) p USING (model, truth, pred) GROUP BY model, truth, pred")
 def confusion_matrix(spark, sf):
-    rows = I.predictions(spark, sf).filter(F.col("model") == "model_0")
-    return rounded(M.confusion_matrix(M.prediction_counts(rows), normalise=True))
+    counts = M.prediction_counts(I.predictions(spark, sf), ["model"])
+    return rounded(M.confusion_matrix(counts, normalise=True, by=["model"]))
 
 
 @query("classification_metrics", ctes("predictions") +
@@ -313,32 +313,34 @@ def best_model(spark, sf):
 
 _EDGES = ", ".join(f"{repr(e)}::DOUBLE" for e in M.bin_edges(10))
 _INDEX = " + ".join(f"(confidence >= {e!r}::DOUBLE)::INT" for e in M.bin_edges(10))
-BINS = f"""binned AS (SELECT {_INDEX} - 1 AS bin, confidence,
-  (truth = pred)::INT AS correct FROM predictions WHERE model = 'model_1'),
-bins AS (SELECT i::INT AS bin, count(b.bin) AS size, coalesce(avg(correct), 0) AS accuracy,
+BINS = f"""binned AS (SELECT model, {_INDEX} - 1 AS bin, confidence,
+  (truth = pred)::INT AS correct FROM predictions),
+totals AS (SELECT model, count(*) AS total FROM binned GROUP BY 1),
+bins AS (SELECT t.model, i::INT AS bin, count(b.bin) AS size, coalesce(avg(correct), 0) AS accuracy,
   coalesce(avg(confidence), ([{_EDGES}][i + 1] + [{_EDGES}][i + 2]) / 2) AS confidence,
-  (SELECT count(*) FROM binned) AS total
-  FROM generate_series(0, 9) g(i) LEFT JOIN binned b ON b.bin = i GROUP BY i)"""
+  any_value(total) AS total
+  FROM (SELECT * FROM totals, generate_series(0, 9) g(i)) t
+  LEFT JOIN binned b ON b.bin = i AND b.model = t.model GROUP BY t.model, i)"""
 
 
 def _calibration(spark, sf):
-    rows = I.predictions(spark, sf).filter(F.col("model") == "model_1")
-    return M.calibration_bins(rows.select(
-        "confidence", (F.col("truth") == F.col("pred")).cast("int").alias("correct")))
+    return M.calibration_bins(I.predictions(spark, sf).select(
+        "model", "confidence", (F.col("truth") == F.col("pred")).cast("int").alias("correct")),
+        by=["model"])
 
 
-@query("calibration", ctes("predictions", extra=BINS) + "SELECT bin, size, total, "
+@query("calibration", ctes("predictions", extra=BINS) + "SELECT model, bin, size, total, "
        + r("accuracy confidence") + " FROM bins")
 def calibration(spark, sf):
     return rounded(_calibration(spark, sf))
 
 
-@query("calibration_error", ctes("predictions", extra=BINS) + "SELECT round(sum(CASE WHEN size > 0 "
-       "THEN abs(accuracy - confidence) * size / total ELSE 0 END), 6) AS ece, round(max(CASE WHEN "
-       "size > 0 THEN abs(accuracy - confidence) ELSE 0 END), 6) AS mce, max(total) AS "
-       "total_samples FROM bins")
+@query("calibration_error", ctes("predictions", extra=BINS) + "SELECT model, round(sum(CASE WHEN "
+       "size > 0 THEN abs(accuracy - confidence) * size / total ELSE 0 END), 6) AS ece, "
+       "round(max(CASE WHEN size > 0 THEN abs(accuracy - confidence) ELSE 0 END), 6) AS mce, "
+       "max(total) AS total_samples FROM bins GROUP BY 1")
 def calibration_error(spark, sf):
-    return rounded(M.calibration_error(_calibration(spark, sf)))
+    return rounded(M.calibration_error(_calibration(spark, sf), ["model"]))
 
 
 THETA = f"""scored AS (SELECT theta, sentiment_label AS truth, CASE WHEN teacher_soft_score > theta
@@ -377,20 +379,20 @@ def regression_errors(spark, sf):
     return rounded(M.regression_errors(rows))
 
 
-AUC = """b AS (SELECT (truth = 'BULLISH')::INT AS y, round(confidence, 2) AS s FROM predictions
-  WHERE model = 'model_2'),
-k AS (SELECT y, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk
-  FROM b),
-c AS (SELECT count(*) AS n, sum(y) AS pos, count(*) FILTER (s > 0.5 AND y = 1) AS tp,
+AUC = """b AS (SELECT model, (truth = 'BULLISH')::INT AS y, round(confidence, 2) AS s
+  FROM predictions),
+k AS (SELECT model, y, s, rank() OVER (PARTITION BY model ORDER BY s)
+  + (count(*) OVER (PARTITION BY model, s) - 1) / 2.0 AS rk FROM b),
+c AS (SELECT model, count(*) AS n, sum(y) AS pos, count(*) FILTER (s > 0.5 AND y = 1) AS tp,
   count(*) FILTER (s > 0.5 AND y = 0) AS fp, count(*) FILTER ((s > 0.5)::INT = y) AS hits,
-  sum(rk) FILTER (y = 1) AS ranks FROM k)"""
+  sum(rk) FILTER (y = 1) AS ranks FROM k GROUP BY 1)"""
 
 
-@query("binary_metrics", ctes("predictions", extra=AUC) + "SELECT round(hits / n, 6) AS accuracy, "
-       "round((ranks - pos * (pos + 1) / 2) / (pos * (n - pos)), 6) AS auc_roc, "
+@query("binary_metrics", ctes("predictions", extra=AUC) + "SELECT model, round(hits / n, 6) AS "
+       "accuracy, round((ranks - pos * (pos + 1) / 2) / (pos * (n - pos)), 6) AS auc_roc, "
        "round(2 * tp / (tp + fp + pos), 6) AS f1_score, n FROM c")
 def binary_metrics(spark, sf):
-    rows = I.predictions(spark, sf).filter(F.col("model") == "model_2").select(
-        (F.col("truth") == "BULLISH").cast("int").alias("truth"),
+    rows = I.predictions(spark, sf).select(
+        "model", (F.col("truth") == "BULLISH").cast("int").alias("truth"),
         F.round("confidence", 2).alias("score"))
-    return rounded(M.binary_metrics(rows))
+    return rounded(M.binary_metrics(rows, by=["model"]))

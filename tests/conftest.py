@@ -9,11 +9,13 @@ from sentivane.session import builder, small_table  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
     session = (
         builder("tests").master("local[2]")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", folder)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

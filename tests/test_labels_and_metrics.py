@@ -281,3 +281,53 @@ def test_quality_parts(spark):
     assert len(h) == 50 and {r["bin"]: r["n"] for r in h}[49] == 3
     one = quality.histogram(spark.range(1).toDF("v"), F.col("v"), 50).collect()
     assert one[0]["n"] == 1
+
+
+def test_stratified_split_of_many_classes(spark):
+    rows = [(i, f"c{i % 1500:04d}") for i in range(6000)]
+    got = split_counts(splits.split_stratified(
+        spark.createDataFrame(rows, "post_id long, sentiment_label string")))
+    assert got == {"train": 4200, "val": 900, "test": 900}
+    lacking = spark.createDataFrame([*rows, (9000, None)], "post_id long, sentiment_label string")
+    got = split_counts(splits.split_stratified(lacking))
+    assert sum(got.values()) == 6001 and got["train"] == 4200
+
+
+def split_counts(df):
+    return {r["split"]: r["count"] for r in df.groupBy("split").count().collect()}
+
+
+def test_quotas_by_largest_remainder(spark):
+    counts = spark.createDataFrame([("a", 3), ("b", 3), ("c", 4)], "label string, n long")
+    got = splits.largest_remainder(counts, 7, 10, "n", "q").collect()
+    assert {r["label"]: r["q"] for r in got} == {"a": 2, "b": 2, "c": 3}
+
+
+def test_cut_in_a_doubled_hour(spark):
+    """The cut passes the driver as a number: a driver in a summer-time zone must not move it."""
+    import os
+    import time
+
+    rows = [(i, f"2024-10-27 00:{i:02d}:00") for i in range(60)] + \
+        [(60 + i, f"2024-10-27 01:{i:02d}:00") for i in range(60)]
+    df = spark.createDataFrame(rows, "post_id long, t string").selectExpr(
+        "post_id", "CAST(t AS TIMESTAMP) AS timestamp")
+    before = os.environ.get("TZ")
+    try:
+        os.environ["TZ"] = "Europe/Berlin"
+        time.tzset()
+        got = splits.split_chronological(df, train=0.7, val=0.15)
+        assert {r["post_id"] for r in got.filter("split = 'train'").collect()} == set(range(84))
+    finally:
+        os.environ.pop("TZ")
+        if before is not None:
+            os.environ["TZ"] = before
+        time.tzset()
+
+
+def test_metrics_by_group_equal_metrics_of_each(spark):
+    rows = [(m, (i * 7 + len(m)) % 2, ((i * 5) % 11) / 10) for m in ("a", "bb") for i in range(40)]
+    df = spark.createDataFrame(rows, "model string, truth int, score double")
+    both = {r["model"]: tuple(r)[1:] for r in M.binary_metrics(df, by=["model"]).collect()}
+    for m in ("a", "bb"):
+        assert both[m] == pytest.approx(tuple(M.binary_metrics(df.filter(f"model = '{m}'")).first()))

@@ -200,3 +200,19 @@ def test_cue_label(spark):
 
 def test_preview(spark):
     assert apply(spark, X.preview, ["a" * 300, "b" * 301]) == ["a" * 300, "b" * 300 + "..."]
+
+
+def test_capital_words_that_are_no_symbols(spark):
+    from sentivane.functions.tickers import detect_tickers, extract_capitals, extract_cashtags
+
+    texts = ["THE BEST DROP SINCE MAY", "NEAR the PEAK", "$COOL", "I WISH", "buy XYZ now", "$LOVE TRUE"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", extract_capitals(F.col("text")).alias("caps"),
+                    extract_cashtags(F.col("text")).alias("cash")).collect()
+    found = {r["text"]: (r["caps"], r["cash"]) for r in got}
+    assert found["NEAR the PEAK"] == ([], []) and found["$COOL"][1] == []
+    assert found["THE BEST DROP SINCE MAY"] == ([], [])
+    assert found["I WISH"] == (["WISH"], [])  # a known symbol, which goes before the stop words
+    assert found["buy XYZ now"] == (["XYZ"], []) and found["$LOVE TRUE"] == ([], [])
+    tagged = df.select("text", F.inline(F.array(detect_tickers(F.col("text"))))).collect()
+    assert [r["text"] for r in tagged if r["all_tickers"]] == ["buy XYZ now"]
