@@ -18,13 +18,18 @@ def error_rows(predictions: DataFrame, truth: str = "truth", pred: str = "pred")
     return predictions.filter(~F.col(truth).eqNullSafe(F.col(pred)))
 
 
-def diagnose(predictions: DataFrame, posts: DataFrame) -> DataFrame:
+def diagnose(predictions: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """Errors of all models with their text category (four-group taxonomy).
 
-    Categories are worked out once per post, not once per model.
+    Predictions that carry the `text` need no posts: no join, one pass.  Otherwise only the posts
+    with an error are looked at, each once, not once per model.
     """
-    tagged = posts.select("post_id", error_category_4(F.col("text")).alias("error_category"))
-    return error_rows(predictions).join(tagged, "post_id")
+    wrong = error_rows(predictions)
+    category = error_category_4(F.col("text")).alias("error_category")
+    if posts is None:
+        return wrong.select(*[c for c in wrong.columns if c != "text"], category)
+    failed = posts.join(wrong.select("post_id"), "post_id", "left_semi")
+    return wrong.join(failed.select("post_id", category), "post_id")
 
 
 def error_breakdown(errors: DataFrame, categories: Sequence[str] = CATEGORIES_4) -> DataFrame:

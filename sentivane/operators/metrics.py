@@ -54,12 +54,14 @@ def confusion_matrix(
 
 
 def metrics_from_counts(
-    counts: DataFrame, by: Sequence[str] = (), labels: Sequence[str] = CLASSES, digits: int = 4
+    counts: DataFrame, by: Sequence[str] = (), labels: Sequence[str] = CLASSES, digits: int = 4,
+    means: Sequence[str] = (),
 ) -> DataFrame:
     """Accuracy, balanced accuracy, macro / weighted P, R, F1 and per-class scores.
 
     Macro scores divide by the number of `labels`, also where a class does not occur; an empty
     class scores 0.  Balanced accuracy averages recall over all classes present in the truth.
+    `means` are columns of sums over the counted rows; each gives a `mean_` column.
     """
     by = list(by)
     n, truth, pred = F.col("n"), F.col("truth"), F.col("pred")
@@ -67,10 +69,12 @@ def metrics_from_counts(
         F.sum("n").alias("rows"),
         F.sum(F.when(truth == pred, n).otherwise(0)).alias("hits"),
         *[F.sum(F.when(pred == c, n).otherwise(0)).alias(f"as_{c}") for c in labels],
+        *[F.sum(m).alias(f"_sum_{m}") for m in means],
     )
     sums = [
         F.sum("rows").alias("total"), F.sum("hits").alias("_hits"),
         F.avg(F.col("hits") / F.col("rows")).alias("_balanced"),
+        *[F.sum(f"_sum_{m}").alias(f"_sum_{m}") for m in means],
     ]
     for c in labels:
         sums += [
@@ -103,6 +107,7 @@ def metrics_from_counts(
 
     return g.select(
         *by,
+        *[F.round(F.col(f"_sum_{m}") / F.col("total"), 6).alias(f"mean_{m}") for m in means],
         r(F.col("_hits") / F.col("total"), "accuracy"),
         r(F.col("_balanced"), "balanced_accuracy"),
         r(macro(f1), "macro_f1"), r(weighted(f1), "weighted_f1"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentivane.functions import prompts as P
@@ -75,6 +75,44 @@ def usage_cost(usage: DataFrame) -> DataFrame:
     )
 
 
+def _mean_confidences() -> list[Column]:
+    return [F.avg(F.when(F.col("label") == name, F.col("confidence"))).alias(f"_{name}")
+            for name in PATH_LABELS]
+
+
+def _tied(counts: dict[str, Column], top: Column) -> Column:
+    """How many labels share the highest count."""
+    return sum(((c == top).cast("int") for c in counts.values()), F.lit(0))
+
+
+def _dominant(rule: str, counts: dict[str, Column], top: Column, tied: Column) -> Column:
+    """The winning label under a tie rule; equal confidences go to the first label."""
+    if rule == "highest_confidence":
+        values = {
+            name: F.when(counts[name] == top, F.coalesce(F.col(f"_{name}"), F.lit(0.0)))
+            for name in PATH_LABELS
+        }
+        best = F.greatest(*values.values())
+    else:
+        values, best = counts, top
+    winner = F.lit(None).cast("string")
+    for name in reversed(PATH_LABELS):
+        winner = F.when(values[name] == best, name).otherwise(winner)
+    return F.when(tied > 1, "neutral").otherwise(winner) if rule == "neutral_default" else winner
+
+
+def tie_rules(paths: DataFrame, keys: Sequence[str] = ("post_id",)) -> DataFrame:
+    """Per post the tie flag and the winner under every tie rule, from one aggregate."""
+    g = paths.groupBy(*keys).agg(
+        *[F.count_if(F.col("label") == name).alias(f"{name}_count") for name in PATH_LABELS],
+        *_mean_confidences())
+    counts = {name: F.col(f"{name}_count") for name in PATH_LABELS}
+    top = F.greatest(*counts.values())
+    tied = _tied(counts, top)
+    return g.select(*keys, (tied > 1).alias("is_tie"), *[
+        _dominant(rule, counts, top, tied).alias(rule) for rule in TIE_RULES])
+
+
 def vote(
     paths: DataFrame, tie_rule: str = "neutral_default", keys: Sequence[str] = ("post_id",),
     with_reasoning: bool = True,
@@ -90,12 +128,8 @@ def vote(
     label = F.col("label")
     aggs = [F.count_if(label == name).alias(f"{name}_count") for name in PATH_LABELS]
     aggs.append(F.count(F.lit(1)).alias("total_paths"))
-    by_confidence = tie_rule == "highest_confidence"
-    if by_confidence:
-        aggs += [
-            F.avg(F.when(label == name, F.col("confidence"))).alias(f"_{name}")
-            for name in PATH_LABELS
-        ]
+    if tie_rule == "highest_confidence":
+        aggs += _mean_confidences()
     if with_reasoning and "reasoning_summary" in paths.columns:
         reason = F.trim("reasoning_summary")
         order = F.when(F.length(reason) > 10, F.col("path_id"))
@@ -104,23 +138,8 @@ def vote(
 
     counts = {name: F.col(f"{name}_count") for name in PATH_LABELS}
     top = F.greatest(*counts.values())
-    tied = sum(((c == top).cast("int") for c in counts.values()), F.lit(0))
-    first = F.lit(None).cast("string")
-    for name in reversed(PATH_LABELS):
-        first = F.when(counts[name] == top, name).otherwise(first)
-    if tie_rule == "neutral_default":
-        dominant = F.when(tied > 1, "neutral").otherwise(first)
-    elif by_confidence:
-        conf = {
-            name: F.when(counts[name] == top, F.coalesce(F.col(f"_{name}"), F.lit(0.0)))
-            for name in PATH_LABELS
-        }
-        best = F.greatest(*conf.values())
-        dominant = F.lit(None).cast("string")
-        for name in reversed(PATH_LABELS):
-            dominant = F.when(conf[name] == best, name).otherwise(dominant)
-    else:
-        dominant = first
+    tied = _tied(counts, top)
+    dominant = _dominant(tie_rule, counts, top, tied)
     total = F.col("total_paths")
     out = [
         *keys, *counts.values(), total,
@@ -215,14 +234,9 @@ def path_ablation(paths: DataFrame, truth: DataFrame, grid: Sequence[int] = PATH
         "posts", (F.round(top / total, 4) * F.col("posts")).alias("agreement"),
     )
     counted = scored.groupBy("num_paths", "truth", "pred").agg(
-        F.sum("posts").alias("n"), F.sum("agreement").alias("a"))
-    agreement = counted.groupBy("num_paths").agg(
-        F.round(F.sum("a") / F.sum("n"), 6).alias("mean_agreement")
-    )
-    m = metrics_from_counts(counted, ["num_paths"])
-    return m.select("num_paths", "accuracy", "macro_f1", "weighted_f1").join(
-        agreement, "num_paths"
-    )
+        F.sum("posts").alias("n"), F.sum("agreement").alias("agreement"))
+    return metrics_from_counts(counted, ["num_paths"], means=["agreement"]).select(
+        "num_paths", "accuracy", "macro_f1", "weighted_f1", "mean_agreement")
 
 
 def retention_ablation(weak: DataFrame, thresholds: Sequence[int] = RETENTION_GRID):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,17 @@ def weak_labels(responses: DataFrame, posts: DataFrame | None = None, threshold:
     return kept if posts is None else weak.with_posts(kept, posts)
 
 
+def weak_label_run(requests: DataFrame, cache: DataFrame, posts: DataFrame, val: DataFrame,
+                   test: DataFrame, threshold: int = 5, **kw) -> DataFrame:
+    """Requests (post_id, path_id, prompt_key) met with stored responses (prompt_key, response),
+    voted, filtered, distilled into a student and scored on `test`.
+
+    Requests without a response yet are left out of the vote; `weak.pending` lists them.
+    """
+    answers = weak.answered(requests, cache).filter(F.col("response").isNotNull())
+    return distil(stage(weak_labels(answers, posts, threshold), "weak"), val, test, **kw)
+
+
 def distil(weak_train: DataFrame, val: DataFrame, test: DataFrame, **kw) -> DataFrame:
     """Train the score regressor on weak labels, tune theta on `val`, score `test`."""
     student = models.StudentRegressor(**kw).fit(weak_train)
@@ -113,6 +125,14 @@ def market_signals(posts: DataFrame, bars: DataFrame, min_posts: int = 1,
     return market.sentiment_returns(daily, priced)
 
 
+def _measures(df: DataFrame, key: str | None) -> DataFrame:
+    """(item, measure, value): every column but the key as a number in a row of its own."""
+    item = F.col(key).cast("string") if key else F.lit(None).cast("string")
+    return df.select(F.inline(F.array(*[
+        F.struct(item.alias("item"), F.lit(c).alias("measure"),
+                 F.col(c).cast("double").alias("value")) for c in df.columns if c != key])))
+
+
 def market_summary(joint: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """All statistics of the joint table as (analysis, name, value) rows.
 
@@ -122,13 +142,10 @@ def market_summary(joint: DataFrame, horizons: Sequence[int] = HORIZONS) -> Data
     parts = []
 
     def add(analysis: str, df: DataFrame, key: str | None) -> None:
-        values = [c for c in df.columns if c != key and c not in ("features",)]
-        name = F.concat(F.col(key), F.lit(".")) if key else F.lit("")
-        parts.append(df.select(F.explode(F.array(*[
-            F.struct(F.lit(analysis).alias("analysis"),
-                     F.concat(name, F.lit(c)).alias("name"),
-                     F.col(c).cast("double").alias("value")) for c in values
-        ])).alias("v")).select("v.*"))
+        df = df.drop("features")
+        name = F.concat_ws(".", "item", "measure")
+        parts.append(_measures(df, key).select(
+            F.lit(analysis).alias("analysis"), name.alias("name"), "value"))
 
     add("pearson", stats.pearson(joint, horizons=horizons, p_values=True), "horizon")
     add("pearson_weighted",
@@ -139,10 +156,7 @@ def market_summary(joint: DataFrame, horizons: Sequence[int] = HORIZONS) -> Data
     add("direction", models.direction_models(joint), "model")
     add("total", joint.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("joint_observations"), F.count(F.lit(1)).alias("tickers")), None)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def benchmark(train: DataFrame, test: DataFrame, votes: DataFrame | None = None,
@@ -170,43 +184,39 @@ def benchmark(train: DataFrame, test: DataFrame, votes: DataFrame | None = None,
     return metrics.leaderboard(rows)
 
 
-def error_report(predictions: DataFrame, posts: DataFrame) -> DataFrame:
-    """Errors per model and category."""
+def error_report(predictions: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """Errors per model and category; predictions may carry the text themselves."""
     return errors.error_breakdown(errors.diagnose(predictions, posts))
 
 
 def quality_report(df: DataFrame, name: str = "full") -> DataFrame:
-    """The whole profile of a processed table as one nested row.
+    """The whole profile of a processed table as rows (split, part, item, measure, value).
 
-    The parts are small aggregates; the columns they need are written once in between.
+    The parts stay tables, so a part may have any number of items; times are seconds since 1970.
+    The columns that several parts need are written once in between.
     """
     cols = [c for c in ("text", "timestamp", "ticker", "sentiment_label", "subreddit")
             if c in df.columns]
-    nulls = quality.null_profile(df)
     slim = stage(df.select(*cols), "quality")
-
-    def listed(part: DataFrame, key: str):
-        return part.agg(F.array_sort(F.collect_list(F.struct(key, *[
-            c for c in part.columns if c != key]))).alias("x")).scalar()
-
-    fields = [F.lit(name).alias("split"), F.lit(len(df.columns)).alias("total_columns"),
-              slim.agg(F.count(F.lit(1))).scalar().alias("total_rows"),
-              listed(nulls, "column_name").alias("schema_validation")]
+    total = slim.agg(F.count(F.lit(1)).alias("total_rows")).withColumn(
+        "total_columns", F.lit(len(df.columns)))
+    parts = [("totals", total, None),
+             ("schema_validation", quality.null_profile(df), "column_name")]
     if "text" in cols:
-        fields.append(listed(quality.text_stats(slim), "measure").alias("text_statistics"))
+        parts.append(("text_statistics", quality.text_stats(slim), "measure"))
     if "sentiment_label" in cols:
-        fields.append(listed(quality.label_distribution(slim), "sentiment_label")
-                      .alias("sentiment_distribution"))
+        parts.append(
+            ("sentiment_distribution", quality.label_distribution(slim), "sentiment_label"))
     if "ticker" in cols:
-        fields.append(listed(quality.ticker_coverage(slim), "posts_with_ticker")
-                      .alias("ticker_coverage"))
-        fields.append(listed(quality.top_values(slim), "ticker").alias("top_tickers"))
+        parts.append(("ticker_coverage", quality.ticker_coverage(slim), None))
+        parts.append(("top_tickers", quality.top_values(slim), "ticker"))
     if "subreddit" in cols:
-        top = quality.value_counts(slim, "subreddit")
-        fields.append(listed(top, "subreddit").alias("subreddit_distribution"))
+        parts.append(
+            ("subreddit_distribution", quality.value_counts(slim, "subreddit"), "subreddit"))
     if "timestamp" in cols:
-        fields.append(listed(quality.temporal_coverage(slim), "min_ts")
-                      .alias("temporal_coverage"))
-    return df.sparkSession.range(1).select(*fields)
-
-
+        times = quality.temporal_coverage(
+            slim.withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+        parts.append(("temporal_coverage", times, None))
+    rows = [_measures(table, key).select(
+        F.lit(name).alias("split"), F.lit(part).alias("part"), "*") for part, table, key in parts]
+    return reduce(DataFrame.unionByName, rows)

@@ -18,8 +18,9 @@ from sentivane.sources import posts as S
 from sentivane.sources import sinks
 from sentivane.sources.prices import read_bars, write_bars
 from sentivane.workload import inputs as I
+from sentivane.workload import text
 from sentivane.workload.inputs import ctes
-from sentivane.workload.registry import query, r, rounded
+from sentivane.workload.registry import ORACLE, query, r, rounded
 from sentivane.workload.text import DETECTED, LEXSQL, STRAT
 from sentivane.workload.weak import metrics_sql
 
@@ -354,12 +355,56 @@ def distinct_dates(spark, sf):
     return I.calendar(spark, sf)
 
 
-@query("quality_report")
+PROFILED = "post_id timestamp ticker sentiment_label sentiment_score score num_comments text".split()
+
+
+def _long_sql(part: str, item: str, source: str, **measures: str) -> str:
+    names = ", ".join(f"'{m}'" for m in measures)
+    values = ", ".join(f"({v})::DOUBLE" for v in measures.values())
+    return (f"SELECT 'full' AS split, '{part}' AS part, {item} AS item, unnest([{names}]) AS measure, "
+            f"unnest([{values}]) AS value FROM {source}")
+
+
+QUALITY = " UNION ALL ".join([
+    _long_sql("totals", "NULL::VARCHAR", "(SELECT count(*) AS n FROM p)", total_rows="n",
+              total_columns=str(len(PROFILED))),
+    _long_sql("schema_validation", "c", "(SELECT unnest([" + ", ".join(
+        f"'{c}'" for c in PROFILED) + "]) AS c, unnest([" + ", ".join(
+        f"count(*) FILTER ({c} IS NULL)" for c in PROFILED) + "]) AS nulls, count(*) AS n FROM p)",
+        present="1", null_count="nulls", null_pct="round(nulls * 100.0 / n, 2)"),
+    _long_sql("text_statistics", "m", "(SELECT m, min(v) AS lo, max(v) AS hi, avg(v) AS mean, "
+              "median(v) AS mid, stddev_samp(v) AS sd FROM (SELECT 'char_count' AS m, length(text) "
+              f"AS v FROM p UNION ALL SELECT 'word_count', {_LEN} FROM p) GROUP BY 1)",
+              min="lo", max="hi", mean="round(mean, 1)", median="round(mid, 1)",
+              std="round(sd, 1)"),
+    _long_sql("sentiment_distribution", "sentiment_label", "(SELECT sentiment_label, count(*) AS n, "
+              "sum(count(*)) OVER () AS total FROM p WHERE sentiment_label IS NOT NULL GROUP BY 1)",
+              n="n", share="round(n / total, 4)"),
+    _long_sql("ticker_coverage", "NULL::VARCHAR", "(SELECT count(*) AS n, count(ticker) AS k, "
+              "count(DISTINCT ticker) AS u FROM p)", posts_with_ticker="k",
+              coverage_pct="round(k * 100.0 / n, 2)", unique_tickers="u"),
+    _long_sql("top_tickers", "ticker", "(SELECT ticker, count(*) AS n FROM p WHERE ticker IS NOT "
+              "NULL GROUP BY 1 ORDER BY n DESC, ticker LIMIT 15)", n="n"),
+    _long_sql("temporal_coverage", "NULL::VARCHAR", "(SELECT epoch(min(timestamp)) AS lo, "
+              "epoch(max(timestamp)) AS hi FROM p)", min_ts="lo", max_ts="hi",
+              days_span="floor((hi - lo) / 86400)"),
+])
+
+
+@query("quality_report", ctes("posts", extra="p AS (SELECT *, 'order ' || post_id || ' for ' || "
+       "ticker AS text FROM posts)") + QUALITY)
 def quality_report(spark, sf):
     p = I.posts(spark, sf).withColumn("text", F.concat(
         F.lit("order "), F.col("post_id").cast("string"), F.lit(" for "), F.col("ticker")))
-    report = flows.quality_report(p.withColumn("timestamp", F.col("timestamp").cast("timestamp")))
-    return report.select(F.to_json(F.struct("*")).alias("report"))
+    return flows.quality_report(p)
+
+
+@query("first_existing", "SELECT o_orderkey, o_orderpriority FROM orders")
+def first_existing(spark, sf):
+    """The first of several places that has the table, as a view."""
+    S.first_existing(
+        spark, [f"{sf}/none.parquet", f"{sf}/orders.parquet", f"{sf}/events.parquet"], "found")
+    return spark.table("found").select("o_orderkey", "o_orderpriority")
 
 
 # ------------------------------------------------------------------ models (rows only)
@@ -476,16 +521,84 @@ def analysis_summary(spark, sf):
     return flows.market_summary(I.joint(spark, sf))
 
 
-@query("e2e_lexicon_market", ctes("clean_posts", extra=LEXSQL) + "SELECT label, count(*) AS n, "
+@query("lexicon_label_counts", ctes("clean_posts", extra=LEXSQL) + "SELECT label, count(*) AS n, "
        "round(avg(compound), 6) AS mean_compound FROM (SELECT *, CASE WHEN compound > 0.05 THEN "
        "'BULLISH' WHEN compound < -0.05 THEN 'BEARISH' ELSE 'NEUTRAL' END AS label FROM lex) "
        "GROUP BY 1")
-def e2e_lexicon_market(spark, sf):
+def lexicon_label_counts(spark, sf):
     s = lexicon.lexicon_score(I.clean_posts(spark, sf))
     return rounded(s.groupBy(threshold_label(F.col("compound"), 0.05).alias("label")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("compound").alias("mean_compound")))
 
 
+# Documents as posts of the order with their number; the study period follows from them.
+LEX_POSTS = ",\n".join([LEXSQL, """posts AS (
+  SELECT o_orderkey AS post_id, o_orderdate + to_hours(o_orderkey % 24) AS timestamp,
+    o_orderpriority AS ticker, compound AS sentiment_score,
+    floor(o_totalprice / 1000)::BIGINT - 50 AS score, o_custkey % 50 AS num_comments
+  FROM lex JOIN orders ON post_id = o_orderkey),
+period AS (SELECT (min(timestamp) - INTERVAL 5 DAY)::DATE AS start_date,
+  (max(timestamp) + INTERVAL 15 DAY)::DATE AS end_date FROM posts)""",
+    I.CTES["bars"][1].replace("bars AS (", "all_bars AS (", 1),
+    "bars AS (SELECT all_bars.* FROM all_bars, period WHERE date >= start_date "
+    "AND date < end_date)", TRADED])
+
+
+@query("e2e_lexicon_market", ctes("clean_posts", "calendar", extra=LEX_POSTS) +
+       "SELECT ticker, trading_date, post_count, " +
+       r("mean_sentiment weighted_sentiment fwd_return_1d fwd_return_5d") + " FROM joint")
+def e2e_lexicon_market(spark, sf):
+    """Posts without scores: lexicon, trading days, daily signals, returns."""
+    about = I.posts(spark, sf).drop("sentiment_label", "sentiment_score")
+    p = I.clean_posts(spark, sf).select("post_id", "text").join(about, "post_id").withColumn(
+        "source", F.lit("orders"))
+    out = flows.market_signals(p, I.bars(spark, sf), earliest=dt.date(1990, 1, 1))
+    return rounded(out.select("ticker", "trading_date", "post_count", "mean_sentiment",
+                              "weighted_sentiment", "fwd_return_1d", "fwd_return_5d"))
+
+
+@query("e2e_preprocess_split", ctes("clean_posts", extra="""kept AS (
+  SELECT post_id, text FROM clean_posts WHERE length(text) >= 15
+  QUALIFY row_number() OVER (PARTITION BY text ORDER BY post_id) = 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || post_id)) - 1 AS place, count(*) OVER ()
+  AS n, count(*) OVER () * 7 // 10 AS n_train FROM kept)""") +
+       f"SELECT post_id, length(text)::INT AS char_length, {_LEN}::INT AS word_count, CASE WHEN "
+       "place < n_train THEN 'train' WHEN place < n_train + (n - n_train) // 2 THEN 'val' ELSE 'test' "
+       "END AS split FROM placed")
+def e2e_preprocess_split(spark, sf):
+    """Raw posts cleaned, deduplicated, tagged, split, written and read back."""
+    out = flows.preprocess_and_split(I.text_posts(spark, sf).drop("raw"))
+    path = new_path(spark, "splits")
+    sinks.write_splits(out, path)
+    return spark.read.parquet(path).select("post_id", "char_length", "word_count", "split")
+
+
+@query("e2e_errors", ORACLE["error_breakdown"])
+def e2e_errors(spark, sf):
+    """Predictions and posts to the error report."""
+    return flows.error_report(text._text_predictions(spark, sf), I.clean_posts(spark, sf))
+
+
+@query("e2e_weak_student")
+def e2e_weak_student(spark, sf):
+    """Prompts, keys, stored answers, votes, filter, student, threshold, metrics.
+
+    The stored answers follow the label on the first six paths and say neutral on the others.
+    """
+    train, val, test = _parts(spark, sf)
+    posts = train.withColumn("ticker", F.lit(None).cast("string"))
+    requests = stage(flows.inference_requests(
+        posts, text._examples(spark, sf), "teacher", "0.7"), "requests")
+    names = F.when(F.col("sentiment_label") == "BULLISH", "positive").when(
+        F.col("sentiment_label") == "BEARISH", "negative").otherwise("neutral")
+    answer = F.to_json(F.struct(
+        F.lit("the words of the post").alias("reasoning_summary"),
+        F.when(F.col("path_id") <= 6, names).otherwise("neutral").alias("sentiment")))
+    cache = requests.join(train.select("post_id", "sentiment_label"), "post_id").groupBy(
+        "prompt_key").agg(F.min(answer).alias("response"))
+    return flows.weak_label_run(requests, cache, train, val, test)
+
+
 @query("e2e_benchmark")
 def e2e_benchmark(spark, sf):
     train, _, test = _parts(spark, sf)

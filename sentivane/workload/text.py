@@ -219,7 +219,7 @@ def error_category_5(spark, sf):
         "post_id", E.error_category_5(F.col("text")).alias("error_category"))
 
 
-def _text_predictions(spark, sf):
+def _text_predictions(spark, sf, with_text: bool = False):
     """Two labellers on the labelled documents: cue counts and text length."""
     bull, bear = P.cue_counts(F.col("text"))
     cue = P.cue_label(bull, bear)
@@ -233,7 +233,8 @@ def _text_predictions(spark, sf):
         F.explode(F.array(
             F.struct(F.lit("cues").alias("model"), shown.alias("pred")),
             F.struct(F.lit("size").alias("model"), by_size.alias("pred")),
-        )).alias("v")).select("post_id", "truth", "v.*")
+        )).alias("v"), *(["text"] if with_text else [])).select(
+        "post_id", "truth", "v.*", *(["text"] if with_text else []))
 
 
 def _cue_sum(words) -> str:
@@ -270,17 +271,16 @@ def error_rows(spark, sf):
 
 @query("union_errors", _PRED + "SELECT post_id, model, truth, pred, error_category FROM errs")
 def union_errors(spark, sf):
-    p, posts = _text_predictions(spark, sf), I.clean_posts(spark, sf)
-    return EO.diagnose(p.filter(F.col("model") == "cues"), posts).unionByName(
-        EO.diagnose(p.filter(F.col("model") == "size"), posts))
+    p = _text_predictions(spark, sf, with_text=True)
+    return EO.diagnose(p.filter(F.col("model") == "cues")).unionByName(
+        EO.diagnose(p.filter(F.col("model") == "size")))
 
 
 @query("error_breakdown", _PRED + "SELECT model, " + ", ".join(
     f"count(*) FILTER (error_category = '{c}') AS {c.lower()}" for c in EO.CATEGORIES_4) +
     " FROM errs GROUP BY 1")
 def error_breakdown(spark, sf):
-    return EO.error_breakdown(EO.diagnose(
-        _text_predictions(spark, sf), I.clean_posts(spark, sf)))
+    return EO.error_breakdown(EO.diagnose(_text_predictions(spark, sf, with_text=True)))
 
 
 @query("model_disagreement", _PRED + f"""SELECT post_id, any_value(CASE WHEN length(text) > 300

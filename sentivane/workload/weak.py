@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sentivane.functions import labels as L
+from sentivane.operators.models import teacher_guard as teacher_column
 from sentivane.operators import metrics as M
 from sentivane.operators import weak as K
 from sentivane.vocab import PATH_GRID, RETENTION_GRID, THETA_GRID
@@ -93,14 +94,14 @@ _TOP = "greatest(" + ", ".join(
        "first_label AS first FROM votes")
 def tie_break(spark, sf):
     """All three tie rules beside each other."""
-    p = I.paths(spark, sf)
-    conf = K.vote(p, "highest_confidence", with_reasoning=False).select(
-        "post_id", "is_tie", F.col("dominant_label").alias("highest_confidence"))
-    neutral = K.vote(p, with_reasoning=False).select(
-        "post_id", F.col("dominant_label").alias("neutral_default"))
-    first = K.vote(p, "first", with_reasoning=False).select(
-        "post_id", F.col("dominant_label").alias("first"))
-    return conf.join(neutral, "post_id").join(first, "post_id")
+    return K.tie_rules(I.paths(spark, sf))
+
+
+@query("teacher_guard", ctes("votes") + "SELECT post_id, dominant_label AS target FROM votes")
+def teacher_guard(spark, sf):
+    """The column a student may learn from, taken from the weak labels."""
+    weak = K.vote(I.paths(spark, sf), with_reasoning=False)
+    return weak.select("post_id", F.col(teacher_column(weak, "classification")).alias("target"))
 
 
 @query("reasoning_sample", ctes("paths") + "SELECT post_id, coalesce(arg_min(trim("

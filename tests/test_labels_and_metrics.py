@@ -331,3 +331,31 @@ def test_metrics_by_group_equal_metrics_of_each(spark):
     both = {r["model"]: tuple(r)[1:] for r in M.binary_metrics(df, by=["model"]).collect()}
     for m in ("a", "bb"):
         assert both[m] == pytest.approx(tuple(M.binary_metrics(df.filter(f"model = '{m}'")).first()))
+
+
+def test_tie_rules_in_one_pass_equal_single_votes(spark):
+    paths = spark.createDataFrame(
+        [(1, 1, "positive", 0.9), (1, 2, "negative", 0.4), (2, 1, "negative", 0.2),
+         (2, 2, "neutral", 0.7), (3, 1, "positive", 0.5), (3, 2, "positive", 0.1),
+         (4, 1, None, 0.3)],
+        "post_id long, path_id int, label string, confidence double")
+    both = {r["post_id"]: r.asDict() for r in K.tie_rules(paths).collect()}
+    assert len(both) == 4
+    for rule in K.TIE_RULES:
+        for r in K.vote(paths, rule).collect():
+            assert both[r["post_id"]][rule] == r["dominant_label"]
+            assert both[r["post_id"]]["is_tie"] == r["is_tie"]
+
+
+def test_errors_with_and_without_posts(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "BULLISH", "BEARISH", "yolo to the moon"), (1, "b", "BULLISH", "BULLISH", "yolo"),
+         (2, "a", "NEUTRAL", None, "earnings call"), (3, "b", "BEARISH", "BULLISH", None)],
+        "post_id long, model string, truth string, pred string, text string")
+    posts = spark.createDataFrame(
+        [(1, "yolo to the moon"), (2, "earnings call"), (3, None)], "post_id long, text string")
+    carried = EO.diagnose(rows)
+    joined = EO.diagnose(rows.drop("text"), posts)
+    assert sorted(map(str, carried.select(joined.columns).collect())) == sorted(
+        map(str, joined.collect()))
+    assert carried.count() == 3

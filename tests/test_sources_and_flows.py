@@ -205,10 +205,14 @@ def test_direction_models(spark):
 def test_quality_report(spark):
     df = smoke(spark).withColumn("timestamp", F.current_timestamp()).withColumn(
         "subreddit", F.lit("stocks"))
-    r = flows.quality_report(df).first()
-    assert r["total_rows"] == 10 and len(r["top_tickers"]) == 10
-    assert {x["sentiment_label"]: x["n"] for x in r["sentiment_distribution"]} == {
+    rows = flows.quality_report(df).collect()
+    got = {(r["part"], r["item"], r["measure"]): r["value"] for r in rows}
+    assert len(got) == len(rows)
+    assert got["totals", None, "total_rows"] == 10
+    assert sum(part == "top_tickers" for part, _, _ in got) == 10
+    assert {k[1]: v for k, v in got.items() if k[0] == "sentiment_distribution" and k[2] == "n"} == {
         "BULLISH": 4, "BEARISH": 3, "NEUTRAL": 3}
+    assert got["subreddit_distribution", "stocks", "n"] == 10
 
 
 def test_entry_contract(spark):
