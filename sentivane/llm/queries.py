@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from sentivane.llm import (
-    ctw, packing, quality, quotes, sentencepiece_bpe, simhash, syncmers,
-    token_files, toxicity, urls,
+    ctw, packing, quality, quality_model, quotes, sentencepiece_bpe, simhash, syncmers,
+    token_files, toxicity, urls, whitening, word_runs,
 )
 from sentivane.llm.texts import table
 
@@ -80,3 +80,19 @@ def op10(spark, sf_dir):
 @query("op6_lm_scoring")
 def op6(spark, sf_dir):
     return ctw.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_classifier")
+def op11(spark, sf_dir):
+    return quality_model.classified(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    return word_runs.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(whitening.whole_numbers(table(spark, sf_dir, "embeddings")))
