@@ -13,33 +13,64 @@ repeated rows are packed as often as they are there.
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentivane.llm.texts import by_batches, narrow, raw
+from sentivane.llm.texts import by_batches, narrow
 from sentivane.session import stage
 
 LENGTH = 2048
 # Distinct words, and distinct parts of words, a worker remembers before it starts anew.
 CACHE_WORDS, CACHE_PARTS = 1_200_000, 800_000
-_PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Parts that are put to the tokenizer as one string.
+JOINED = 2_000
+_PART = regex.compile(r"\n|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # An apostrophe may begin a contraction, <| a special token; beyond Latin letters characters may be
 # composed, and some control signs count as white space here and not there.
 _WHOLE = re.compile(r"'|<\||[^\x00-\x1b\x20-\u024f]")
 
 
+class Numbered:
+    """Keys with a number each and the ids of every number, laid out in one array."""
+
+    def __init__(self, kind):
+        self.number: dict = {}
+        self.ids, self.size = np.zeros(0, kind), np.zeros(0, np.int64)
+
+    def add(self, keys: list, ids: np.ndarray, size: np.ndarray) -> None:
+        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+        self.size = np.concatenate([self.size, size])
+        self.start = np.cumsum(self.size) - self.size
+
+    def numbers(self, keys: list) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        return np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all numbers one behind the other, and how many each has."""
+        if not len(numbers):
+            return self.ids[:0], numbers
+        size = self.size[numbers]
+        shift = self.start[numbers] - (np.cumsum(size) - size)
+        return self.ids[np.arange(int(size.sum())) + np.repeat(shift, size)], size
+
+
 class WordTokens:
     """Ids of a tokenizer that drops white space and never joins across it, word by word.
 
     Texts are split at ASCII white space; the ids of each word are asked of the tokenizer once and
-    remembered.  Words of Latin signs are cut further where the tokenizer's own pattern cuts them.
+    remembered.  Words of Latin signs are cut further where the tokenizer's own pattern cuts them,
+    and their parts are put to the tokenizer many in one string: the last id of a part is known by
+    the word end in its name.
     """
 
     def __init__(self, path: str, special_as_text: bool):
@@ -48,40 +79,75 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.code = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.kind = "H" if self.code == "<u2" else "I"
-        self.known: dict[bytes, bytes] = {}
-        self.part: dict[str, bytes] = {}
-
-    def learn(self, missing: set[bytes]) -> None:
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.part) > CACHE_PARTS:
-            self.part.clear()
-        whole, cut = [], {}
-        for w in missing:
-            s = w.decode("utf-8", "replace")
-            if _WHOLE.search(s):
-                whole.append(w)
-            else:
-                cut[w] = _PART.findall(s.lower())
-        new = {p for parts in cut.values() for p in parts}.difference(self.part)
-        asked = [*new, *(w.decode("utf-8", "replace") for w in whole)]
-        got = [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(
-            asked, add_special_tokens=False)]
-        self.part.update(zip(new, got))
-        self.known.update(zip(whole, got[len(new):]))
-        for w, parts in cut.items():
-            self.known[w] = b"".join(map(self.part.__getitem__, parts))
-
-    def packed(self, texts: list[bytes]) -> list[bytes]:
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.part = Numbered(self.code), Numbered(self.code)
+
+    def _asked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return (np.fromiter(chain.from_iterable(got), np.int64),
+                np.fromiter(map(len, got), np.int64, len(got)))
+
+    def _parts(self, new: list[str]) -> None:
+        ids, _ = self._asked([" ".join(new[i:i + JOINED]) for i in range(0, len(new), JOINED)])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(new) and last[-1] == len(ids) - 1:
+            self.part.add(new, ids, np.diff(last, prepend=-1))
+        else:  # a tokenizer without word ends
+            self.part.add(new, *self._asked(new))
+
+    def learn(self, missing: list[bytes]) -> None:
+        if len(self.part.number) > CACHE_PARTS:
+            self.part = Numbered(self.code)
+        texts = [w.decode("utf-8", "replace") for w in missing]
+        whole = [bool(_WHOLE.search(t)) for t in texts]
+        if any(whole):
+            self.known.add(list(compress(missing, whole)), *self._asked(list(compress(texts, whole))))
+            cut = [not x for x in whole]
+            missing, texts = list(compress(missing, cut)), list(compress(texts, cut))
+        if not missing:
+            return
+        if "\n" not in self.part.number:
+            self.part.add(["\n"], np.zeros(0, np.int64), np.zeros(1, np.int64))
+        # one scan over all words; a line feed, which is in no word, closes each
+        parts = _PART.findall("\n".join([*texts, ""]).lower())
+        new = list(set(parts).difference(self.part.number))
+        if new:
+            self._parts(new)
+        number = self.part.numbers(parts)
+        ids, size = self.part.gather(number)
+        closes = np.flatnonzero(number == self.part.number["\n"])
+        self.known.add(missing, ids, np.diff(np.cumsum(size)[closes], prepend=0))
+
+    def flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts one behind the other, and how many each text has."""
+        texts = column.cast(pa.binary()).fill_null(b"").view(pa.string())
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        number = self.known.numbers(distinct)
+        if (number < 0).any():
+            if len(self.known.number) + int((number < 0).sum()) > CACHE_WORDS:
+                self._forget()
+                number[:] = -1
+            missing = list(compress(distinct, (number < 0).tolist()))
+            self.learn(missing)
+            number[number < 0] = self.known.numbers(missing)
+        ids, size = self.known.gather(number[words.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(bounds)
+
+    def packed(self, column: pa.Array) -> list[bytes]:
         """The ids of each text as bytes."""
-        split = [t.split() for t in texts]
-        seen = set().union(*split)
-        missing = seen.difference(self.known)
-        if missing:
-            # learn() may forget: the words that were known are then asked again
-            self.learn(seen if len(self.known) + len(missing) > CACHE_WORDS else missing)
-        return [b"".join(map(self.known.__getitem__, w)) for w in split]
+        ids, size = self.flat(column)
+        ends = np.cumsum(size).tolist()
+        return [ids[i:j].tobytes() for i, j in zip([0, *ends], ends)]
 
 
 @lru_cache(maxsize=2)
@@ -97,7 +163,7 @@ def placed(df: DataFrame, path: str, end: int, id_col: str, text_col: str) -> Da
         part, at = TaskContext.get().partitionId(), 0
         tail = np.array([end], t.code).tobytes()
         for b in batches:
-            ids = [x + tail for x in t.packed(raw(b.column(1)))]
+            ids = [x + tail for x in t.packed(b.column(1))]
             n = np.array([len(x) for x in ids], np.int64) // len(tail)
             before = at + np.cumsum(n) - n
             at += int(n.sum())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentivane.llm.packing import word_tokens
-from sentivane.llm.texts import by_batches, narrow, raw
+from sentivane.llm.texts import by_batches, narrow
 from sentivane.session import new_path
 
 END = 0
@@ -40,7 +40,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int = END, width: int =
         t = word_tokens(tokenizer, True)
         for b in batches:
             ids = [(np.frombuffer(x, t.code).astype(code) + 1).tobytes()
-                   for x in t.packed(raw(b.column(1)))]
+                   for x in t.packed(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["value"])
 
     texts = narrow(df.withColumn("_none", F.lit(None).cast("bigint")), "_none", text_col)

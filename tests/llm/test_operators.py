@@ -473,7 +473,7 @@ def test_memory_of_words_starts_anew(monkeypatch):
     t = packing.WordTokens(WORDS, False)
     texts = [" ".join(f"a{i}b, it's c{i}" for i in range(k, k + 9)).encode() for k in range(30)]
     for k, text in enumerate(texts):
-        ids = np.frombuffer(t.packed([text])[0], t.code).tolist()
+        ids = np.frombuffer(t.packed(pa.array([text], pa.binary()))[0], t.code).tolist()
         assert ids == t.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
 
