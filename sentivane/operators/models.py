@@ -1,30 +1,24 @@
-"""TF-IDF features and the classifiers, regressors and direction models of pyspark.ml."""
+"""TF-IDF features, the classifiers and regressors on them, and the direction models."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
-from pyspark.ml.feature import (
-    CountVectorizerModel,
-    ElementwiseProduct,
-    Normalizer,
-    VectorAssembler,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from contextlib import contextmanager
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentivane.functions.let import let
+from sentivane.operators import linear, newton
 from sentivane.operators.metrics import binary_metrics
 from sentivane.operators.ordering import exact_floor, rank_cuts
 from sentivane.operators.quality import require_columns
-from sentivane.session import small_table
+from sentivane.session import one_row, small_table, stage
 from sentivane.vocab import WORD
 
 TERM = f"[{WORD}]{{2,}}"
@@ -34,8 +28,8 @@ C_GRID = [0.01, 0.1, 1.0, 10.0]
 # Iteration limits; fits end earlier when they change less than the tolerance.
 MAX_ITER = {"logreg": 1000, "svm": 2000, "nb": 1}
 TOLERANCE = 1e-4
-# Independent fits that run at the same time; each is a row of short jobs.
-PARALLEL_FITS = 8
+# Folds of the calibration: every sigmoid is fitted on the fold its margins have not seen.
+FOLDS = 3
 
 
 def terms(text: Column) -> Column:
@@ -117,8 +111,35 @@ def tfidf_long(docs: DataFrame, id_col: str, size: int = MAX_FEATURES) -> DataFr
                        F.col("t.tf").cast("bigint").alias("tf"), "t.tfidf")
 
 
+def sparse_margins(weights: np.ndarray, features: Column) -> Column:
+    """Array with the products of a sparse vector and every column of weights (intercept last)."""
+
+    @F.arrow_udf("array<double>")
+    def products(term: pa.Array, value: pa.Array) -> pa.Array:
+        size = np.diff(term.offsets.to_numpy())
+        out = np.tile(weights[-1], (len(size), 1))
+        at, v = term.flatten().to_numpy(), value.flatten().to_numpy()
+        full = np.flatnonzero(size)
+        if len(full):
+            first = (np.cumsum(size) - size)[full]
+            out[full] += np.add.reduceat(v[:, None] * weights[at], first)
+        return pa.FixedSizeListArray.from_arrays(out.ravel(), out.shape[1]).cast(
+            pa.list_(pa.float64()))
+
+    return products(*sparse_parts(features))
+
+
+def sparse_parts(features: Column) -> tuple[Column, Column]:
+    """(terms, values) of a vector."""
+    v = F.unwrap_udt(features)
+    return F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1)), v["values"]
+
+
 class TextClassifier:
-    """TF-IDF and one of: logreg, svm (one against the rest, calibrated in 3 folds), nb."""
+    """TF-IDF and one of: logreg, svm (one against the rest, calibrated in 3 folds), nb.
+
+    logreg and svm are problems of `linear.solve`; nb is a table of sums.
+    """
 
     def __init__(self, kind: str = "logreg", c: float = 1.0, alpha: float = 1.0,
                  size: int = MAX_FEATURES, max_iter: int | None = None):
@@ -133,50 +154,30 @@ class TextClassifier:
     def fit_features(self, tfidf: TfIdf, rows: DataFrame, text: str = "text",
                      label: str = "sentiment_label"):
         """As `fit`, on rows that already carry the `features` of `tfidf`."""
+        self._classes(tfidf, rows, text, label)
+        if self.kind == "nb":
+            self.weights = class_weights(
+                rows, label, self.labels, len(tfidf.terms), self.alpha)
+            return self
+        with packed_rows(rows, self.labels, text, label) as blocks:
+            n, k = len(tfidf.terms), len(self.labels)
+            if self.kind == "logreg":
+                problems = [linear.Problem("softmax", self.c, k)]
+            else:
+                problems = [linear.Problem("hinge", self.c, positive=i, without_fold=f)
+                            for f in range(FOLDS) for i in range(k)]
+            self.weights = np.concatenate(
+                linear.solve(blocks, n, problems, self.max_iter, TOLERANCE), 1)
+            if self.kind == "svm":
+                self.sigmoids = calibrated(blocks, self.weights, k)
+        return self
+
+    def _classes(self, tfidf, rows, text, label) -> None:
         self.text, self.tfidf = text, tfidf
         # class names: one row per class
         self.labels = sorted(r[0] for r in rows.select(label).distinct().collect())
         if len(self.labels) < 2:
             raise ValueError("training needs at least two classes")
-        index = F.array_position(F.lit(self.labels), F.col(label)) - 1
-        # the text itself only deals out the folds
-        rows = rows.select("features", index.cast("double").alias("label"),
-                           F.pmod(F.xxhash64(text), F.lit(3)).alias("fold")).persist()
-        try:
-            fit = {"logreg": self._fit_logreg, "svm": self._fit_svm, "nb": self._fit_nb}
-            self.model = fit[self.kind](rows, rows.count())
-        finally:
-            rows.unpersist()
-        return self
-
-    def _fit_logreg(self, rows, n):
-        return LogisticRegression(
-            family="multinomial", regParam=1.0 / (self.c * n), standardization=False,
-            maxIter=self.max_iter, tol=TOLERANCE).fit(rows)
-
-    def _fit_nb(self, rows, n):
-        return NaiveBayes(modelType="multinomial", smoothing=self.alpha).fit(rows)
-
-    def _fit_svm(self, rows, n):
-        """Per class and fold: a linear SVM on the other folds and a sigmoid on the fold."""
-        spark = rows.sparkSession
-
-        def fit(task):
-            i, k = task
-            binary = rows.withColumn("label", (F.col("label") == i).cast("double"))
-            # squared-sum loss with C against Spark's mean loss with regParam
-            svm = LinearSVC(
-                regParam=1.0 / (self.c * max(1, 2 * n // 3)), standardization=False,
-                maxIter=self.max_iter, tol=TOLERANCE, rawPredictionCol="raw", predictionCol="p",
-            ).fit(binary.filter(F.col("fold") != k))
-            held = svm.transform(binary.filter(F.col("fold") == k)).select(
-                "label", array_to_vector(F.array(F.get(vector_to_array("raw"), 1)))
-                .alias("features"))
-            return i, svm, LogisticRegression(maxIter=self.max_iter, tol=TOLERANCE).fit(held)
-
-        tasks = [(i, k) for i in range(len(self.labels)) for k in range(3)]
-        with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
-            return pool.map(inheritable_thread_target(spark)(fit), tasks)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds `pred` and `probabilities` (in order of `self.labels`)."""
@@ -184,33 +185,106 @@ class TextClassifier:
 
     def score(self, out: DataFrame) -> DataFrame:
         """As `transform`, on rows that already carry the features."""
-        if self.kind == "svm":
-            sums = [F.lit(0.0)] * len(self.labels)
-            for j, (i, svm, sigmoid) in enumerate(self.model):
-                out = svm.copy({svm.rawPredictionCol: f"_raw{j}", svm.predictionCol: f"_p{j}"}
-                               ).transform(out).drop(f"_p{j}")
-                a, b = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-                margin = F.get(vector_to_array(f"_raw{j}"), 1)
-                sums[i] = sums[i] + 1.0 / (1.0 + F.exp(-(margin * a + b)))
-            whole = sum(sums, F.lit(0.0))
-            probs = F.array(*[s / whole for s in sums])
-            out = out.withColumn("probabilities", probs).drop(
-                *[f"_raw{j}" for j in range(len(self.model))])
-        else:
-            out = self.model.transform(out).withColumn(
-                "probabilities", vector_to_array("probability")
-            ).drop("rawPrediction", "probability", "prediction")
+        k = len(self.labels)
+        margins = sparse_margins(self.weights, F.col("features"))
+
+        def shares(parts: list[Column]) -> Column:
+            return let(F.array(*parts), lambda a: F.transform(
+                a, lambda v: v / F.aggregate(a, F.lit(0.0), lambda s, x: s + x)))
+
+        def probabilities(m: Column) -> Column:
+            if self.kind != "svm":
+                return let(m, lambda v: shares(
+                    [F.exp(F.get(v, i) - F.array_max(v)) for i in range(k)]))
+            # every fold's classes sum to one, then the folds are averaged
+            folds = [shares([newton.sigmoid(
+                F.get(m, f * k + i) * float(self.sigmoids[f * k + i, 0])
+                + float(self.sigmoids[f * k + i, 1])) for i in range(k)]) for f in range(FOLDS)]
+            return F.array(*[sum((F.get(x, i) for x in folds), F.lit(0.0)) / FOLDS
+                             for i in range(k)])
+
+        out = out.withColumn("_margins", margins).withColumn(
+            "probabilities", let(F.col("_margins"), probabilities)).drop("_margins")
         best = F.array_position("probabilities", F.array_max("probabilities"))
         return out.withColumn("pred", F.get(F.lit(self.labels), best.cast("int") - 1)).drop(
             "features")
 
 
+@contextmanager
+def packed_rows(rows: DataFrame, labels: Sequence[str], text: str, label: str):
+    """The rows as blocks for `linear.solve`, kept while the passes run over them."""
+    index = F.array_position(F.lit(list(labels)), F.col(label)) - 1
+    # the text itself only deals out the folds
+    blocks = linear.packed(rows.select(
+        "features", index.alias("label"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).alias("fold")),
+        fold="fold").persist()
+    try:
+        yield blocks
+    finally:
+        blocks.unpersist()
+
+
+def calibrated(blocks: DataFrame, weights: np.ndarray, classes: int) -> np.ndarray:
+    """(slope, intercept) of a sigmoid per column of weights, fitted on the fold it has not seen.
+
+    Targets are drawn in a little from 0 and 1 by the sizes of both sides, after Platt.
+    """
+    columns = weights.shape[1]
+
+    def held(batches):
+        for b in batches:
+            for record in b.to_pylist():
+                block = linear.Block(record)
+                margin = block.margins(weights)
+                model = block.fold[:, None] * classes + np.arange(classes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(model.ravel().astype(np.int32)),
+                     pa.array((block.target[:, None] == np.arange(classes)).ravel()),
+                     pa.array(np.take_along_axis(margin, model, 1).ravel())],
+                    ["model", "hit", "margin"])
+
+    rows = blocks.mapInArrow(held, "model int, hit boolean, margin double").persist()
+    try:
+        hits = {r["model"]: (r["hits"], r["n"]) for r in rows.groupBy("model").agg(
+            F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("n")).collect()}
+        high = [(hits.get(j, (0, 0))[0] + 1.0) / (hits.get(j, (0, 0))[0] + 2.0)
+                for j in range(columns)]
+        low = [1.0 / (n - h + 2.0) for h, n in (hits.get(j, (0, 0)) for j in range(columns))]
+        target = F.when(F.col("hit"), F.get(F.lit(high), F.col("model"))).otherwise(
+            F.get(F.lit(low), F.col("model")))
+        return newton.logistic(
+            rows.select("model", target.alias("y"), F.array("margin").alias("x")),
+            columns, 1, ridge=0.0, tolerance=1e-6)
+    finally:
+        rows.unpersist()
+
+
+def class_weights(rows: DataFrame, label: str, labels: Sequence[str], terms: int,
+                  alpha: float = 1.0) -> np.ndarray:
+    """Naive Bayes: log of the smoothed share of every term in a class; last the class's log prior.
+
+    The sums per (class, term) are a table; it has at most `terms` x classes rows.
+    """
+    term, value = sparse_parts(F.col("features"))
+    each = rows.select(F.col(label).alias("class"), F.posexplode(F.arrays_zip(
+        term.alias("term"), value.alias("value"))).alias("at", "v"))
+    sums = each.groupBy("class", F.col("v.term").alias("term")).agg(
+        F.sum("v.value").alias("total")).toArrow()
+    sizes = dict(rows.groupBy(label).count().collect())
+    place = {name: i for i, name in enumerate(labels)}
+    total = np.zeros((terms, len(labels)))
+    column = np.array([place[c] for c in sums["class"].to_pylist()], np.int64)
+    total[sums["term"].to_numpy(), column] = sums["total"].to_numpy()
+    total += alpha
+    prior = np.log([sizes[name] / sum(sizes.values()) for name in labels])
+    return np.vstack([np.log(total) - np.log(total.sum(0)), prior])
+
+
 def top_features(model: TextClassifier, spark, n: int = 10) -> DataFrame:
     """(class, rank, term, weight): strongest terms per class of a fitted logreg."""
-    matrix = model.model.coefficientMatrix
     rows = []
     for i, name in enumerate(model.labels):
-        weights = [(float(matrix[i, j]), t) for j, t in enumerate(model.tfidf.terms)]
+        weights = list(zip(model.weights[:-1, i].tolist(), model.tfidf.terms))
         weights.sort(key=lambda x: (-x[0], x[1]))
         rows += [(name, k + 1, t, w) for k, (w, t) in enumerate(weights[:n])]
     return small_table(spark, rows, "class string, rank int, term string, weight double")
@@ -219,22 +293,37 @@ def top_features(model: TextClassifier, spark, n: int = 10) -> DataFrame:
 def grid_search(train: DataFrame, val: DataFrame, kind: str = "logreg",
                 grid: Sequence[float] = C_GRID, label: str = "sentiment_label",
                 **kw) -> DataFrame:
-    """(c, macro_f1) on the validation rows, best first; features are fitted once."""
+    """(c, macro_f1) on the validation rows, best first.
+
+    Features are fitted once and all C share the passes; the others start from the solution of the
+    least C.  Validation rows are scored once for all C.
+    """
     from sentivane.operators.metrics import classification_metrics
 
     spark = train.sparkSession
     tfidf = TfIdf(kw.get("size", MAX_FEATURES)).fit(train)
-    seen = tfidf.transform(train.filter(F.col(label).isNotNull())).persist()
-    held = tfidf.transform(val).select(label, "features").persist()
-    rows = []
-    for c in grid:
-        model = TextClassifier(kind, c=c, **kw).fit_features(tfidf, seen, label=label)
-        pred = model.score(held).select(F.col(label).alias("truth"), "pred")
-        rows.append((float(c), classification_metrics(pred).first()["macro_f1"]))
-    seen.unpersist()
-    held.unpersist()
-    rows.sort(key=lambda r: (-r[1], r[0]))
-    return small_table(spark, rows, "c double, macro_f1 double")
+    seen = tfidf.transform(train.filter(F.col(label).isNotNull()))
+    cs = sorted(set(map(float, grid)))
+    models = [TextClassifier(kind, c=c, **kw) for c in cs]
+    if kind == "logreg":
+        models[0]._classes(tfidf, seen, "text", label)
+        k = len(models[0].labels)
+        problems = [linear.Problem("softmax", c, k, after=0 if j else None)
+                    for j, c in enumerate(cs)]
+        with packed_rows(seen, models[0].labels, "text", label) as blocks:
+            solved = linear.solve(
+                blocks, len(tfidf.terms), problems, models[0].max_iter, TOLERANCE)
+        for model, weights in zip(models, solved):
+            model.text, model.tfidf, model.labels = "text", tfidf, models[0].labels
+            model.weights = weights
+    else:
+        for model in models:
+            model.fit_features(tfidf, seen, label=label)
+    held = stage(tfidf.transform(val).select(label, "features"), "held")
+    scored = [model.score(held).select(F.lit(model.c).alias("c"), F.col(label).alias("truth"), "pred")
+              for model in models]
+    return classification_metrics(reduce(DataFrame.unionByName, scored), ["c"]).select(
+        "c", "macro_f1").orderBy(F.desc("macro_f1"), "c")
 
 
 def teacher_guard(df: DataFrame, kind: str) -> str:
@@ -259,16 +348,24 @@ class StudentRegressor:
         target = teacher_guard(weak, "regression")
         self.text = text
         self.tfidf = TfIdf(self.size).fit(weak, text)
-        rows = self.tfidf.transform(weak, text).select(
-            "features", F.col(target).alias("label"))
-        self.model = LinearRegression(
-            regParam=self.reg, standardization=False, maxIter=self.max_iter, solver="l-bfgs",
-            tol=TOLERANCE).fit(rows)
+        rows = self.tfidf.transform(weak, text).select("features", F.col(target).alias("label")) \
+            .dropna(subset=["label"])
+        blocks = linear.packed(rows).persist()
+        try:
+            bends = linear.curvature(blocks, len(self.tfidf.terms))
+            # mean squared error with `reg` against a sum with C
+            problem = linear.Problem("squares", 1.0 / (self.reg * max(bends.rows, 1.0)))
+            self.weights, = linear.solve(
+                blocks, len(self.tfidf.terms), [problem], self.max_iter, TOLERANCE,
+                linear.evaluator(blocks, len(self.tfidf.terms)), bends)
+        finally:
+            blocks.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self.tfidf.transform(df, self.text))
-        return out.withColumnRenamed("prediction", "score").drop("features")
+        out = self.tfidf.transform(df, self.text)
+        return out.withColumn(
+            "score", F.get(sparse_margins(self.weights, F.col("features")), 0)).drop("features")
 
 
 class StudentClassifier(TextClassifier):
@@ -283,50 +380,73 @@ DIRECTION_MODELS = {
     "F4_sentiment_only": ["mean_sentiment", "post_count"],
     "F5_combined": ["lag_return_1d", "mean_sentiment", "post_count"],
 }
+DIRECTION_FEATURES = DIRECTION_MODELS["F5_combined"]
+
+
+def _direction_rows(joint: DataFrame, horizon: int, order: str, min_rows: int) -> DataFrame | None:
+    """(model, name, x, label, train): every row once per model; None where nothing can be fitted."""
+    target = f"fwd_direction_{horizon}d"
+    rows = stage(joint.dropna(subset=[*DIRECTION_FEATURES, target]).select(
+        "ticker", "trading_date", *[F.col(c).cast("double") for c in DIRECTION_FEATURES],
+        F.col(target).cast("double").alias("label")), "direction")
+    n = rows.count()
+    if n < min_rows:
+        return None
+    keys = ["trading_date", "ticker"] if order == "time" else ["ticker", "trading_date"]
+    k = exact_floor(n, 0.8)
+    cut = rank_cuts(rows, keys[:1], keys, [k])[k]
+    limit = F.struct(*[
+        F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(keys, cut)])
+    each = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("model"), F.lit(name).alias("name"), F.array(*[
+            F.col(c) if c in used else F.lit(0.0) for c in DIRECTION_FEATURES]).alias("x"))
+        for i, (name, used) in enumerate(DIRECTION_MODELS.items())])).alias("m")
+    out = rows.select("label", (F.struct(*keys) < limit).alias("train"), each).select(
+        "m.*", "label", "train")
+    sides = {r["train"]: r for r in out.groupBy("train").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).collect()}
+    if len(sides) < 2 or any(r["low"] == r["high"] for r in sides.values()):
+        return None
+    return out
+
+
+def _direction_weights(rows: DataFrame) -> np.ndarray:
+    return newton.logistic(
+        rows.filter("train").select("model", F.col("label").alias("y"), "x"),
+        len(DIRECTION_MODELS), len(DIRECTION_FEATURES))
+
+
+def direction_coefficients(joint: DataFrame, horizon: int = 1, order: str = "time",
+                           min_rows: int = 30) -> DataFrame:
+    """(model, term, weight) of the direction models, their intercepts among them."""
+    spark = joint.sparkSession
+    rows = _direction_rows(joint, horizon, order, min_rows)
+    out = []
+    if rows is not None:
+        weights = _direction_weights(rows)
+        for (name, used), w in zip(DIRECTION_MODELS.items(), weights.tolist()):
+            out += [(name, c, v) for c, v in zip([*DIRECTION_FEATURES, "intercept"], w)
+                    if c in used or c == "intercept"]
+    return small_table(spark, out, "model string, term string, weight double")
 
 
 def direction_models(joint: DataFrame, horizon: int = 1, order: str = "time",
                      min_rows: int = 30) -> DataFrame:
     """Up/down models on the first 80 % of rows, scored on the rest; empty if data are too few.
 
+    Logistic regressions with a ridge of 1, all fitted by the same Newton passes.
     `order="time"` cuts by date; `order="table"` cuts the table ordered by ticker and date.
     """
-    spark = joint.sparkSession
-    target = f"fwd_direction_{horizon}d"
-    features = DIRECTION_MODELS["F5_combined"]
-    out = "model string, accuracy double, auc_roc double, f1_score double, train_size bigint, " \
-          "test_size bigint"
-    rows = joint.dropna(subset=[*features, target]).select(
-        "ticker", "trading_date", *[F.col(c).cast("double") for c in features],
-        F.col(target).cast("double").alias("label")).persist()
-    try:
-        n = rows.count()
-        if n < min_rows:
-            return small_table(spark, [], out)
-        keys = ["trading_date", "ticker"] if order == "time" else ["ticker", "trading_date"]
-        k = exact_floor(n, 0.8)
-        cut = rank_cuts(rows, keys[:1], keys, [k])[k]
-        key = F.struct(*keys)
-        limit = F.struct(*[
-            F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(keys, cut)])
-        train, test = rows.filter(key < limit), rows.filter(key >= limit)
-        if min(d.select("label").distinct().count() for d in (train, test)) < 2:
-            return small_table(spark, [], out)
-        sizes = (train.count(), test.count())
-        results = None
-        for name, cols in DIRECTION_MODELS.items():
-            pipe = Pipeline(stages=[
-                VectorAssembler(inputCols=cols, outputCol="features"),
-                LogisticRegression(regParam=1.0 / sizes[0], standardization=False),
-            ]).fit(train)
-            scored = pipe.transform(test).select(
-                F.col("label").cast("bigint").alias("truth"),
-                F.get(vector_to_array("probability"), 1).alias("score"))
-            row = binary_metrics(scored).select(
-                F.lit(name).alias("model"), "accuracy", "auc_roc", "f1_score",
-                F.lit(sizes[0]).cast("bigint").alias("train_size"),
-                F.lit(sizes[1]).cast("bigint").alias("test_size"))
-            results = row if results is None else results.unionByName(row)
-        return results
-    finally:
-        rows.unpersist()
+    rows = _direction_rows(joint, horizon, order, min_rows)
+    if rows is None:
+        return small_table(
+            joint.sparkSession, [], "model string, accuracy double, auc_roc double, "
+            "f1_score double, train_size bigint, test_size bigint")
+    score = newton.sigmoid(newton.linear(_direction_weights(rows), F.col("model"), F.col("x")))
+    scored = rows.filter(~F.col("train")).select(
+        F.col("name").alias("model"), F.col("label").cast("bigint").alias("truth"),
+        score.alias("score"))
+    sizes = rows.filter("model = 0").agg(F.count_if("train").alias("n"))
+    return binary_metrics(scored, by=["model"]).select(
+        "model", "accuracy", "auc_roc", "f1_score",
+        one_row(sizes)["n"].alias("train_size"), F.col("n").alias("test_size"))
