@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentivane.functions.let import let
 from sentivane.operators.ordering import average_ranks, exact_quantiles
 from sentivane.session import one_row, stage
 from sentivane.vocab import HORIZONS
@@ -20,49 +20,62 @@ def complete_cases(df: DataFrame, sentiment: str = "mean_sentiment",
     return df.dropna(subset=[sentiment, *[f"fwd_return_{h}d" for h in horizons]])
 
 
+# Steps of the continued fraction; those after it has converged change nothing.
+FRACTION_STEPS = 500
+
+
+def log_gamma_ratio(a: Column) -> Column:
+    """ln(gamma(a) / gamma(a + 1/2)) for a > 0: Stirling's series ten places up, and back down."""
+    def series(x: Column) -> Column:
+        z = 1 / (x * x)
+        return (x - 0.5) * F.log(x) - x + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (
+            1 / 1680 - z / 1188)))) / x
+
+    down = sum((F.log((a + i + 0.5) / (a + i)) for i in range(10)), F.lit(0.0))
+    return series(a + 10) - series(a + 10.5) + down
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function, two links a step (modified Lentz)."""
+    far = lambda v: F.when(F.abs(v) > 1e-300, v).otherwise(1e-300)
+
+    def link(s: Column, number: Column) -> Column:
+        return let(F.struct(
+            (1 / far(1 + number * s["d"])).alias("d"), far(1 + number / s["c"]).alias("c"),
+            s["h"].alias("h")), lambda t: F.struct(
+                t["d"].alias("d"), t["c"].alias("c"), (t["h"] * t["c"] * t["d"]).alias("h")))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return let(link(s, even), lambda t: link(t, odd))
+
+    first = 1 / far(1 - (a + b) * x / (a + 1))
+    start = F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), start,
+                       lambda s, m: step(s, m.cast("double")), lambda s: s["h"])
+
+
 def two_sided_p(r: Column, n: Column) -> Column:
-    """p value of a correlation r from n pairs (t distribution with n - 2 degrees).
+    """p value of a correlation r from n pairs: t distribution with n - 2 degrees of freedom.
 
-    Meant for the few rows of a result table.
+    The regularised incomplete beta function of 1 - r^2 at ((n - 2) / 2, 1/2), as an expression.
+    Null without a correlation or with fewer than three pairs.
     """
-
-    @F.pandas_udf("double")
-    def p_value(rs: pd.Series, ns: pd.Series) -> pd.Series:
-        def fraction(a: float, b: float, x: float) -> float:
-            # continued fraction of the incomplete beta function (modified Lentz)
-            tiny, c = 1e-300, 1.0
-            d = 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-            h = d
-            for m in range(1, 500):
-                for num in (
-                    m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-                ):
-                    d = 1.0 + num * d
-                    d = 1.0 / (d if abs(d) > tiny else tiny)
-                    c = 1.0 + num / (c if abs(c) > tiny else tiny)
-                    h *= c * d
-                if abs(c * d - 1.0) < 1e-14:
-                    break
-            return h
-
-        def beta_cdf(a: float, b: float, x: float) -> float:
-            if x <= 0.0 or x >= 1.0:
-                return min(max(x, 0.0), 1.0)
-            log_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                         + a * math.log(x) + b * math.log1p(-x))
-            if x < (a + 1.0) / (a + b + 2.0):
-                return math.exp(log_front) * fraction(a, b, x) / a
-            return 1.0 - math.exp(log_front) * fraction(b, a, 1.0 - x) / b
-
-        def one(r: float, n: float) -> float | None:
-            if r is None or n is None or math.isnan(r) or math.isnan(n) or n < 3:
-                return None
-            return beta_cdf((n - 2) / 2.0, 0.5, max(0.0, 1.0 - r * r))
-
-        return pd.Series([one(r, n) for r, n in zip(rs, ns)], dtype="float64")
-
-    return p_value(r, n.cast("double"))
+    def value(v: Column) -> Column:
+        a, x, one = v["a"], v["x"], F.lit(1.0)
+        half = F.lit(0.5)
+        # ln of gamma(a + 1/2) / (gamma(a) gamma(1/2)) x^a (1 - x)^(1/2)
+        front = F.exp(-log_gamma_ratio(a) - 0.5 * math.log(math.pi)
+                      + a * F.log(x) + 0.5 * F.log1p(-x))
+        return F.when(x >= 1.0, one).when(x <= 0.0, 0.0).when(
+            x < (a + 1) / (a + 2.5), front * _fraction(a, half, x) / a).otherwise(
+            1 - front * _fraction(half, a, 1 - x) * 2)
+
+    known = r.isNotNull() & ~F.isnan(r) & (n >= 3)
+    numbers = F.struct(((n.cast("double") - 2) / 2).alias("a"),
+                       F.greatest(F.lit(0.0), 1 - r * r).alias("x"))
+    return F.when(known, let(numbers, value))
 
 
 def _per_horizon(df: DataFrame, sentiment: str, horizons: Sequence[int], build) -> DataFrame:

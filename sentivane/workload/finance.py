@@ -10,6 +10,7 @@ from sentivane.operators.ordering import average_ranks
 from sentivane.sources.prices import shape_bars
 from sentivane.workload import inputs as I
 from sentivane.workload.inputs import ctes
+from sentivane.workload.recurrences import with_p
 from sentivane.workload.registry import query, r, rounded
 
 COUNTS = "bullish_count, bearish_count, neutral_count"
@@ -216,13 +217,19 @@ def ols(spark, sf):
     return rounded(stats.ols(I.joint(spark, sf)))
 
 
-@query("p_values")
+CORRELATED = "correlated AS (" + per_horizon(
+    "corr(mean_sentiment, fwd_return_#d) AS pearson_r, count(*) AS n_samples", "cases") + ")"
+
+
+@query("p_values", ctes("cases", extra=CORRELATED + ", " + with_p("correlated", "pearson_r")) +
+       "SELECT horizon, round(pearson_r, 6) AS pearson_r, n_samples, round(p_value, 6) AS p_value "
+       "FROM withp")
 def p_values(spark, sf):
-    """Pearson r with its p value: no t distribution in the SQL twin, so rows only."""
-    return stats.pearson(I.joint(spark, sf), p_values=True)
+    """Pearson r with its p value."""
+    return rounded(stats.pearson(I.joint(spark, sf), p_values=True))
 
 
-@query("event_study", ctes("joint", extra="""ev AS (
+EVENTS = """ev AS (
   SELECT * FROM joint WHERE mean_sentiment IS NOT NULL AND fwd_return_1d IS NOT NULL
     AND fwd_return_3d IS NOT NULL),
 lim AS (SELECT quantile_cont(mean_sentiment, 0.85) AS hi, quantile_cont(mean_sentiment, 0.15) AS lo
@@ -232,7 +239,10 @@ res AS (SELECT count(*) FILTER (mean_sentiment >= hi) AS bullish_count,
   avg(fwd_return_3d) FILTER (mean_sentiment >= hi) AS bullish_fwd_3d,
   count(*) FILTER (mean_sentiment <= lo) AS bearish_count,
   avg(fwd_return_1d) FILTER (mean_sentiment <= lo) AS bearish_fwd_1d,
-  avg(fwd_return_3d) FILTER (mean_sentiment <= lo) AS bearish_fwd_3d FROM ev, lim)""") +
+  avg(fwd_return_3d) FILTER (mean_sentiment <= lo) AS bearish_fwd_3d FROM ev, lim)"""
+
+
+@query("event_study", ctes("joint", extra=EVENTS) +
        "SELECT bullish_count, bearish_count, " +
        r("bullish_fwd_1d bullish_fwd_3d bearish_fwd_1d bearish_fwd_3d") +
        ", round(bullish_fwd_1d - bearish_fwd_1d, 6) AS spread_1d, "

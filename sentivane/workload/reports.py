@@ -18,8 +18,11 @@ from sentivane.sources import posts as S
 from sentivane.sources import sinks
 from sentivane.sources.prices import read_bars, write_bars
 from sentivane.workload import inputs as I
-from sentivane.workload import text
+from sentivane.workload import finance, text
 from sentivane.workload.inputs import ctes
+from sentivane.workload.recurrences import (
+    COEFFICIENTS, DIRECTION, DIRECTION_SCORES, NAIVE_BAYES, with_p,
+)
 from sentivane.workload.registry import ORACLE, query, r, rounded
 from sentivane.workload.text import DETECTED, LEXSQL, STRAT
 from sentivane.workload.weak import metrics_sql
@@ -419,8 +422,17 @@ def _parts(spark, sf):
     return [rows.filter(F.col("split") == s) for s in ("train", "val", "test")]
 
 
+# the strata and texts of the labelled documents, split as above
+LABELLED = STRAT.replace("FROM posts", "FROM lposts").replace(
+    "base AS (", "lposts AS (SELECT post_id, text, sentiment_label FROM clean_posts "
+    "JOIN text_truth USING (post_id)),\nbase AS (", 1) + """,
+labelled AS (SELECT post_id, text, label, split FROM splits JOIN lposts USING (post_id))"""
+_TWINS = {"nb": ctes("clean_posts", "text_truth", extra=LABELLED + ",\n" + NAIVE_BAYES) +
+          "SELECT post_id, label AS sentiment_label, pred FROM nbp"}
+
+
 def _register_classifier(kind: str) -> None:
-    @query(f"tfidf_{kind}")
+    @query(f"tfidf_{kind}", _TWINS.get(kind))
     def run(spark, sf):
         train, _, test = _parts(spark, sf)
         model = models.TextClassifier(kind).fit(train)
@@ -467,9 +479,15 @@ def student_classifier(spark, sf):
     return model.transform(test).select("post_id", "sentiment_label", "pred")
 
 
-@query("direction_models")
+@query("direction_models", ctes("joint", extra=DIRECTION_SCORES) + "SELECT model, " +
+       r("accuracy auc_roc f1_score") + ", train_size, test_size FROM dm")
 def direction_models(spark, sf):
-    return models.direction_models(I.joint(spark, sf))
+    return rounded(models.direction_models(I.joint(spark, sf)))
+
+
+@query("direction_coefficients", ctes("joint", extra=DIRECTION) + COEFFICIENTS)
+def direction_coefficients(spark, sf):
+    return rounded(models.direction_coefficients(I.joint(spark, sf)))
 
 
 # ------------------------------------------------------------------ end to end
@@ -516,9 +534,43 @@ def e2e_market(spark, sf):
                               "weighted_sentiment", "fwd_return_1d", "fwd_return_5d"))
 
 
-@query("analysis_summary")
+def _measured(analysis: str, source: str, columns: str, item: str | None = None) -> str:
+    name = f"{item} || '.' || " if item else ""
+    return " UNION ALL ".join(
+        f"SELECT '{analysis}' AS analysis, {name}'{c}' AS name, round({c}::DOUBLE, 6) AS value "
+        f"FROM {source}" for c in columns.split())
+
+
+_OLS = ("corr(mean_sentiment, fwd_return_#d) AS r, regr_slope(fwd_return_#d, mean_sentiment) AS "
+        "beta_1, regr_intercept(fwd_return_#d, mean_sentiment) AS intercept, regr_r2(fwd_return_#d, "
+        "mean_sentiment) AS r_squared, sqrt((1 - regr_r2(fwd_return_#d, mean_sentiment)) * "
+        "regr_syy(fwd_return_#d, mean_sentiment) / regr_sxx(fwd_return_#d, mean_sentiment) / "
+        "(count(*) - 2)) AS std_error, count(*) AS n_samples")
+_WEIGHTED = "corr(weighted_sentiment, fwd_return_#d) AS pearson_r, count(*) AS n_samples"
+SUMMARY = ctes("cases", extra=",\n".join([
+    finance.CORRELATED, with_p("correlated", "pearson_r"),
+    "cw AS (" + finance.per_horizon(_WEIGHTED, "cases") + ")", with_p("cw", "pearson_r", "pw"),
+    finance.RANKED, "cs AS (" + finance.per_horizon(
+        "corr(x, y#) AS spearman_rho, count(*) AS n_samples", "ranked") + ")",
+    with_p("cs", "spearman_rho", "ps"),
+    "co AS (" + finance.per_horizon(_OLS, "cases") + ")", with_p("co", "r", "po"),
+    finance.EVENTS, "re AS (SELECT *, bullish_fwd_1d - bearish_fwd_1d AS spread_1d, "
+    "bullish_fwd_3d - bearish_fwd_3d AS spread_3d FROM res)", DIRECTION_SCORES,
+    "jt AS (SELECT count(*) AS joint_observations, count(DISTINCT ticker) + "
+    "(count(*) > count(ticker))::INT AS tickers FROM joint)"])) + " UNION ALL ".join([
+        _measured("pearson", "withp", "pearson_r n_samples p_value", "horizon"),
+        _measured("pearson_weighted", "pw", "pearson_r n_samples p_value", "horizon"),
+        _measured("spearman", "ps", "spearman_rho n_samples p_value", "horizon"),
+        _measured("ols", "po", "beta_1 intercept r_squared std_error n_samples p_value", "horizon"),
+        _measured("events", "re", "bullish_count bullish_fwd_1d bullish_fwd_3d bearish_count "
+                  "bearish_fwd_1d bearish_fwd_3d spread_1d spread_3d"),
+        _measured("direction", "dm", "accuracy auc_roc f1_score train_size test_size", "model"),
+        _measured("total", "jt", "joint_observations tickers")])
+
+
+@query("analysis_summary", SUMMARY)
 def analysis_summary(spark, sf):
-    return flows.market_summary(I.joint(spark, sf))
+    return rounded(flows.market_summary(I.joint(spark, sf)))
 
 
 @query("lexicon_label_counts", ctes("clean_posts", extra=LEXSQL) + "SELECT label, count(*) AS n, "

@@ -237,3 +237,85 @@ def test_queries_equal_their_sql(spark, name):
     cols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, res.fetchall())
+
+
+def _packed_block(n=120, terms=40, seed=4):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, terms)) * (rng.random((n, terms)) < 0.2)
+    return x, rng.integers(0, 3, n), rng.integers(0, 3, n)
+
+
+def test_solver_reaches_the_least_value_of_every_problem(spark):
+    """Gradients by hand vanish at the solutions; empty rows and blocks do no harm."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from sentivane.operators import linear
+
+    x, y, fold = _packed_block()
+    x[5] = 0.0
+    rows = spark.createDataFrame(
+        [(Vectors.sparse(x.shape[1], [(int(j), float(r[j])) for j in np.flatnonzero(r)]),
+          int(a), int(b)) for r, a, b in zip(x, y, fold)], ["features", "label", "fold"])
+    blocks = linear.packed(rows.repartition(3), fold="fold").persist()
+    problems = [linear.Problem("hinge", 1.0, positive=i, without_fold=k)
+                for i in range(3) for k in range(3)]
+    problems += [linear.Problem("softmax", c, 3, after=9 if c > 0.1 else None)
+                 for c in (0.1, 1.0, 10.0)] + [linear.Problem("squares", 2.0)]
+    solved = linear.solve(blocks, x.shape[1], problems, 500, 1e-9)
+    ones = np.hstack([x, np.ones((len(x), 1))])
+    for p, w in zip(problems, solved):
+        m, used = ones @ w, fold != p.without_fold
+        if p.loss == "hinge":
+            s = np.where(y == p.positive, 1.0, -1.0)
+            slope = (-2 * s * np.maximum(0, 1 - s * m[:, 0]) * used)[:, None]
+        elif p.loss == "squares":
+            slope = m - y[:, None]
+        else:
+            e = np.exp(m - m.max(1, keepdims=True))
+            slope = e / e.sum(1, keepdims=True) - (y[:, None] == np.arange(3))
+        gradient = p.c * (ones.T @ slope)
+        gradient[:-1] += w[:-1]
+        assert np.abs(gradient).max() < 1e-6 * max(1.0, p.c * len(x))
+    with pytest.raises(ValueError):
+        linear.solve(blocks.limit(0), x.shape[1], problems[:1], 5, 1e-4)
+    blocks.unpersist()
+
+
+def test_newton_equals_dense_newton(spark):
+    import numpy as np
+
+    from sentivane.operators import newton
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 2)) * [0.01, 30]
+    y = (rng.random(200) < 1 / (1 + np.exp(-x[:, 1] / 20))).astype(float)
+    rows = spark.createDataFrame(
+        [(m, float(b), [float(a[0]) * (m == 0), float(a[1])])
+         for m in (0, 1) for a, b in zip(x, y)], "model int, y double, x array<double>")
+    got = newton.logistic(rows, 2, 2)
+    for m in (0, 1):
+        z = np.column_stack([x[:, 0] * (m == 0), x[:, 1], np.ones(200)])
+        w, ridge = np.zeros(3), np.diag([1.0, 1.0, 0.0])
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-z @ w))
+            w = w - np.linalg.solve((z * (mu * (1 - mu))[:, None]).T @ z + ridge,
+                                    z.T @ (mu - y) + ridge @ w)
+        assert np.allclose(got[m], w, atol=1e-8)
+
+
+def test_naive_bayes_weights_against_brute_force(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    x, y, _ = _packed_block(30, 12)
+    rows = spark.createDataFrame(
+        [(Vectors.dense(r) if i % 2 else Vectors.sparse(12, dict(enumerate(map(float, r)))),
+          "abc"[a]) for i, (r, a) in enumerate(zip(x, y))], ["features", "label"])
+    got = models.class_weights(rows, "label", ["a", "b", "c"], 12, 0.5)
+    for k in range(3):
+        total = x[y == k].sum(0) + 0.5
+        assert np.allclose(got[:-1, k], np.log(total / total.sum()))
+        assert got[-1, k] == pytest.approx(np.log((y == k).mean()))
