@@ -179,9 +179,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     Rows that repeat that id count as one document, any of them stays.  Rows without an id can't be
     named by a group and stay.
     """
+    taken = {c.lower() for c in df.columns}
+    own, again = (next(n for i in range(len(taken) + 1) if (n := f"{base}{i}") not in taken)
+                  for base in ("_kept_id", "_kept_again"))
     stay = groups(df, id_col, text_col, k, radius).filter("id = component").groupBy(
-        F.col("id").alias("_id")).agg((F.count("*") > 1).alias("_again"))
-    kept = df.join(stay, df[id_col].cast("bigint") == stay["_id"])
-    alone = kept.filter("NOT _again").select(df.columns)
-    again = kept.filter("_again").select(df.columns).dropDuplicates([id_col])
-    return alone.union(again).union(df.filter(F.col(id_col).isNull()))
+        F.col("id").alias(own)).agg((F.count("*") > 1).alias(again))
+    kept = df.join(stay, F.col(id_col).cast("bigint") == F.col(own))
+    alone = kept.filter(~F.col(again)).select(df.columns)
+    repeated = kept.filter(F.col(again)).select(df.columns).dropDuplicates([id_col])
+    return alone.union(repeated).union(df.filter(F.col(id_col).isNull()))

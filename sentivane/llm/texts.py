@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows in an Arrow batch: what a Python worker holds at once stays small beside long texts.
+# Rows in hand at once: what a Python worker holds stays small beside long texts.
 BATCH_ROWS = 500
 # Distinct words a worker remembers before it starts anew.
 CACHE_WORDS = 400_000
@@ -18,10 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for a while; afterwards it is as it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def by_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """`df.mapInArrow` with small batches; `fn` takes and returns an iterator of record batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    """`df.mapInArrow` with small batches; `fn` takes and returns an iterator of record batches.
+
+    Spark fixes the batch size when the plan is made, which happens at an action: batches are cut
+    here, so no setting of the session changes.
+    """
+    def run(batches):
+        return fn(b.slice(at, BATCH_ROWS) for b in batches
+                  for at in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -10,42 +10,85 @@ Bytes behind the last end id are one more document that is not ended.  Two ends
 document.  An empty file has no documents; a file whose size is no multiple of an id is refused.
 
 Files are written by Spark's text writer with the end id as line separator, so commits and lost
-executors are its business; the end id's bytes must be valid UTF-8 for that (0 is).  Reading goes
-through Spark's binary reader, which takes files below 2 GiB; the writer rolls over long before.
+executors are its business; the end id's bytes must be valid UTF-8 for that (0 is).  Beside each file
+of tokens the same task writes a file of the same name with the documents' ids, which the counts are
+joined with.  A task begins a new pair of files when one holds `FILE_BYTES`, so only a single text
+beyond that makes a larger one; Spark's binary reader takes files below 2 GiB.
+
+Null texts count as empty: a document of no tokens.  Repeated rows are written, and counted, as often
+as they are there; null ids stay null.  Ids are raised by one, and a vocabulary that doesn't fit the
+width with that is refused.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentivane.llm.packing import word_tokens
-from sentivane.llm.texts import by_batches, narrow
-from sentivane.session import new_path
+from sentivane.llm.texts import by_batches, narrow, setting
+from sentivane.session import new_path, small_table
 
 END = 0
 BLOCK_TOKENS = 1 << 20
-ROWS_IN_FILE = 5_000
+FILE_BYTES = 64 << 20
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end: int = END, width: int = 2,
-          text_col: str = "text", rows_in_file: int = ROWS_IN_FILE) -> None:
-    """Writes the ids of every text, each raised by one so that `end` 0 is no token of a text."""
+          id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Writes the ids of every text, each raised by one so that `end` 0 is no token of a text.
+
+    Tokens go to `path`/kind=tokens, the ids of the documents, as text, to `path`/kind=ids.
+    """
     code = f"<u{width}"
+    top = len(word_tokens(tokenizer, True).ends)
+    if top >= 1 << 8 * width:
+        raise ValueError(f"{top} ids and the end don't fit {width} bytes")
     separator = np.array([end], code).tobytes().decode("utf-8")
 
     def run(batches):
         t = word_tokens(tokenizer, True)
+        file, size = 0, 0
         for b in batches:
             ids = [(np.frombuffer(x, t.code).astype(code) + 1).tobytes()
                    for x in t.packed(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["value"])
+            files = []
+            for x in ids:
+                if size >= file_bytes:
+                    file, size = file + 1, 0
+                size += len(x) + width
+                files.append(file)
+            names = [b"" if i is None else b"%d" % i for i in b.column(0).to_pylist()]
+            for kind, values in ((b"tokens", ids), (b"ids", names)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind.decode()] * len(ids)), pa.array(files, pa.int32()),
+                     pa.array(values, pa.binary())], ["kind", "file", "value"])
+
+    rows = by_batches(narrow(df, id_col, text_col), run, "kind string, file int, value binary")
+    with setting(df.sparkSession, _WRITERS, "64"):  # both kinds are open side by side, unsorted
+        rows.select("kind", "file", F.col("value").cast("string")).write.partitionBy(
+            "kind", "file").option("lineSep", separator).text(path)
+
+
+def documents(spark: SparkSession, path: str, end: int = END, width: int = 2) -> DataFrame:
+    """(file, doc_no, doc_id) of everything `write` put under `path`."""
+    separator = np.array([end], f"<u{width}").tobytes().decode("utf-8")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(
+        f"{path}/kind=ids")
+    # every id, the last one too, has the separator behind it
+    ids = F.split(F.col("content").cast("string"), separator)
+    return files.filter("length > 0").select(
+        _name("path").alias("file"), F.posexplode(F.slice(ids, F.lit(1), F.size(ids) - 1))
+    ).select("file", F.col("pos").cast("bigint").alias("doc_no"),
+             F.when(F.col("col") != "", F.col("col")).cast("bigint").alias("doc_id"))
+
 
-    texts = narrow(df.withColumn("_none", F.lit(None).cast("bigint")), "_none", text_col)
-    by_batches(texts, run, "value binary").select(F.col("value").cast("string")).write \
-        .option("lineSep", separator).option("maxRecordsPerFile", rows_in_file).text(path)
+def _name(path: str) -> Column:
+    """A file's name with the folder of its number, alike for both kinds."""
+    return F.regexp_extract(path, "(file=[^/]*/[^/]*)$", 1)
 
 
 def blocks(spark: SparkSession, path: str, width: int = 2,
@@ -113,9 +156,16 @@ def counts(spark: SparkSession, path: str, end: int = END, width: int = 2,
                       "file string, doc_no bigint, start bigint, n_tokens bigint, ended boolean")
 
 
+COUNTS = "doc_id bigint, n_tokens bigint, file string, doc_no bigint, start bigint, ended boolean"
+
+
 def of_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Token counts of all documents by way of flat files; `file` is the file's name."""
-    path = new_path(docs.sparkSession, "token-files")
+    """(doc_id, n_tokens, file, doc_no, start, ended) of all documents, by way of flat files."""
+    spark = docs.sparkSession
+    path = new_path(spark, "token-files")
     write(docs, path, tokenizer)
-    return counts(docs.sparkSession, path).withColumn(
-        "file", F.regexp_extract("file", "([^/]*)$", 1))
+    if "kind" not in spark.read.format("binaryFile").load(path).columns:  # no rows, no files
+        return small_table(spark, [], COUNTS)
+    found = counts(spark, f"{path}/kind=tokens").withColumn("file", _name("file"))
+    return documents(spark, path).join(found, ["file", "doc_no"]).select(
+        "doc_id", "n_tokens", "file", "doc_no", "start", "ended")

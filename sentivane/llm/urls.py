@@ -8,7 +8,8 @@ allowed by a rule it is allowed, else if one is blocked it is blocked, else it i
 An alias edge joins a page's address to the target of its `<link rel="canonical">` or of its
 `<meta http-equiv="refresh">`.  Addresses are compared in a plain form: without scheme, `#...`,
 `utm_*` parameters and the slash at the end, host in lower case; pages that share it are aliases.
-Relative targets are taken from the page's host.  Null or malformed URLs have an empty host and path
+Relative targets are taken from the page's host.
+A target that is no page of the table is judged, too, by its address as the link writes it.  Null or malformed URLs have an empty host and path
 and no aliases.  Rows are judged one by one, so repeated rows repeat their result.
 """
 
@@ -117,23 +118,26 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
                      declared(html).alias("targets"))
         .select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"),
                 plain(F.col("url")).alias("node"),
-                F.filter(F.transform("targets", lambda t: plain(_absolute(t, F.col("url")))),
-                         lambda t: t.isNotNull()).alias("targets"))
+                F.filter(F.transform(
+                    F.transform("targets", lambda t: _absolute(t, F.col("url"))),
+                    lambda t: F.struct(plain(t).alias("node"), host(t).alias("host"),
+                                       path(t).alias("path"))),
+                         lambda t: t["node"].isNotNull()).alias("targets"))
         .withColumn("rule", matched(F.col("host"), F.col("path"), rules)), "pages")
     is_block = F.col("rule").isin([r.name for r in rules if r.verdict == "block"])
     # one row per address: copies of a page fold before anything is joined
     ruled = known.filter("node IS NOT NULL AND rule IS NOT NULL").groupBy("node").agg(
         F.bool_or(~is_block).alias("allow"), F.bool_or(is_block).alias("block"))
     edges = known.filter("size(targets) > 0").select(
-        F.col("node").alias("a"), F.explode("targets").alias("b"))
+        F.col("node").alias("a"), F.explode("targets.node").alias("b"))
     member = stage(components(edges), "aliases")
-    # targets that are no page themselves are judged by their own address, too
-    outside = member.join(ruled.select("node"), "node", "left_anti").select("node", "component") \
-        .withColumn("host", F.regexp_extract("node", "^[^/?]*", 0)) \
-        .withColumn("path", F.concat(F.regexp_extract("node", r"^[^/?]*([^?]*)", 1), F.lit("/"))) \
+    # targets that are no page themselves are judged by their own address, as it is written there
+    outside = known.select(F.explode("targets").alias("t")).select("t.*") \
         .withColumn("rule", matched(F.col("host"), F.col("path"), rules)) \
-        .filter("rule IS NOT NULL") \
-        .select("component", (~is_block).alias("allow"), is_block.alias("block"))
+        .filter("rule IS NOT NULL").groupBy("node").agg(
+            F.bool_or(~is_block).alias("allow"), F.bool_or(is_block).alias("block")) \
+        .join(known.select("node"), "node", "left_anti") \
+        .join(member, "node").select("component", "allow", "block")
     decided = (
         member.join(ruled, "node").select("component", "allow", "block").union(outside)
         .groupBy("component").agg(F.bool_or("allow").alias("allow"),

@@ -202,6 +202,64 @@ def test_decisions_reach_aliases(spark):
                    6: {"allow"}, 7: {"allow"}, None: {"allow"}}
 
 
+def test_known_pages_and_written_slashes_decide(spark):
+    """A page without a rule stays allowed when aliases lead to it; targets keep their slash."""
+    schema = "page_id long, url string, html string, node string, host int, component string"
+    link = "<link rel=canonical href='%s'>"
+    rows = [(1, "http://x.com/de", link % "http://a.net/x"), (2, "http://a.net/x", None),
+            (3, "http://b.net/y", link % "http://y.com/de/"), (4, "http://c.net/", link % "http://z.com/de"),
+            (4, "http://c.net/", link % "http://z.com/de"), (5, "http://d.net/" + "a" * 50_000, "<p>")]
+    df = spark.createDataFrame([(*r, "n", 1, "c") for r in rows], schema)
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+    assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_verdicts_equal_plain_closure(spark):
+    """Random pages and links against a closure by hand."""
+    rng = random.Random(21)
+    hosts = ["a.org", "example.org", "b.com", "c.net", "d.net", "e.net", "f.net", "g.net"]
+    address = lambda: "http://%s%s" % (rng.choice(hosts), rng.choice(
+        ["/", "/es/1", "/en/12", "/fr/x", "/de/y", "/de", "/p%d" % rng.randrange(9)]))
+    pages = [(i, address(), None if rng.random() < 0.4 else
+              "<link rel='canonical' href='%s'>" % address()) for i in range(80)]
+
+    def rule_of(url):
+        host, _, path = url[7:].partition("/")
+        fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host))
+                and ("/" + path).startswith(r.path)]
+        return max(fits, key=lambda r: len(r.name), default=None)
+
+    node = lambda url: url[7:].rstrip("/")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    named = defaultdict(list)
+    for _, url, html in pages:
+        named[node(url)].append(url)
+    known = set(named)
+    for _, url, html in pages:
+        if html:
+            target = html.split("'")[3]
+            root[find(node(url))] = find(node(target))
+            if node(target) not in known:
+                named[node(target)].append(target)
+    marks = defaultdict(set)
+    for n, us in named.items():
+        marks[find(n)] |= {r.verdict for u in us if (r := rule_of(u))}
+    want = {}
+    for i, url, _ in pages:
+        r, m = rule_of(url), marks[find(node(url))]
+        want[i] = r.verdict if r else "block" if m == {"block"} else "allow"
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(
+        pages, "page_id long, url string, html string")).collect()}
+    assert got == want and set(want.values()) == {"allow", "block"}
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 180)] + [(0, i) for i in range(300, 380)]
@@ -369,6 +427,17 @@ def test_tiles_lose_no_pair():
     assert len(simhash.linked(codes[:300], codes[300:], 4)) == len(codes)
 
 
+def test_keep_one_with_clashing_columns(spark):
+    schema = "doc_id long, text string, _id int, _again string, _kept_id0 int, component int, id int"
+    rows = [(3, LONG, 1, "a", 2, 3, 4), (2, LONG, 1, "b", 2, 3, 4), (2, LONG, 1, "b", 2, 3, 4),
+            (None, LONG, 1, "c", 2, 3, 4), (9, None, 1, "d", 2, 3, 4)]
+    kept = simhash.keep_one(frame(spark, rows, schema))
+    assert kept.columns == ["doc_id", "text", "_id", "_again", "_kept_id0", "component", "id"]
+    assert rows_of(kept, "doc_id", "_again") == rows_of(
+        frame(spark, [(2, "b"), (None, "c"), (9, "d")], "doc_id long, _again string"))
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
 def test_simhash_of_no_documents(spark):
     assert simhash.groups(frame(spark, [])).count() == 0
 
@@ -486,10 +555,17 @@ def test_token_files_round_trip(spark):
     t.encode_special_tokens = True
     want = sorted(len(t.encode(x or "", add_special_tokens=False).ids) for _, x in TEXTS)
     path = new_path(spark, "flat")
-    token_files.write(extra(spark), path, WORDS, rows_in_file=4)
+    token_files.write(extra(spark).coalesce(2), path, WORDS, file_bytes=60)
     for block in (1 << 20, 7, 1):
-        got = token_files.counts(spark, path, block_tokens=block).collect()
+        got = token_files.counts(spark, f"{path}/kind=tokens", block_tokens=block).collect()
         assert sorted(r["n_tokens"] for r in got) == want and all(r["ended"] for r in got)
+        assert len({r["file"] for r in got}) > 2
+    each = token_files.of_documents(extra(spark), WORDS)
+    assert rows_of(each, "doc_id", "n_tokens") == sorted(
+        ((i, len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in TEXTS), key=repr)
+    assert token_files.of_documents(frame(spark, []), WORDS).count() == 0
+    with pytest.raises(ValueError):
+        token_files.write(extra(spark), path + "-narrow", WORDS, width=1)
 
 
 def test_open_and_empty_documents(spark, tmp_path):
