@@ -1,14 +1,16 @@
 """Document fingerprints of closed syncmers.
 
 A k-mer of a text's bytes is an anchor if its least s-mer (by hash) is its first or its last: a
-property of the k-mer alone, so an edit elsewhere never moves an anchor.  The fingerprint keeps, of
-all anchors, the `KEEP` with the least hashes and the first position of each: 8 hex digits of hash,
-8 of position.  It is a function of the text, so equal texts have equal fingerprints.
+property of the k-mer alone, so an edit elsewhere never moves an anchor.  One of any `K` - `S` + 1
+k-mers in a row is an anchor, about 2 in as many.  The fingerprint holds all anchors of the text, in
+their order: per anchor 12 hex digits of hash and 2 of the distance from the anchor before (the first
+from the text's beginning), which that bound keeps small.  It is a function of the text, so equal
+texts have equal fingerprints.
 
-Likeness of two fingerprints: of the least hashes of both together (`KEEP`, or all if fewer), the
-share that both have, counting only matches whose positions rise together.  A text too short for an
-anchor has the hash of the whole text at position 0.  Null counts as empty; an empty text has an
-empty fingerprint, like only to another empty one.
+Likeness of two fingerprints: of the different hashes of both together the share that both have,
+counting only matches whose (first) positions rise together.  A text too short for an anchor has the
+hash of the whole text at position 0.  Null counts as empty; an empty text has an empty fingerprint,
+like only to another empty one.
 
 The following document of each one (by ascending id, the first after the last) comes from one shuffle
 of the texts: ids are cut into ranges, each range is sorted in its task, and a copy of the next
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,8 +33,7 @@ from pyspark.sql import functions as F
 
 from sentivane.llm.texts import by_batches, narrow
 
-K, S = 16, 8
-KEEP = 32
+K, S = 32, 8
 ROWS_IN_RANGE = 1_000
 # The cuts between ranges are held by the driver and the tasks; beyond that, ranges grow.
 MAX_RANGES = 100_000
@@ -51,50 +54,70 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     if n >= K:
         grams = np.ndarray((n - S + 1,), "<u8", text, strides=(1,)).copy()
         s = _mix(grams)
-        low = np.minimum(s[:-1], s[1:])
-        low = np.minimum(low[:-2], low[2:])
-        low = np.minimum(low[:-4], low[4:])
-        low = np.minimum(low[:-1], s[8:])  # over the nine s-mers of each k-mer
-        at = np.flatnonzero((s[:-8] == low) | (s[8:] == low))
+        low, width = s, 1  # least of the s-mers of each k-mer, over windows that double
+        while 2 * width <= K - S + 1:
+            low, width = np.minimum(low[:-width], low[width:]), 2 * width
+        more = K - S + 1 - width
+        low = np.minimum(low[:len(low) - more], low[more:])
+        at = np.flatnonzero((s[:len(low)] == low) | (s[K - S:] == low))
         if len(at):
-            return at, _mix(s[at] ^ (grams[at + S] * _B))
+            h = np.zeros(len(at), np.uint64)
+            for k in range(0, K, S):
+                h = _mix(h ^ grams[at + k])
+            return at, h
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     whole = int.from_bytes(hashlib.sha256(text).digest()[:8], "little")
     return np.zeros(1, np.int64), np.array([whole], np.uint64)
 
 
-def sketch(text: bytes, keep: int = KEEP) -> np.ndarray:
-    """(hash, position) of the kept anchors, by rising hash, as big-endian 32-bit numbers."""
-    at, h = anchors(text)
-    h = h >> np.uint64(32)
-    if len(h) > 8 * keep:
-        low = h <= np.partition(h, 4 * keep)[4 * keep]  # enough even if hashes repeat
-        if len(np.unique(h[low])) >= keep:
-            at, h = at[low], h[low]
-    h, first = np.unique(h, return_index=True)
-    return np.stack([h[:keep], at[first[:keep]]], 1).astype(">u4")
+@dataclass(frozen=True)
+class Sketch:
+    """All anchors of a text: positions and 48-bit hashes in text order, and the different hashes."""
+
+    at: np.ndarray
+    hashes: np.ndarray
+
+    @cached_property
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rising hashes and the first position of each."""
+        h, first = np.unique(self.hashes, return_index=True)
+        return h, self.at[first]
 
+    def hex(self) -> str:
+        out = np.empty((len(self.at), 7), np.uint8)
+        out[:, :6] = self.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+        out[:, 6] = np.diff(self.at, prepend=0)
+        return out.tobytes().hex()
 
-def text_of(found: np.ndarray) -> str:
-    return found.tobytes().hex()
+
+def sketch(text: bytes) -> Sketch:
+    at, h = anchors(text)
+    return Sketch(at, h >> np.uint64(16))
 
 
-def of_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").reshape(-1, 2)
+def of_text(fingerprint: str) -> Sketch:
+    raw = np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, 7)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, 2:] = raw[:, :6]
+    return Sketch(np.cumsum(raw[:, 6].astype(np.int64)),
+                  wide.reshape(-1).view(">u8").astype(np.uint64))
 
 
-def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    x, y = dict(a.tolist()), dict(b.tolist())
-    considered = sorted(x.keys() | y.keys())[:keep]
-    both = sorted((x[h], y[h]) for h in considered if h in x and h in y)
-    chain: list[int] = []  # longest run of matches with rising positions
-    for _, p in both:
-        k = bisect_left(chain, p)
-        chain[k:k + 1] = [p]
-    return len(chain) / len(considered)
+def likeness(a: Sketch, b: Sketch) -> float:
+    if not len(a.at) or not len(b.at):
+        return float(len(a.at) == len(b.at))
+    (x, x_at), (y, y_at) = a.distinct, b.distinct
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    there = y_at[j[np.argsort(x_at[i])]]
+    chain: list[int] = []  # longest row of matches with rising positions
+    if (np.diff(there) > 0).all():
+        chain = there
+    else:
+        for p in there.tolist():
+            k = bisect_left(chain, p)
+            chain[k:k + 1] = [p]
+    return len(chain) / (len(x) + len(y) - len(both))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +125,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         for b in batches:
-            f = [text_of(sketch((t or "").encode())) for t in b.column(1).to_pylist()]
+            f = [sketch((t or "").encode()).hex() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.string())],
                                              ["doc_id", "fingerprint"])
 
@@ -149,7 +172,7 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n = len(text)
         changed = (text[:n - n // 4] + other[0][:n // 4]).encode()
         new = sketch(changed)
-        return (doc, n, hashlib.sha256(changed).hexdigest(), text_of(own), text_of(new),
+        return (doc, n, hashlib.sha256(changed).hexdigest(), own.hex(), new.hex(),
                 likeness(own, new), likeness(own, other[1]))
 
     def run(batches):
