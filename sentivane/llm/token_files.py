@@ -33,7 +33,7 @@ from sentivane.session import new_path, small_table
 
 END = 0
 BLOCK_TOKENS = 1 << 20
-FILE_BYTES = 64 << 20
+FILE_BYTES = 8 << 20
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
