@@ -83,10 +83,21 @@ def union_log(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+# Folder name of one experiment; the prefix keeps it a string when it is read.
+_RUN = "run"
+
+
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append to a log whose columns may grow; read it back with `read_log`."""
-    rows.write.mode("append").parquet(path)
+    """Add experiments to a log whose columns may grow; read it back with `read_log`.
+
+    Each experiment id has its own folder, which a run replaces as a whole when it commits: running
+    an experiment again, or a job again after a failure, leaves one copy of its rows.
+    """
+    run = F.concat(F.lit("id-"), F.coalesce(F.sha1(F.col("experiment_id").cast("string").cast("binary")),
+                                            F.lit("none")))
+    rows.withColumn(_RUN, run).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(_RUN).parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return spark.read.option("mergeSchema", True).parquet(path).drop(_RUN)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sentivane.functions import text as X
 from sentivane.functions.labels import threshold_label
+from sentivane.functions.prompts import cue_counts
 from sentivane.operators import lexicon, models, quality
 from sentivane.operators import metrics as M
 from sentivane.operators import weak as K
@@ -466,6 +467,23 @@ def _teacher(rows):
         low.alias("dominant_label"))
 
 
+def _label_paths(rows):
+    """Eight label paths per post, none of which sees the label: cue words that lead by more and
+    more, the lexicon under rising thresholds."""
+    scores = lexicon.lexicon_score(rows).select("post_id", "compound")
+    bull, bear = cue_counts(F.col("text"))
+
+    def path(value, limit):
+        return F.when(value > limit, "positive").when(value < -limit, "negative").otherwise("neutral")
+
+    counted = rows.join(scores, "post_id").select(
+        "post_id", "compound", (bull - bear).alias("lead"))
+    labels = F.array(*[path(F.col("lead"), m) for m in (0, 1, 2, 3)],
+                     *[path(F.col("compound"), t) for t in (0.05, 0.1, 0.2, 0.35)])
+    return counted.select("post_id", F.posexplode(labels).alias("path_id", "label")).withColumn(
+        "confidence", F.lit(0.85))
+
+
 @query("student_regression")
 def student_regression(spark, sf):
     train, val, test = _parts(spark, sf)
@@ -635,18 +653,19 @@ def e2e_errors(spark, sf):
 def e2e_weak_student(spark, sf):
     """Prompts, keys, stored answers, votes, filter, student, threshold, metrics.
 
-    The stored answers follow the label on the first six paths and say neutral on the others.
+    The stored answers come from the lexicon, never from the label: its verdict on the first six
+    paths, neutral on the others.
     """
     train, val, test = _parts(spark, sf)
     posts = train.withColumn("ticker", F.lit(None).cast("string"))
     requests = stage(flows.inference_requests(
         posts, text._examples(spark, sf), "teacher", "0.7"), "requests")
-    names = F.when(F.col("sentiment_label") == "BULLISH", "positive").when(
-        F.col("sentiment_label") == "BEARISH", "negative").otherwise("neutral")
     answer = F.to_json(F.struct(
         F.lit("the words of the post").alias("reasoning_summary"),
-        F.when(F.col("path_id") <= 6, names).otherwise("neutral").alias("sentiment")))
-    cache = requests.join(train.select("post_id", "sentiment_label"), "post_id").groupBy(
+        F.when(F.col("path_id") <= 6, F.col("dominant_label")).otherwise("neutral")
+        .alias("sentiment")))
+    cache = requests.join(
+        _teacher(train).select("post_id", "dominant_label"), "post_id").groupBy(
         "prompt_key").agg(F.min(answer).alias("response"))
     return flows.weak_label_run(requests, cache, train, val, test)
 
@@ -654,5 +673,5 @@ def e2e_weak_student(spark, sf):
 @query("e2e_benchmark")
 def e2e_benchmark(spark, sf):
     train, _, test = _parts(spark, sf)
-    votes = _teacher(test).select("post_id", "dominant_label")
+    votes = K.vote(_label_paths(test), with_reasoning=False).select("post_id", "dominant_label")
     return flows.benchmark(train, test, votes)

@@ -103,7 +103,15 @@ def test_log_grows_columns(spark, tmp_path):
     path = str(tmp_path / "log")
     sinks.append_log(spark.createDataFrame([("F1", 0.5)], "experiment_id string, acc double"), path)
     sinks.append_log(spark.createDataFrame([("F2", "x")], "experiment_id string, note string"), path)
-    got = {r["experiment_id"]: r.asDict() for r in sinks.read_log(spark, path).collect()}
+    again = spark.createDataFrame([("F2", "y"), (None, "z")], "experiment_id string, note string")
+    sinks.append_log(again, path)
+    sinks.append_log(again, path)  # a rerun replaces what it wrote
+    rows = sinks.read_log(spark, path).collect()
+    assert sorted((str(r["experiment_id"]), str(r["note"])) for r in rows) == [
+        ("F1", "None"), ("F2", "y"), ("None", "z")]
+    sinks.append_log(spark.createDataFrame([("F2", "x")], "experiment_id string, note string"), path)
+    got = {r["experiment_id"]: r.asDict() for r in sinks.read_log(spark, path).collect()
+           if r["experiment_id"]}
     assert got["F1"]["note"] is None and got["F2"]["acc"] is None
 
 
