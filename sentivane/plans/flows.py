@@ -17,6 +17,7 @@ from sentivane.functions.tickers import DEFAULT_STOP, detect_tickers
 from sentivane.operators import dedup, errors, lexicon, market, metrics, models, quality
 from sentivane.operators import splits, stats, weak
 from sentivane.session import one_row, stage
+from sentivane.sources import sinks
 from sentivane.sources.posts import assert_real, label_carry, tag_provenance
 from sentivane.vocab import HORIZONS
 
@@ -159,6 +160,19 @@ def market_summary(joint: DataFrame, horizons: Sequence[int] = HORIZONS) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
+def market_run(joint: DataFrame, folder: str, experiment_id: str) -> DataFrame:
+    """The statistics of a joint table, written as a report and into the experiment log.
+
+    Returns the log's rows of this experiment; a rerun replaces them.
+    """
+    summary = stage(market_summary(joint), "summary").select(
+        F.lit(experiment_id).alias("experiment_id"), "analysis", "name", "value")
+    sinks.write_report(summary, f"{folder}/report")
+    sinks.append_log(summary, f"{folder}/log")
+    return sinks.read_log(joint.sparkSession, f"{folder}/log").filter(
+        F.col("experiment_id") == experiment_id)
+
+
 def benchmark(train: DataFrame, test: DataFrame, votes: DataFrame | None = None,
               kinds: Sequence[str] = ("logreg", "svm", "nb"), **kw) -> DataFrame:
     """Leaderboard of the lexicon, the TF-IDF classifiers and (given votes) the teacher."""

@@ -565,7 +565,7 @@ _OLS = ("corr(mean_sentiment, fwd_return_#d) AS r, regr_slope(fwd_return_#d, mea
         "regr_syy(fwd_return_#d, mean_sentiment) / regr_sxx(fwd_return_#d, mean_sentiment) / "
         "(count(*) - 2)) AS std_error, count(*) AS n_samples")
 _WEIGHTED = "corr(weighted_sentiment, fwd_return_#d) AS pearson_r, count(*) AS n_samples"
-SUMMARY = ctes("cases", extra=",\n".join([
+_SUMMARY_PARTS = ",\n".join([
     finance.CORRELATED, with_p("correlated", "pearson_r"),
     "cw AS (" + finance.per_horizon(_WEIGHTED, "cases") + ")", with_p("cw", "pearson_r", "pw"),
     finance.RANKED, "cs AS (" + finance.per_horizon(
@@ -575,7 +575,8 @@ SUMMARY = ctes("cases", extra=",\n".join([
     finance.EVENTS, "re AS (SELECT *, bullish_fwd_1d - bearish_fwd_1d AS spread_1d, "
     "bullish_fwd_3d - bearish_fwd_3d AS spread_3d FROM res)", DIRECTION_SCORES,
     "jt AS (SELECT count(*) AS joint_observations, count(DISTINCT ticker) + "
-    "(count(*) > count(ticker))::INT AS tickers FROM joint)"])) + " UNION ALL ".join([
+    "(count(*) > count(ticker))::INT AS tickers FROM joint)"])
+_SUMMARY_ROWS = " UNION ALL ".join([
         _measured("pearson", "withp", "pearson_r n_samples p_value", "horizon"),
         _measured("pearson_weighted", "pw", "pearson_r n_samples p_value", "horizon"),
         _measured("spearman", "ps", "spearman_rho n_samples p_value", "horizon"),
@@ -586,11 +587,21 @@ SUMMARY = ctes("cases", extra=",\n".join([
         _measured("total", "jt", "joint_observations tickers")])
 
 
-@query("analysis_summary", SUMMARY)
+@query("analysis_summary", ctes("cases", extra=_SUMMARY_PARTS) + _SUMMARY_ROWS)
 def analysis_summary(spark, sf):
     return rounded(flows.market_summary(I.joint(spark, sf)))
 
 
+@query("e2e_finance", ctes("posts", "bars", extra=",\n".join([
+    TRADED, I.CTES["cases"][1], _SUMMARY_PARTS])) + _SUMMARY_ROWS)
+def e2e_finance(spark, sf):
+    """Posts and bars to the statistics, their report and the experiment log, read back from it."""
+    p = I.posts(spark, sf).withColumn("source", F.lit("orders"))
+    joint = flows.market_signals(p, I.bars(spark, sf), earliest=dt.date(1990, 1, 1))
+    log = flows.market_run(joint, new_path(spark, "finance"), "F-run")
+    return rounded(log.select("analysis", "name", "value"))
+
+
 @query("lexicon_label_counts", ctes("clean_posts", extra=LEXSQL) + "SELECT label, count(*) AS n, "
        "round(avg(compound), 6) AS mean_compound FROM (SELECT *, CASE WHEN compound > 0.05 THEN "
        "'BULLISH' WHEN compound < -0.05 THEN 'BEARISH' ELSE 'NEUTRAL' END AS label FROM lex) "
