@@ -66,16 +66,26 @@ def ticker_company(ticker: Column) -> Column:
 
 
 def most_frequent(values: Column) -> Column:
-    """Most frequent element, the earliest of equals; null for an empty array."""
-    scored = F.transform(
-        F.array_distinct(values),
-        lambda v: F.struct(
-            F.size(F.filter(values, lambda o: o == v)).alias("n"),
-            (-F.array_position(values, v)).alias("first"),
-            v.alias("value"),
-        ),
-    )
-    return F.array_max(scored).getField("value")
+    """Most frequent string, the earliest of equals; null for an empty array.
+
+    Equal values lie side by side after a sort, so one fold over the array counts them.
+    """
+    placed = F.array_sort(F.transform(
+        values, lambda v, i: F.struct(v.alias("value"), i.alias("at"))))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"),
+                    F.lit(None).cast("string").alias("value"))
+
+    def count(s: Column, x: Column) -> Column:
+        run = s["run"]
+        same = run["value"].eqNullSafe(x["value"])
+        longer = F.struct(
+            F.when(same, run["n"] + 1).otherwise(1).alias("n"),
+            F.when(same, run["first"]).otherwise(-x["at"]).alias("first"), x["value"].alias("value"))
+        return let(longer, lambda r: F.struct(
+            r.alias("run"), F.greatest(s["best"], r).alias("best")))
+
+    return F.aggregate(placed, F.struct(none.alias("run"), none.alias("best")), count,
+                       lambda s: s["best"]["value"])
 
 
 def detect_tickers(text: Column, stop_words: Sequence[str] = DEFAULT_STOP) -> Column:
