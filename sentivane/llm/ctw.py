@@ -1,30 +1,35 @@
-"""Language-model scores by context-tree weighting over the bytes of tokens.
-
-A text is its words in lower case (A-Z) and one end; a word is its bytes and a blank, the end is a
-line feed.  Each byte is eight binary decisions (high bit first).  Each decision has a tree of
-contexts: the up to `DEPTH` bytes before it in its token, padded with blanks.  A node of the tree has
-the Krichevsky-Trofimov estimate of what followed its context in the training texts, and the weighted
-probability of all trees below it: half its own estimate, half the product of its children's.  The
-prediction of a decision mixes the estimates of all depths along its context by these weights, down to
-the longest context that training has seen (a decision never seen at all has probability 1/2).  The
-code length of a text is the sum over its bytes.
-
-How it runs.  Documents are read in blocks; a block becomes one row per different word with the
-documents that have it (`_index`).  Counting and scoring meet these rows, never single tokens, and a
-frequent word has one row per block.  The words are indexed again by their contexts in the same way;
-the trees are built in shards of contexts that end in the same two bytes, and the two levels above
-join the shards per decision.  Scores go back through both indexes (`_sums`).
-
-Null and empty texts are the end alone.  A row without an id counts as training.  Without training
-texts every decision has probability 1/2 and every count is 0.
+"""Language-model scores by context-tree weighting over the bytes of whole texts.
+
+A text is its words in lower case (A-Z) with a blank between them, and a line feed as its end; what
+comes before a text counts as line feeds.  Each byte is eight binary decisions (high bit first).  Each
+decision has a tree of contexts: the `DEPTH` bytes before the byte, whatever words they belong to.  A
+node of the tree has the Krichevsky-Trofimov estimate of what followed its context in the training
+texts, and the weighted probability: at full depth its own estimate, above it half its own estimate and
+half the product of its children's.  The probability of a bit is the ratio of the weighted probabilities
+of the root with and without it, which mixes the estimates of all depths; below the last context that
+training has seen every node says 1/2.  The score of a text is the sum of the log10 probabilities of its
+bits, and so depends on the order of its words.
+
+How it runs.  Texts are written once in blocks of bounded size.  A block counts its different contexts
+with the byte that follows, packed by lots of contexts that end in the same `TOP` bytes (`index_contexts`).
+A lot builds its trees down from depth `TOP`, the few levels above are joined per decision, and every
+block gets back one number for each of its different contexts (`tree_scores`).  It then meets its texts
+again and sums (`_block_scores`): no row per byte is shuffled.  The counts of words for the base score
+take the same way.  A lot is sized by the corpus; the largest holds the commonest `TOP` bytes.
+
+Null and empty texts are the end alone.  A row without an id counts as training; repeated rows are all
+counted and all scored.  Without training texts every decision has probability 1/2 and every count is 0.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,151 +37,161 @@ from pyspark.sql import functions as F
 from sentivane.llm.texts import LOWER, by_batches, narrow, raw
 from sentivane.session import new_path, stage
 
-DEPTH = 6  # with the byte that follows, a context fits a 64-bit number
-BLOCK_BYTES = 32 << 20
-BLOCK_ITEMS = 65_535
-END = b""  # the token at the end of a text: no word is empty
+DEPTH = 7  # with the byte that follows, a context fits an unsigned 64-bit number
+TOP = 3  # lots hold whole subtrees of this depth
+BLOCK_BYTES = 16 << 20
+PIECE_BYTES = 2 << 20  # what a block sorts at once
+LOT_BYTES = 256 << 10  # text per lot
+MAX_LOTS = 1 << 16
+PAD = b"\n" * DEPTH
 HALF = np.log(0.5)
-
-
-class _Numbers(dict):
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
+REST = 8 * (DEPTH + 1 - TOP)  # bits of a key below its TOP bytes
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _rows(block: int, keys: np.ndarray, item: np.ndarray, weight: np.ndarray):
-    """For keys and the items that hold them: one group per key.
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """(block, id, text): rows in their order, a new block once one is full."""
 
-    Returns (keys in order, summed weight, items as packed 16-bit numbers, how often as packed bytes);
-    an item that holds a key over 255 times takes several entries.
-    """
-    order = np.lexsort((item, keys))
-    keys, item = keys[order], item[order]
-    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])])) \
-        if len(keys) else np.empty(0, np.int64)
-    count = np.diff(np.append(new, len(keys)))
-    keys, item = keys[new], item[new]
-    entries = (count + 254) // 255
-    part = np.full(int(entries.sum()), 255, np.int64)
-    part[np.cumsum(entries) - 1] = count - 255 * (entries - 1)
-    keys, item = np.repeat(keys, entries), np.repeat(item, entries)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) \
-        else np.empty(0, np.int64)
-    total = np.add.reduceat(part * weight[item], first) if len(first) else np.empty(0, np.int64)
-    cuts = np.append(first, len(keys))
-    items, counts = item.astype("<u2"), part.astype(np.uint8)
-    n = len(first)
-    return keys[first], pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, block, np.int64)), pa.array(total.astype(np.int64)),
-        _binary(items.tobytes(), cuts * 2, n), _binary(counts.tobytes(), cuts, n),
-    ], ["block", "weight", "items", "counts"])
+    def run(batches):
+        n, size = 0, 0
+        for b in batches:
+            block = []
+            for length in pc.binary_length(b.column(1)).to_pylist():
+                if size and size + (length or 0) > BLOCK_BYTES:
+                    n, size = n + 1, 0
+                size += length or 0
+                block.append(TaskContext.get().partitionId() << 32 | n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block, pa.int64()), *b.columns], ["block", "id", "text"])
 
+    return by_batches(docs, run, "block bigint, id bigint, text string")
 
-def _binary(data: bytes, cuts: np.ndarray, n: int) -> pa.Array:
-    return pa.Array.from_buffers(
-        pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(LOWER).split()
 
-def _with(batch: pa.RecordBatch, key: pa.Array):
-    """Pieces of bounded size, with the key in front."""
-    batch = pa.RecordBatch.from_arrays([key, *batch.columns], ["key", *batch.schema.names])
-    for k in range(0, batch.num_rows, 20_000):
-        yield batch.slice(k, 20_000)
 
+def _by_block(batches):
+    """(block, ids, texts) of runs of rows of one block."""
+    block, ids, texts = None, [], []
+    for b in batches:
+        for at, i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2))):
+            if ids and at != block:
+                yield block, ids, texts
+                ids, texts = [], []
+            block = at
+            ids.append(i)
+            texts.append(text)
+    if ids:
+        yield block, ids, texts
 
-def _head(block: int, key_type: pa.DataType, names: bytes, more: bytes) -> pa.RecordBatch:
-    """The row that says what a block's items are."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array([None], key_type), pa.array([block], pa.int64()), pa.array([0], pa.int64()),
-         pa.array([names], pa.binary()), pa.array([more], pa.binary())],
-        ["key", "block", "weight", "items", "counts"])
 
+def index_words(blocks: DataFrame) -> DataFrame:
+    """(block, word, n): the words of a block and how often its training texts have them.
 
-_INDEX = "key {}, block bigint, weight bigint, items binary, counts binary"
+    The end is the empty word.
+    """
 
+    def run(batches):
+        for block, ids, texts in _by_block(batches):
+            n = Counter()
+            for i, text in zip(ids, texts):
+                words = _words(text)
+                words.append(b"")
+                n.update(dict.fromkeys(words, 0) if held_out(i) else words)
+            names = list(n)
+            for k in range(0, len(names), 20_000):
+                some = names[k:k + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.binary()),
+                     pa.array([n[w] for w in some], pa.int64())], ["block", "word", "n"])
+
+    return by_batches(blocks, run, "block bigint, word binary, n bigint")
+
+
+def stream(text: bytes) -> bytes:
+    return b" ".join(_words(text)) + b"\n"
+
+
+def grams(streams: list[bytes]) -> np.ndarray:
+    """For every byte of every stream: its context and the byte, the nearest byte of the context highest."""
+    data = np.frombuffer(b"".join(PAD + s for s in streams), np.uint8)
+    key = data[DEPTH:].astype(np.uint64)
+    for back in range(1, DEPTH + 1):
+        key |= data[DEPTH - back:len(data) - back].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - back))
+    size = np.full(2 * len(streams), DEPTH)
+    size[::2] = [len(s) for s in streams]
+    return key[np.repeat(np.arange(len(size)) % 2 == 0, size)[:len(key)]]
 
-def _block_id(n: int) -> int:
-    return TaskContext.get().partitionId() << 32 | n
 
+def _pieces(streams: list[bytes]):
+    """Slices of the list with a bounded number of bytes, one stream at least."""
+    first, size = 0, 0
+    for k, s in enumerate(streams):
+        if size and size + len(s) > PIECE_BYTES:
+            yield slice(first, k)
+            first, size = k, 0
+        size += len(s)
+    if streams:
+        yield slice(first, len(streams))
 
-def index_documents(docs: DataFrame) -> DataFrame:
-    """Per block: a row for each word, and one without a word that holds the ids and folds."""
 
-    def flush(n, numbers, codes, ids):
-        block = _block_id(n)
-        item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        code = np.concatenate(codes)
-        out = np.array([i is not None and held_out(i) for i in ids])
-        _, batch = _rows(block, code, item, (~out).astype(np.int64))
-        yield from _with(batch, pa.array(list(numbers), pa.binary()))
-        have = np.array([i is not None for i in ids])
-        yield _head(block, pa.binary(),
-                    np.array([0 if i is None else i for i in ids], "<i8").tobytes(),
-                    (out + 2 * have).astype(np.uint8).tobytes())
+def _starts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(sorted_keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return np.flatnonzero(new)
 
-    def run(batches):
-        n, size, numbers, codes, ids = 0, 0, _Numbers(), [], []
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), raw(b.column(1))):
-                w = text.translate(LOWER).split()
-                w.append(END)
-                codes.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
-                ids.append(doc)
-                size += len(text)
-                if size >= BLOCK_BYTES or len(ids) == BLOCK_ITEMS:
-                    yield from flush(n, numbers, codes, ids)
-                    n, size, numbers, codes, ids = n + 1, 0, _Numbers(), [], []
-        if ids:
-            yield from flush(n, numbers, codes, ids)
 
-    return by_batches(docs, run, _INDEX.format("binary"))
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]):
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = _starts(key)
+    return key[first], np.add.reduceat(n[order], first)
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts with the byte that follows, and whose they are.
+def lot_of(top: np.ndarray, lots: int) -> np.ndarray:
+    """The lot of contexts that end in the bytes `top`."""
+    mixed = top.astype(np.uint64) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
+    return (mixed * np.uint64(lots) >> np.uint64(32)).astype(np.int64)
 
-    The nearest byte of the context is the highest, so that shorter contexts are prefixes.
-    """
-    pad = b" " * DEPTH
-    data = np.frombuffer(b"".join(pad + (b"\n" if w == END else w + b" ") for w in words), np.uint8)
-    size = np.array([DEPTH + len(w) + 1 for w in words], np.int64)
-    start = np.cumsum(size) - size
-    own = size - DEPTH
-    whose = np.repeat(np.arange(len(words)), own)
-    at = np.arange(len(whose)) + np.repeat(start + DEPTH - (np.cumsum(own) - own), own)
-    key = data[at].astype(np.int64)
-    for back in range(1, DEPTH + 1):
-        key |= data[at - back].astype(np.int64) << (8 * (DEPTH + 1 - back))
-    return key, whose
 
+def _binary(data: bytes, cuts: np.ndarray, n: int) -> pa.Array:
+    return pa.Array.from_buffers(
+        pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
-def index_words(lexicon: DataFrame) -> DataFrame:
-    """Per block of words: a row for each context and following byte, and one with the words."""
 
-    def flush(n, words, counts):
-        block = _block_id(n)
-        key, whose = grams(words)
-        got, batch = _rows(block, key, whose, np.array(counts, np.int64))
-        yield from _with(batch, pa.array(got))
-        yield _head(block, pa.int64(), b"\n".join(words), np.array(counts, "<i8").tobytes())
+def index_contexts(blocks: DataFrame, lots: int) -> DataFrame:
+    """(lot, block, keys, counts): a block's different contexts with the byte that follows, packed."""
 
     def run(batches):
-        n, words, counts = 0, [], []
-        for b in batches:
-            words += b.column(0).to_pylist()
-            counts += b.column(1).to_pylist()
-            while len(words) >= BLOCK_ITEMS:
-                yield from flush(n, words[:BLOCK_ITEMS], counts[:BLOCK_ITEMS])
-                n, words, counts = n + 1, words[BLOCK_ITEMS:], counts[BLOCK_ITEMS:]
-        if words:
-            yield from flush(n, words, counts)
-
-    return by_batches(lexicon, run, _INDEX.format("bigint"))
+        for block, ids, texts in _by_block(batches):
+            keys, counts = [], []
+            for out in (False, True):
+                streams = [stream(t) for i, t in zip(ids, texts) if held_out(i) == out]
+                for piece in _pieces(streams):
+                    key = grams(streams[piece])
+                    key.sort()
+                    first = _starts(key)
+                    keys.append(key[first])
+                    counts.append(np.diff(np.append(first, len(key))) * (not out))
+            key, n = _merged(keys, counts)
+            lot = lot_of(key >> np.uint64(REST), lots)
+            order = np.argsort(lot.astype(np.uint16), kind="stable")
+            lot = lot[order]
+            first = _starts(lot)
+            cuts = np.append(first, len(lot)) * 8
+            yield pa.RecordBatch.from_arrays([
+                pa.array(lot[first]), pa.array(np.full(len(first), block, np.int64)),
+                _binary(key[order].astype("<u8").tobytes(), cuts, len(first)),
+                _binary(n[order].astype("<i8").tobytes(), cuts, len(first)),
+            ], ["lot", "block", "keys", "counts"])
+
+    return by_batches(blocks, run, "lot bigint, block bigint, keys binary, counts binary")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -188,175 +203,197 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (up - 0.5) * np.log(up) - up + 0.5 * np.log(2 * np.pi) + tail - back
 
 
+# the values for small counts, looked up
+SMALL = 1 << 14
+LOG_GAMMA_HALF = log_gamma(np.arange(SMALL) + 0.5)
+LOG_GAMMA_ONE = log_gamma(np.arange(SMALL) + 1.0)
+
+
+def _log_gamma_of(n: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(n, SMALL - 1)]
+    large = np.flatnonzero(n >= SMALL)
+    out[large] = log_gamma(n[large] + shift)
+    return out
+
+
 def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural log of the estimate of any order of `a` zeros and `b` ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
+    return (_log_gamma_of(a, LOG_GAMMA_HALF, 0.5) + _log_gamma_of(b, LOG_GAMMA_HALF, 0.5)
+            - _log_gamma_of(a + b, LOG_GAMMA_ONE, 1.0) - np.log(np.pi))
 
 
-def _up(key, a, b, low):
-    """One level up: sums over equal keys; the weighted probability of the nodes there."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+def _up(at, a, b, low):
+    """One level up: (place, zeros, ones, weighted, own estimate, parent of each node below)."""
+    first = _starts(at)
     a, b, low = (np.add.reduceat(x, first) for x in (a, b, low))
     own = kt(a, b)
-    parent = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-    return key[first], a, b, np.logaddexp(HALF + own, HALF + low), own, parent
+    parent = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+    return at[first], a, b, np.logaddexp(HALF + own, HALF + low), own, parent
 
 
-def _down(a, b, own, weighted, sofar, rest, before, leaf):
-    """One level down: (prediction of a one, what is mixed so far, the weight that is left)."""
-    estimate = (b + 0.5) / (a + b + 1.0)
-    share = np.ones(len(a)) if leaf else np.exp(HALF + own - weighted)
-    seen = a + b > 0
-    guess = np.where(seen, sofar + rest * estimate, before)
-    return guess, sofar + rest * share * estimate, rest * (1 - share)
+def _down(a, b, own, weighted, sofar, rest):
+    """One level down: what is mixed so far of the probability of a one, and the weight that is left."""
+    share = np.exp(HALF + own - weighted)
+    return sofar + rest * share * (b + 0.5) / (a + b + 1.0), rest * (1 - share)
 
 
-def decisions(key: np.ndarray, n: np.ndarray):
-    """Eight (decision << 48 | context, zeros, ones) for each context with a following byte."""
-    context, byte = key >> 8, key & 255
-    out = []
-    for k in range(8):
-        node = 1 << k | byte >> (8 - k)
-        bit = byte >> (7 - k) & 1
-        out.append((node << 48 | context, n * (1 - bit), n * bit, bit))
-    return [np.concatenate(x) for x in zip(*out)]
-
-
-def _levels(key: np.ndarray, n: np.ndarray):
-    """The levels of a shard from the leaves up to depth two."""
-    at, a, b, bit = decisions(key, n)
-    leaf, where = np.unique(at, return_inverse=True)
-    a = np.bincount(where, a, len(leaf))
-    b = np.bincount(where, b, len(leaf))
+def _levels(key: np.ndarray, n: np.ndarray, k: int):
+    """For the k-th bit: the levels from full depth up to TOP, and the leaf and bit of every key.
+
+    `key` is in order, so leaves are runs of it; sorted by the bits before, then by context, every
+    level above is runs of the one below.
+    """
+    prefix = key >> np.uint64(8 - k)
+    first = _starts(prefix)
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    bit = (key >> np.uint64(7 - k) & np.uint64(1)).astype(np.int64)
+    ones = np.add.reduceat(n * bit, first)
+    zeros = np.add.reduceat(n, first) - ones
+    node = (1 << k | (prefix[first] & np.uint64((1 << k) - 1)).astype(np.int64)).astype(np.uint8)
+    order = np.argsort(node, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = node[order].astype(np.uint64) << np.uint64(8 * DEPTH) | key[first][order] >> np.uint64(8)
+    a, b = zeros[order], ones[order]
     own = kt(a, b)
-    levels = [(leaf, a, b, own, own, None)]
-    for depth in range(DEPTH - 1, 1, -1):
-        k, a, b, low = levels[-1][0] >> 8, *levels[-1][1:4]
-        levels.append(_up(k, a, b, low))
-    return levels, where, bit
+    levels = [(at, a, b, own, own, None)]
+    for _ in range(DEPTH - TOP):
+        at, a, b, low = levels[-1][:4]
+        levels.append(_up(at >> np.uint64(8), a, b, low))
+    return levels, place[run], bit
+
 
+def _unpacked(rows: pa.Table):
+    """All keys of a lot once, their counts, and where each row's keys are among them."""
+    keys = [np.frombuffer(x.as_py(), "<u8") for x in rows["keys"]]
+    counts = [np.frombuffer(x.as_py(), "<i8") for x in rows["counts"]]
+    key, n = _merged(keys, counts)
+    return key, n, keys
 
-def _shard_roots(table: pa.Table) -> pa.Table:
-    levels, _, _ = _levels(table["key"].to_numpy(), table["n"].to_numpy().astype(float))
-    at, a, b, weighted = levels[-1][:4]
-    return pa.table({"node": at >> 16, "ctx": at & 0xFFFF, "a": a, "b": b, "weighted": weighted})
 
+def _lot_roots(rows: pa.Table) -> pa.Table:
+    key, n, _ = _unpacked(rows)
+    out = []
+    for k in range(8):
+        at, a, b, weighted = _levels(key, n, k)[0][-1][:4]
+        out.append((at >> np.uint64(8 * TOP), at & np.uint64((1 << 8 * TOP) - 1), a, b, weighted))
+    node, ctx, a, b, weighted = (np.concatenate(x) for x in zip(*out))
+    return pa.table({"node": node.astype(np.int64), "ctx": ctx.astype(np.int64), "a": a, "b": b,
+                     "weighted": weighted})
 
-def _top(table: pa.Table) -> pa.Table:
-    """For one decision: depths one and zero, and what they hand down to each context of depth two."""
+
+def _above(table: pa.Table, lots: int) -> pa.Table:
+    """For one decision: the depths above TOP, and what they hand down to each context of TOP bytes."""
     order = np.argsort(table["ctx"].to_numpy(), kind="stable")
-    ctx, a, b, low = (table[c].to_numpy()[order] for c in ("ctx", "a", "b", "weighted"))
-    _, a1, b1, w1, own1, p1 = _up(ctx >> 8, a, b, low)
-    _, a0, b0, w0, own0, p0 = _up(np.zeros(len(a1), np.int64), a1, b1, w1)
-    guess, sofar, rest = _down(a0, b0, own0, w0, 0.0, np.ones(1), 0.5, False)
-    guess, sofar, rest = _down(a1, b1, own1, w1, sofar[p0], rest[p0], guess[p0], False)
-    return pa.table({"node": table["node"].to_numpy()[order], "ctx": ctx, "guess": guess[p1],
-                     "sofar": sofar[p1], "rest": rest[p1]})
-
-
-def _shard_scores(rows: pa.Table, top: pa.Table) -> pa.Table:
-    key = rows["key"].to_numpy()
-    levels, where, bit = _levels(key, rows["n"].to_numpy().astype(float))
-    at = top["node"].to_numpy() << 16 | top["ctx"].to_numpy()
-    order = np.argsort(at)
-    order = order[np.searchsorted(at[order], levels[-1][0])]
-    guess, sofar, rest = (top[c].to_numpy()[order] for c in ("guess", "sofar", "rest"))
-    for depth, (_, a, b, weighted, own, parent) in zip(range(2, DEPTH + 1), levels[::-1]):
-        guess, sofar, rest = _down(a, b, own, weighted, sofar, rest, guess, depth == DEPTH)
-        if depth < DEPTH:
-            to = levels[DEPTH - depth - 1]
-            down = np.cumsum(np.concatenate(
-                [[False], (to[0][1:] >> 8) != (to[0][:-1] >> 8)]))
-            guess, sofar, rest = guess[down], sofar[down], rest[down]
-    one = guess[where]
-    log = np.log10(np.where(bit == 1, one, 1 - one)).reshape(8, len(key)).sum(0)
-    return pa.table({"key": key, "log": log})
-
-
-def tree_scores(counts: DataFrame) -> DataFrame:
-    """(key, log): log10 probability of the byte after each context; `counts` has (key, n)."""
-    rows = counts.withColumn("ctx", F.shiftright("key", 8 * (DEPTH - 1)))
-    roots = rows.groupBy("ctx").applyInArrow(
-        lambda t: _shard_roots(t), "node bigint, ctx bigint, a double, b double, weighted double")
-    top = roots.groupBy("node").applyInArrow(
-        lambda t: _top(t), "node bigint, ctx bigint, guess double, sofar double, rest double")
-    return rows.groupBy("ctx").cogroup(top.groupBy("ctx")).applyInArrow(
-        lambda a, b: _shard_scores(a, b), "key bigint, log double")
-
-
-def _entries(table: pa.Table):
-    """The block's head row, and of the others: item, how often, and the row each entry is of."""
-    table = table.combine_chunks()
-    is_head = table["head"].to_numpy(zero_copy_only=False)
-    head = table.filter(pa.array(is_head)).slice(0, 1).to_pylist()[0]
-    body = table.filter(pa.array(~is_head)).combine_chunks()
-    items = np.frombuffer(b"".join(body["items"].to_pylist()), "<u2")
-    counts = np.frombuffer(b"".join(body["counts"].to_pylist()), np.uint8)
-    n = np.array([len(x) for x in body["counts"].to_pylist()], np.int64)
-    return head, body, items, counts, np.repeat(np.arange(len(n)), n)
-
-
-def _word_sums(table: pa.Table) -> pa.Table:
-    head, body, items, counts, of = _entries(table)
-    words = head["items"].split(b"\n")
-    log = np.bincount(items, counts * body["log"].to_numpy()[of], len(words))
-    return pa.table({"word": pa.array(words, pa.binary()),
-                     "c": np.frombuffer(head["counts"], "<i8"), "log": log})
-
-
-def _document_sums(table: pa.Table, smoothed: int) -> pa.Table:
-    head, body, items, counts, of = _entries(table)
-    c = body["c"].to_numpy().astype(float)
-    base = np.log10((c + 1) / smoothed)
-    ids, fold = np.frombuffer(head["items"], "<i8"), np.frombuffer(head["counts"], np.uint8)
-    add = lambda x: np.bincount(items, counts * x[of], len(ids))
+    ctx, a, b, weighted = (table[c].to_numpy()[order] for c in ("ctx", "a", "b", "weighted"))
+    levels = [(ctx, a, b, weighted)]
+    for _ in range(TOP):
+        at, a, b, low = levels[-1][:4]
+        levels.append(_up(at >> 8, a, b, low))
+    sofar, rest = np.zeros(1), np.ones(1)
+    for _, a, b, weighted, own, parent in levels[:0:-1]:
+        sofar, rest = _down(a, b, own, weighted, sofar, rest)
+        sofar, rest = sofar[parent], rest[parent]
+    return pa.table({"lot": lot_of(ctx, lots), "node": table["node"].to_numpy()[order], "ctx": ctx,
+                     "sofar": sofar, "rest": rest})
+
+
+def _lot_scores(rows: pa.Table, above: pa.Table) -> pa.Table:
+    key, n, keys = _unpacked(rows)
+    known = (above["node"].to_numpy() << 8 * TOP | above["ctx"].to_numpy()).astype(np.uint64)
+    order = np.argsort(known)
+    known = known[order]
+    log = np.zeros(len(key))
+    for k in range(8):
+        levels, leaf, bit = _levels(key, n, k)
+        at = order[np.searchsorted(known, levels[-1][0])]
+        sofar, rest = above["sofar"].to_numpy()[at], above["rest"].to_numpy()[at]
+        for _, a, b, weighted, own, parent in levels[:0:-1]:
+            sofar, rest = _down(a, b, own, weighted, sofar, rest)
+            sofar, rest = sofar[parent], rest[parent]
+        _, a, b, *_ = levels[0]
+        # at full depth a node is its own estimate
+        one = (sofar + rest * (b + 0.5) / (a + b + 1.0))[leaf]
+        log += np.log10(np.where(bit == 1, one, 1 - one))
+    logs = [log[np.searchsorted(key, x)].astype("<f8").tobytes() for x in keys]
+    return pa.table({"block": rows["block"], "keys": rows["keys"], "logs": pa.array(logs, pa.binary())})
+
+
+def tree_scores(index: DataFrame, lots: int, partitions: int) -> DataFrame:
+    """(block, keys, logs): log10 probability of the byte after each context of a block."""
+    rows = index.repartition(partitions, "lot")
+    roots = rows.groupBy("lot").applyInArrow(
+        lambda t: _lot_roots(t), "node bigint, ctx bigint, a bigint, b bigint, weighted double")
+    above = roots.groupBy("node").applyInArrow(
+        lambda t: _above(t, lots), "lot bigint, node bigint, ctx bigint, sofar double, rest double")
+    return rows.groupBy("lot").cogroup(
+        above.repartition(partitions, "lot").groupBy("lot")).applyInArrow(
+        lambda a, b: _lot_scores(a, b), "block bigint, keys binary, logs binary")
+
+
+def _block_scores(texts: pa.Table, found: pa.Table, smoothed: int) -> pa.Table:
+    """Sums over the tokens and bytes of every text of a block."""
+    of_words = found.filter(found["word"].is_valid())
+    c = dict(zip(of_words["word"].to_pylist(), of_words["c"].to_pylist()))
+    packed = found.filter(found["keys"].is_valid())
+    key = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in packed["keys"]])
+    log = np.concatenate([np.frombuffer(x.as_py(), "<f8") for x in packed["logs"]])
+    order = np.argsort(key)
+    key, log = key[order], log[order]
+    ids, texts = texts["id"].to_pylist(), raw(texts["text"].combine_chunks())
+    tokens, known, base, score, size = [], [], [], [], []
+    for text in texts:
+        n = np.array([c[w] for w in _words(text)] + [c[b""]], np.int64)
+        tokens.append(len(n))
+        known.append(int((n > 0).sum()))
+        base.append(float(np.log10((n + 1) / smoothed).sum()))
+    streams = [stream(t) for t in texts]
+    for piece in _pieces(streams):
+        some = streams[piece]
+        asked = grams(some)
+        order = np.argsort(asked)
+        got = np.empty(len(asked))
+        got[order] = log[np.searchsorted(key, asked[order])]
+        lengths = np.array([len(s) for s in some])
+        score.append(np.add.reduceat(got, np.cumsum(lengths) - lengths))
+        size.append(lengths)
     return pa.table({
-        "doc_id": pa.array(ids, mask=fold < 2), "held_out": fold % 2 == 1,
-        "n_tokens": np.bincount(items, counts, len(ids)).astype(np.int64),
-        "n_known": add((c > 0).astype(float)).astype(np.int64), "base_score": add(base),
-        "score": add(body["log"].to_numpy()),
-        "n_bytes": add(body["bytes"].to_numpy().astype(float)).astype(np.int64)})
+        "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]),
+        "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
+        "base_score": pa.array(base, pa.float64()), "score": np.concatenate(score),
+        "n_bytes": np.concatenate(size).astype(np.int64)})
 
 
-def _written(index: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
     """As `stage`, packed harder: these are the large tables."""
-    path = new_path(index.sparkSession, name)
-    index.write.option("compression", "zstd").parquet(path)
-    return index.sparkSession.read.schema(index.schema).parquet(path)
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), and
     the code length in bits per byte."""
-    index = _written(index_documents(narrow(docs, id_col, text_col)), "words-of-documents")
-    lexicon = stage(index.filter("key IS NOT NULL").groupBy("key").agg(
-        F.sum("weight").alias("c")), "lexicon")
-    by_word = _written(index_words(lexicon), "contexts-of-words")
-    contexts = stage(by_word.filter("key IS NOT NULL").groupBy("key").agg(
-        F.sum("weight").alias("n")), "contexts")
-    log_of = tree_scores(contexts)
-    block = ["block", "head", "items", "counts"]
-    words = by_word.filter("key IS NOT NULL").join(log_of, "key").select(
-        "block", F.lit(False).alias("head"), "items", "counts", "log").union(
-        by_word.filter("key IS NULL").select(
-            "block", F.lit(True), "items", "counts", F.lit(0.0)))
-    # every block of words has its row of contexts; `c` comes back with the words
-    model = stage(words.groupBy("block").applyInArrow(
-        lambda t: _word_sums(t), "word binary, c bigint, log double"), "model")
+    spark = docs.sparkSession
+    blocks = _written(in_blocks(narrow(docs, id_col, text_col)), "blocks")
+    size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lots = min(MAX_LOTS, 16 + size // LOT_BYTES)
+    # tasks by the work, which is far larger than the packed rows look
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (2 * BLOCK_BYTES))
+    by_word = _written(index_words(blocks), "words-of-blocks")
+    lexicon = stage(by_word.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
     # one row: all training tokens, different ones
-    total = model.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-                      F.count_if(F.col("c") > 0).alias("v")).first()
+    total = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+                        F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = total["n"], total["v"]
-    valued = model.select(
-        F.col("word").alias("key"), "log", "c", (F.octet_length("word") + 1).alias("bytes"))
-    values = ["log", "c", "bytes"]
-    met = index.filter("key IS NOT NULL").join(valued, "key").select(
-        "block", F.lit(False).alias("head"), "items", "counts", *values).union(
-        index.filter("key IS NULL").select(
-            *[F.lit(True) if c == "head" else F.col(c) for c in block], F.lit(0.0),
-            F.lit(0).cast("bigint"), F.lit(0)))
-    return met.groupBy("block").applyInArrow(
-        lambda t: _document_sums(t, n + v + 1),
+    logs = tree_scores(index_contexts(blocks, lots), lots, partitions)
+    found = logs.select("block", "keys", "logs", F.lit(None).cast("binary").alias("word"),
+                        F.lit(None).cast("bigint").alias("c")).union(
+        by_word.join(lexicon, "word").select(
+            "block", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "word", "c"))
+    return blocks.repartition(partitions, "block").groupBy("block").cogroup(
+        found.repartition(partitions, "block").groupBy("block")).applyInArrow(
+        lambda a, b: _block_scores(a, b, n + v + 1),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, "
         "score double, n_bytes bigint").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"),

@@ -1,6 +1,8 @@
 """Each operator against the library it must equal, a brute-force version, or its SQL."""
 
+import functools
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -305,67 +307,95 @@ def test_quotes_link_to_their_origin(spark):
 
 # 6. Language model --------------------------------------------------------------------------------
 
-def plain_ctw(counts):
+def plain_ctw(streams):
+    """log10 probability of a stream: every bit by the ratio of the root's weighted probabilities."""
     depth, seen, children = ctw.DEPTH, defaultdict(lambda: [0, 0]), defaultdict(set)
 
-    def decisions(w):
-        s = b" " * depth + (b"\n" if w == b"" else w + b" ")
+    def decisions(s):
+        s = b"\n" * depth + s
         for i in range(depth, len(s)):
-            node = 1
-            for k in range(7, -1, -1):
-                bit = s[i] >> k & 1
-                yield node, s[i - depth:i], bit
-                node = node * 2 + bit
-
-    for w, c in counts.items():
-        for node, context, bit in decisions(w):
+            for k in range(8):
+                yield (k, s[i] >> (8 - k)), s[i - depth:i], s[i] >> (7 - k) & 1
+
+    for s in streams:
+        for node, context, bit in decisions(s):
             for d in range(depth + 1):
-                seen[node, context[depth - d:]][bit] += c
+                seen[node, context[depth - d:]][bit] += 1
                 if d:
                     children[node, context[depth - d + 1:]].add((node, context[depth - d:]))
 
-    def kt(x):
-        return (math.lgamma(x[0] + .5) + math.lgamma(x[1] + .5) - math.lgamma(sum(x) + 1)
-                - math.log(math.pi))
+    def kt(a, b):
+        return math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def half(x, y):
+        return float(np.logaddexp(math.log(.5) + x, math.log(.5) + y))
 
     memo = {}
 
     def weighted(k):
         if k not in memo:
-            own = kt(seen[k])
-            memo[k] = own if len(k[1]) == depth else float(np.logaddexp(
-                math.log(.5) + own, math.log(.5) + sum(map(weighted, children[k]))))
+            own = kt(*seen.get(k, (0, 0)))
+            memo[k] = own if len(k[1]) == depth else half(
+                own, sum(map(weighted, children.get(k, ()))))
         return memo[k]
 
-    def one(node, context):
-        mixed, rest, guess = 0.0, 1.0, 0.5
-        for d in range(depth + 1):
-            k = node, context[depth - d:]
-            if k not in seen:
-                break
-            estimate = (seen[k][1] + .5) / (sum(seen[k]) + 1)
-            guess = mixed + rest * estimate
-            share = 1.0 if d == depth else math.exp(math.log(.5) + kt(seen[k]) - weighted(k))
-            mixed, rest = mixed + rest * share * estimate, rest * (1 - share)
-        return guess
-
-    return lambda w: sum(math.log10(one(n, c) if b else 1 - one(n, c)) for n, c, b in decisions(w))
-
-
-def test_tree_weighting_equals_brute_force(spark):
-    rows = [*corpus(), (7, None), (8, ""), (9, "zzz new " * 300), (9, "zzz new " * 300), (None, "a")]
-    tokens = [(d, (t or "").encode().lower().split() + [b""]) for d, t in rows]
-    out = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in tokens]
-    counts = Counter(w for (_, ws), o in zip(tokens, out) if not o for w in ws)
+    def after(node, context, bit, d=0):
+        """Weighted probability at depth d once `bit` has followed `context` one time more."""
+        k = node, context[depth - d:]
+        a, b = seen.get(k, (0, 0))
+        own = kt(a + (bit == 0), b + bit)
+        if d == depth:
+            return own
+        low = node, context[depth - d - 1:]
+        others = sum(weighted(c) for c in children.get(k, ()) if c != low)
+        return half(own, others + after(node, context, bit, d + 1))
+
+    @functools.cache
+    def ratio(node, context, bit):
+        return (after(node, context, bit) - weighted((node, b""))) / math.log(10)
+
+    return lambda s: sum(itertools.starmap(ratio, decisions(s)))
+
+
+@pytest.mark.parametrize("block, lot", [(ctw.BLOCK_BYTES, ctw.LOT_BYTES), (700, 20)])
+def test_tree_weighting_equals_brute_force(spark, monkeypatch, block, lot):
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", block)
+    monkeypatch.setattr(ctw, "LOT_BYTES", lot)
+    rows = [*corpus(25), (7, None), (8, ""), (9, "zzz new " * 300), (9, "zzz new " * 300), (None, "a"),
+            (30_002, "\u00e9\u6f22 Unseen\tTHE\x0bof"), (30_003, " \n "), (30_004, "of THE")]
+    texts = [(t or "").encode() for _, t in rows]
+    streams = [b" ".join(t.lower().split()) + b"\n" for t in texts]
+    out = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    assert any(out)
+    tokens = [t.lower().split() + [b""] for t in texts]
+    counts = Counter(w for ws, o in zip(tokens, out) if not o for w in ws)
     n, v = sum(counts.values()), len(counts)
-    log = plain_ctw({w: c for w, c in counts.items()})
-    want = [(d, o, len(ws), sum(counts[w] > 0 for w in ws), n,
-             round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6),
-             round(sum(map(log, ws)), 6)) for (d, ws), o in zip(tokens, out)]
-    got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"],
-            round(r["base_score"], 6), round(r["score"], 6))
-           for r in ctw.scores(frame(spark, rows)).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+    log = plain_ctw([s for s, o in zip(streams, out) if not o])
+    want = {(d, o, len(ws), sum(counts[w] > 0 for w in ws), n): (
+        sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), log(s))
+        for (d, _), ws, s, o in zip(rows, tokens, streams, out)}
+    got = ctw.scores(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        base, score = want[r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]]
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9)
+        assert math.isclose(r["score"], score, rel_tol=1e-9)
+
+
+def test_word_order_changes_a_score(spark):
+    rows = [(i, "a b c d e f " * 5) for i in range(30)] + [(100, "f c a e d b"), (101, "a b c d e f")]
+    got = {r["doc_id"]: r["score"] for r in ctw.scores(frame(spark, rows)).collect()}
+    assert got[101] > got[100] + 1
+
+
+def test_scores_without_training_and_beside_other_columns(spark):
+    alone = [(i, "abc") for i in range(200) if ctw.held_out(i)][:3]
+    got = ctw.scores(frame(spark, alone)).collect()
+    assert len(got) == 3 and all(
+        math.isclose(r["score"], 32 * math.log10(.5)) and r["train_tokens"] == 0 for r in got)
+    schema = "doc_id long, text string, block int, keys string, lot long, n long, word string, c long"
+    clash = spark.createDataFrame([(*r, 1, "k", 2, 3, "w", None) for r in TEXTS], schema)
+    assert rows_of(ctw.scores(clash)) == rows_of(ctw.scores(frame(spark)))
 
 
 def test_scores_of_no_documents(spark):
