@@ -14,7 +14,7 @@ How it runs.  Texts are written once in blocks of bounded size.  A block counts
 with the byte that follows, packed by lots of contexts that end in the same `TOP` bytes (`index_contexts`).
 A lot builds its trees down from depth `TOP`, the few levels above are joined per decision, and every
 block gets back one number for each of its different contexts (`tree_scores`).  It then meets its texts
-again and sums (`_block_scores`): no row per byte is shuffled.  The counts of words for the base score
+again and sums (`_block_scores`): no row per byte or word is shuffled.  The counts of words for the base score
 take the same way.  A lot is sized by the corpus; the largest holds the commonest `TOP` bytes.
 
 Null and empty texts are the end alone.  A row without an id counts as training; repeated rows are all
@@ -25,11 +25,12 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from sentivane.llm.texts import LOWER, by_batches, narrow, raw
 from sentivane.session import new_path, stage
 
-DEPTH = 7  # with the byte that follows, a context fits an unsigned 64-bit number
+DEPTH = 6
 TOP = 3  # lots hold whole subtrees of this depth
 BLOCK_BYTES = 16 << 20
 PIECE_BYTES = 2 << 20  # what a block sorts at once
@@ -89,8 +90,39 @@ def _by_block(batches):
         yield block, ids, texts
 
 
-def index_words(blocks: DataFrame) -> DataFrame:
-    """(block, word, n): the words of a block and how often its training texts have them.
+def _packed(x: np.ndarray) -> bytes:
+    """First the lowest bytes of all numbers, then all second ones, ..., compressed."""
+    planes = x.view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor().compress(planes.tobytes())
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
+def _packed_keys(key: np.ndarray) -> bytes:
+    """Ordered keys, as their differences."""
+    return _packed(np.diff(key, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
+
+
+def _words_by_lot(words, lots: int) -> dict[int, list[bytes]]:
+    """The different words of a block, in order, by lot."""
+    out = defaultdict(list)
+    for w in words:
+        out[zlib.crc32(w) % lots].append(w)
+    for some in out.values():
+        some.sort()
+    return out
+
+
+def index_words(blocks: DataFrame, lots: int) -> DataFrame:
+    """(lot, block, words, counts): a block's words and how often its training texts have them, packed.
 
     The end is the empty word.
     """
@@ -102,14 +134,50 @@ def index_words(blocks: DataFrame) -> DataFrame:
                 words = _words(text)
                 words.append(b"")
                 n.update(dict.fromkeys(words, 0) if held_out(i) else words)
-            names = list(n)
-            for k in range(0, len(names), 20_000):
-                some = names[k:k + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.binary()),
-                     pa.array([n[w] for w in some], pa.int64())], ["block", "word", "n"])
+            of_lot = _words_by_lot(n, lots)
+            squeeze = zstandard.ZstdCompressor().compress
+            names, counts = [], []
+            for words in of_lot.values():
+                names.append(squeeze(b"\n".join(words)))
+                counts.append(_packed(np.array([n[w] for w in words], "<i8")))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(list(of_lot), pa.int64()), pa.array([block] * len(names), pa.int64()),
+                pa.array(names, pa.binary()), pa.array(counts, pa.binary()),
+            ], ["lot", "block", "words", "counts"])
+
+    return by_batches(blocks, run, "lot bigint, block bigint, words binary, counts binary")
+
+
+def _unpacked_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
+def _rows_of_blocks(rows: pa.Table) -> dict[int, list[int]]:
+    """Which rows each block has: one, unless the scan has cut the block."""
+    out = defaultdict(list)
+    for k, block in enumerate(rows["block"].to_pylist()):
+        out[block].append(k)
+    return out
 
-    return by_batches(blocks, run, "block bigint, word binary, n bigint")
+
+def _lot_words(rows: pa.Table, lot: int) -> pa.Table:
+    """Per block: the corpus counts of its words of this lot, in the order of the words.
+
+    The first row has the lot's tokens and known words beside.
+    """
+    words = [_unpacked_words(x) for x in rows["words"].to_pylist()]
+    c = Counter()
+    for some, counts in zip(words, rows["counts"].to_pylist()):
+        for w, n in zip(some, _unpacked(counts, "<i8").tolist()):
+            c[w] += n
+    blocks = _rows_of_blocks(rows)
+    data = [_packed(np.array([c[w] for w in sorted(set().union(*(words[k] for k in of)))], "<i8"))
+            for of in blocks.values()]
+    more = [0] * (len(blocks) - 1)
+    return pa.table({
+        "block": pa.array(list(blocks), pa.int64()), "lot": pa.array([lot] * len(blocks), pa.int64()),
+        "data": pa.array(data, pa.binary()), "tokens": pa.array([sum(c.values()), *more], pa.int64()),
+        "known": pa.array([sum(x > 0 for x in c.values()), *more], pa.int64())})
 
 
 def stream(text: bytes) -> bytes:
@@ -160,9 +228,21 @@ def lot_of(top: np.ndarray, lots: int) -> np.ndarray:
     return (mixed * np.uint64(lots) >> np.uint64(32)).astype(np.int64)
 
 
-def _binary(data: bytes, cuts: np.ndarray, n: int) -> pa.Array:
-    return pa.Array.from_buffers(
-        pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data)])
+def _block_contexts(ids, streams: list[bytes], lots: int):
+    """(lot, key, count in training texts) of a block's different keys, ordered by lot and key."""
+    keys, counts = [], []
+    for out in (False, True):
+        fold = [s for i, s in zip(ids, streams) if held_out(i) == out]
+        for piece in _pieces(fold):
+            key = grams(fold[piece])
+            key.sort()
+            first = _starts(key)
+            keys.append(key[first])
+            counts.append(np.diff(np.append(first, len(key))) * (not out))
+    key, n = _merged(keys, counts)
+    lot = lot_of(key >> np.uint64(REST), lots)
+    order = np.argsort(lot.astype(np.uint16), kind="stable")
+    return lot[order], key[order], n[order]
 
 
 def index_contexts(blocks: DataFrame, lots: int) -> DataFrame:
@@ -170,25 +250,12 @@ def index_contexts(blocks: DataFrame, lots: int) -> DataFrame:
 
     def run(batches):
         for block, ids, texts in _by_block(batches):
-            keys, counts = [], []
-            for out in (False, True):
-                streams = [stream(t) for i, t in zip(ids, texts) if held_out(i) == out]
-                for piece in _pieces(streams):
-                    key = grams(streams[piece])
-                    key.sort()
-                    first = _starts(key)
-                    keys.append(key[first])
-                    counts.append(np.diff(np.append(first, len(key))) * (not out))
-            key, n = _merged(keys, counts)
-            lot = lot_of(key >> np.uint64(REST), lots)
-            order = np.argsort(lot.astype(np.uint16), kind="stable")
-            lot = lot[order]
+            lot, key, n = _block_contexts(ids, [stream(t) for t in texts], lots)
             first = _starts(lot)
-            cuts = np.append(first, len(lot)) * 8
+            key, n = np.split(key, first[1:]), np.split(n, first[1:])
             yield pa.RecordBatch.from_arrays([
                 pa.array(lot[first]), pa.array(np.full(len(first), block, np.int64)),
-                _binary(key[order].astype("<u8").tobytes(), cuts, len(first)),
-                _binary(n[order].astype("<i8").tobytes(), cuts, len(first)),
+                pa.array(map(_packed_keys, key), pa.binary()), pa.array(map(_packed, n), pa.binary()),
             ], ["lot", "block", "keys", "counts"])
 
     return by_batches(blocks, run, "lot bigint, block bigint, keys binary, counts binary")
@@ -263,16 +330,16 @@ def _levels(key: np.ndarray, n: np.ndarray, k: int):
     return levels, place[run], bit
 
 
-def _unpacked(rows: pa.Table):
-    """All keys of a lot once, their counts, and where each row's keys are among them."""
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in rows["keys"]]
-    counts = [np.frombuffer(x.as_py(), "<i8") for x in rows["counts"]]
+def _contexts(rows: pa.Table):
+    """All keys of a lot once, their counts, and the keys of each row."""
+    keys = [_unpacked_keys(x) for x in rows["keys"].to_pylist()]
+    counts = [_unpacked(x, "<i8") for x in rows["counts"].to_pylist()]
     key, n = _merged(keys, counts)
     return key, n, keys
 
 
 def _lot_roots(rows: pa.Table) -> pa.Table:
-    key, n, _ = _unpacked(rows)
+    key, n, _ = _contexts(rows)
     out = []
     for k in range(8):
         at, a, b, weighted = _levels(key, n, k)[0][-1][:4]
@@ -298,8 +365,12 @@ def _above(table: pa.Table, lots: int) -> pa.Table:
                      "sofar": sofar, "rest": rest})
 
 
-def _lot_scores(rows: pa.Table, above: pa.Table) -> pa.Table:
-    key, n, keys = _unpacked(rows)
+def _lot_scores(rows: pa.Table, above: pa.Table, lot: int) -> pa.Table:
+    """Per block: the log10 probabilities of its keys of this lot, in the order of the keys.
+
+    They travel in single precision, which leaves a sum right to seven digits.
+    """
+    key, n, keys = _contexts(rows)
     known = (above["node"].to_numpy() << 8 * TOP | above["ctx"].to_numpy()).astype(np.uint64)
     order = np.argsort(known)
     known = known[order]
@@ -315,12 +386,18 @@ def _lot_scores(rows: pa.Table, above: pa.Table) -> pa.Table:
         # at full depth a node is its own estimate
         one = (sofar + rest * (b + 0.5) / (a + b + 1.0))[leaf]
         log += np.log10(np.where(bit == 1, one, 1 - one))
-    logs = [log[np.searchsorted(key, x)].astype("<f8").tobytes() for x in keys]
-    return pa.table({"block": rows["block"], "keys": rows["keys"], "logs": pa.array(logs, pa.binary())})
+    blocks = _rows_of_blocks(rows)
+    data = []
+    for of in blocks.values():
+        own = keys[of[0]] if len(of) == 1 else np.unique(np.concatenate([keys[k] for k in of]))
+        data.append(_packed(log[np.searchsorted(key, own)].astype("<f4")))
+    return pa.table({
+        "block": pa.array(list(blocks), pa.int64()), "lot": pa.array([lot] * len(blocks), pa.int64()),
+        "data": pa.array(data, pa.binary())})
 
 
 def tree_scores(index: DataFrame, lots: int, partitions: int) -> DataFrame:
-    """(block, keys, logs): log10 probability of the byte after each context of a block."""
+    """(block, lot, data): packed log10 probabilities of the byte after each context of a block."""
     rows = index.repartition(partitions, "lot")
     roots = rows.groupBy("lot").applyInArrow(
         lambda t: _lot_roots(t), "node bigint, ctx bigint, a bigint, b bigint, weighted double")
@@ -328,26 +405,37 @@ def tree_scores(index: DataFrame, lots: int, partitions: int) -> DataFrame:
         lambda t: _above(t, lots), "lot bigint, node bigint, ctx bigint, sofar double, rest double")
     return rows.groupBy("lot").cogroup(
         above.repartition(partitions, "lot").groupBy("lot")).applyInArrow(
-        lambda a, b: _lot_scores(a, b), "block bigint, keys binary, logs binary")
-
-
-def _block_scores(texts: pa.Table, found: pa.Table, smoothed: int) -> pa.Table:
-    """Sums over the tokens and bytes of every text of a block."""
-    of_words = found.filter(found["word"].is_valid())
-    c = dict(zip(of_words["word"].to_pylist(), of_words["c"].to_pylist()))
-    packed = found.filter(found["keys"].is_valid())
-    key = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in packed["keys"]])
-    log = np.concatenate([np.frombuffer(x.as_py(), "<f8") for x in packed["logs"]])
-    order = np.argsort(key)
-    key, log = key[order], log[order]
-    ids, texts = texts["id"].to_pylist(), raw(texts["text"].combine_chunks())
+        lambda key, a, b: _lot_scores(a, b, key[0].as_py()), "block bigint, lot bigint, data binary")
+
+
+def _block_scores(rows: pa.Table, found: pa.Table, lots: int, smoothed: int) -> pa.Table:
+    """Sums over the tokens and bytes of every text of a block.
+
+    What was found comes without words and keys: the block knows them from its texts.
+    """
+    ids, texts = rows["id"].to_pylist(), raw(rows["text"].combine_chunks())
+    counts, logs = {}, {}
+    for is_words, lot, data in zip(*(found[x].to_pylist() for x in ("words", "lot", "data"))):
+        (counts if is_words else logs)[lot] = data
+    different = {b""}
+    for text in texts:
+        different.update(_words(text))
+    c = {}
+    for lot, some in _words_by_lot(different, lots).items():
+        c.update(zip(some, _unpacked(counts[lot], "<i8").tolist(), strict=True))
+    streams = [stream(t) for t in texts]
+    lot, key, _ = _block_contexts(ids, streams, lots)
+    log = np.concatenate([_unpacked(logs[x], "<f4") for x in lot[_starts(lot)].tolist()])
+    if len(log) != len(key):
+        raise ValueError("the contexts of a block have changed since they were counted")
+    order = np.argsort(key, kind="stable")
+    key, log = key[order], log[order].astype(float)
     tokens, known, base, score, size = [], [], [], [], []
     for text in texts:
         n = np.array([c[w] for w in _words(text)] + [c[b""]], np.int64)
         tokens.append(len(n))
         known.append(int((n > 0).sum()))
         base.append(float(np.log10((n + 1) / smoothed).sum()))
-    streams = [stream(t) for t in texts]
     for piece in _pieces(streams):
         some = streams[piece]
         asked = grams(some)
@@ -364,36 +452,30 @@ def _block_scores(texts: pa.Table, found: pa.Table, smoothed: int) -> pa.Table:
         "n_bytes": np.concatenate(size).astype(np.int64)})
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """As `stage`, packed harder: these are the large tables."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), and
     the code length in bits per byte."""
     spark = docs.sparkSession
-    blocks = _written(in_blocks(narrow(docs, id_col, text_col)), "blocks")
+    path = new_path(spark, "blocks")
+    split = in_blocks(narrow(docs, id_col, text_col))
+    split.write.option("compression", "zstd").parquet(path)
+    blocks = spark.read.schema(split.schema).parquet(path)
     size = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lots = min(MAX_LOTS, 16 + size // LOT_BYTES)
     # tasks by the work, which is far larger than the packed rows look
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (2 * BLOCK_BYTES))
-    by_word = _written(index_words(blocks), "words-of-blocks")
-    lexicon = stage(by_word.groupBy("word").agg(F.sum("n").alias("c")), "lexicon")
+    by_word = stage(index_words(blocks, lots).repartition(partitions, "lot").groupBy("lot").applyInArrow(
+        lambda key, t: _lot_words(t, key[0].as_py()),
+        "block bigint, lot bigint, data binary, tokens bigint, known bigint"), "words")
     # one row: all training tokens, different ones
-    total = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-                        F.count_if(F.col("c") > 0).alias("v")).first()
-    n, v = total["n"], total["v"]
+    n, v = by_word.agg(F.sum("tokens"), F.sum("known")).first()
+    n, v = n or 0, v or 0
     logs = tree_scores(index_contexts(blocks, lots), lots, partitions)
-    found = logs.select("block", "keys", "logs", F.lit(None).cast("binary").alias("word"),
-                        F.lit(None).cast("bigint").alias("c")).union(
-        by_word.join(lexicon, "word").select(
-            "block", F.lit(None).cast("binary"), F.lit(None).cast("binary"), "word", "c"))
+    found = logs.select("block", F.lit(False).alias("words"), "lot", "data").union(
+        by_word.select("block", F.lit(True), "lot", "data"))
     return blocks.repartition(partitions, "block").groupBy("block").cogroup(
         found.repartition(partitions, "block").groupBy("block")).applyInArrow(
-        lambda a, b: _block_scores(a, b, n + v + 1),
+        lambda a, b: _block_scores(a, b, lots, n + v + 1),
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, "
         "score double, n_bytes bigint").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"),
