@@ -24,6 +24,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,14 +91,20 @@ def _by_block(batches):
         yield block, ids, texts
 
 
+@functools.cache
+def _zstd():
+    """One of each per worker: making them costs more than a small row."""
+    return zstandard.ZstdCompressor(), zstandard.ZstdDecompressor()
+
+
 def _packed(x: np.ndarray) -> bytes:
     """First the lowest bytes of all numbers, then all second ones, ..., compressed."""
     planes = x.view(np.uint8).reshape(-1, x.itemsize).T
-    return zstandard.ZstdCompressor().compress(planes.tobytes())
+    return _zstd()[0].compress(planes.tobytes())
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    planes = np.frombuffer(_zstd()[1].decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
@@ -135,10 +142,9 @@ def index_words(blocks: DataFrame, lots: int) -> DataFrame:
                 words.append(b"")
                 n.update(dict.fromkeys(words, 0) if held_out(i) else words)
             of_lot = _words_by_lot(n, lots)
-            squeeze = zstandard.ZstdCompressor().compress
             names, counts = [], []
             for words in of_lot.values():
-                names.append(squeeze(b"\n".join(words)))
+                names.append(_zstd()[0].compress(b"\n".join(words)))
                 counts.append(_packed(np.array([n[w] for w in words], "<i8")))
             yield pa.RecordBatch.from_arrays([
                 pa.array(list(of_lot), pa.int64()), pa.array([block] * len(names), pa.int64()),
@@ -149,7 +155,7 @@ def index_words(blocks: DataFrame, lots: int) -> DataFrame:
 
 
 def _unpacked_words(data: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+    return _zstd()[1].decompress(data).split(b"\n")
 
 
 def _rows_of_blocks(rows: pa.Table) -> dict[int, list[int]]:
@@ -186,10 +192,13 @@ def stream(text: bytes) -> bytes:
 
 def grams(streams: list[bytes]) -> np.ndarray:
     """For every byte of every stream: its context and the byte, the nearest byte of the context highest."""
-    data = np.frombuffer(b"".join(PAD + s for s in streams), np.uint8)
-    key = data[DEPTH:].astype(np.uint64)
-    for back in range(1, DEPTH + 1):
-        key |= data[DEPTH - back:len(data) - back].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - back))
+    joined = b"".join([x for s in streams for x in (PAD, s)])
+    data = np.frombuffer(joined + bytes(8), np.uint8)
+    # eight bytes from every place, the first of them lowest
+    eight = np.ndarray(len(joined) - DEPTH, "<u8", data, 0, (1,))
+    key = eight & np.uint64((1 << 8 * DEPTH) - 1)
+    key <<= np.uint64(8)
+    key |= data[DEPTH:len(joined)]
     size = np.full(2 * len(streams), DEPTH)
     size[::2] = [len(s) for s in streams]
     return key[np.repeat(np.arange(len(size)) % 2 == 0, size)[:len(key)]]
@@ -240,11 +249,16 @@ def _block_contexts(ids, streams: list[bytes], lots: int):
             keys.append(key[first])
             counts.append(np.diff(np.append(first, len(key))) * (not out))
     key, n = _merged(keys, counts)
-    lot = lot_of(key >> np.uint64(REST), lots)
-    order = np.argsort(lot.astype(np.uint16), kind="stable")
+    lot, order = _by_lot(key, lots)
     return lot[order], key[order], n[order]
 
 
+def _by_lot(key: np.ndarray, lots: int):
+    """The lots of ordered keys, and the order by lot and key."""
+    lot = lot_of(key >> np.uint64(REST), lots)
+    return lot, np.argsort(lot.astype(np.uint16), kind="stable")
+
+
 def index_contexts(blocks: DataFrame, lots: int) -> DataFrame:
     """(lot, block, keys, counts): a block's different contexts with the byte that follows, packed."""
 
@@ -417,39 +431,45 @@ def _block_scores(rows: pa.Table, found: pa.Table, lots: int, smoothed: int) ->
     counts, logs = {}, {}
     for is_words, lot, data in zip(*(found[x].to_pylist() for x in ("words", "lot", "data"))):
         (counts if is_words else logs)[lot] = data
-    different = {b""}
-    for text in texts:
-        different.update(_words(text))
+    words = [_words(t) for t in texts]
     c = {}
-    for lot, some in _words_by_lot(different, lots).items():
+    for lot, some in _words_by_lot({b""}.union(*words), lots).items():
         c.update(zip(some, _unpacked(counts[lot], "<i8").tolist(), strict=True))
-    streams = [stream(t) for t in texts]
-    lot, key, _ = _block_contexts(ids, streams, lots)
-    log = np.concatenate([_unpacked(logs[x], "<f4") for x in lot[_starts(lot)].tolist()])
-    if len(log) != len(key):
-        raise ValueError("the contexts of a block have changed since they were counted")
-    order = np.argsort(key, kind="stable")
-    key, log = key[order], log[order].astype(float)
-    tokens, known, base, score, size = [], [], [], [], []
-    for text in texts:
-        n = np.array([c[w] for w in _words(text)] + [c[b""]], np.int64)
-        tokens.append(len(n))
-        known.append(int((n > 0).sum()))
-        base.append(float(np.log10((n + 1) / smoothed).sum()))
+    tokens = np.array([len(w) + 1 for w in words])
+    starts = np.cumsum(tokens) - tokens
+    n = np.fromiter((c[w] for some in words for w in (*some, b"")), np.int64, int(tokens.sum()))
+    known, base = np.add.reduceat(n > 0, starts, dtype=np.int64), np.add.reduceat(
+        np.log10((n + 1) / smoothed), starts)
+    streams = [b" ".join(some) + b"\n" for some in words]
+    lengths = np.array([len(s) for s in streams])
+    # every piece: its different keys, where each byte's key is among them
+    pieces = []
     for piece in _pieces(streams):
-        some = streams[piece]
-        asked = grams(some)
-        order = np.argsort(asked)
-        got = np.empty(len(asked))
-        got[order] = log[np.searchsorted(key, asked[order])]
-        lengths = np.array([len(s) for s in some])
-        score.append(np.add.reduceat(got, np.cumsum(lengths) - lengths))
-        size.append(lengths)
+        key = grams(streams[piece])
+        order = np.argsort(key)
+        key = key[order]
+        first = _starts(key)
+        run = np.empty(len(key), np.int32)
+        run[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(key))))
+        pieces.append((piece, key[first], run))
+    key = np.concatenate([own for _, own, _ in pieces])
+    key.sort(kind="stable")
+    key = key[_starts(key)]
+    lot, order = _by_lot(key, lots)
+    found_logs = np.concatenate([_unpacked(logs[x], "<f4") for x in np.unique(lot).tolist()])
+    if len(found_logs) != len(key):
+        raise ValueError("the contexts of a block have changed since they were counted")
+    log = np.empty(len(key))
+    log[order] = found_logs
+    score = []
+    for piece, own, run in pieces:
+        at = np.cumsum(lengths[piece]) - lengths[piece]
+        score.append(np.add.reduceat(log[np.searchsorted(key, own)][run], at))
     return pa.table({
         "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]),
-        "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-        "base_score": pa.array(base, pa.float64()), "score": np.concatenate(score),
-        "n_bytes": np.concatenate(size).astype(np.int64)})
+        "n_tokens": tokens, "n_known": known,
+        "base_score": base, "score": np.concatenate(score),
+        "n_bytes": lengths})
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
