@@ -388,6 +388,16 @@ def test_word_order_changes_a_score(spark):
     assert got[101] > got[100] + 1
 
 
+def test_a_block_that_the_scan_cuts_gives_the_same_values(spark):
+    rows = [(k % 2, d, t) for k, (d, t) in enumerate(corpus(12))]
+    schema = "block long, id long, text string"
+    cut = spark.createDataFrame(rows, schema).coalesce(1)  # blocks 0 and 1 in turn: a run per row
+    whole = spark.createDataFrame(sorted(rows, key=lambda r: r[0]), schema).coalesce(1)
+    assert ctw.index_contexts(cut, 5).count() > ctw.index_contexts(whole, 5).count()
+    got, want = (rows_of(ctw.tree_scores(ctw.index_contexts(b, 5), 5, 2)) for b in (cut, whole))
+    assert got == want
+
+
 def test_scores_without_training_and_beside_other_columns(spark):
     alone = [(i, "abc") for i in range(200) if ctw.held_out(i)][:3]
     got = ctw.scores(frame(spark, alone)).collect()
