@@ -6,12 +6,11 @@ java.util.regex gives what a Python regex would on any input.
 
 from __future__ import annotations
 
-import html
 import operator
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from html.entities import html5, name2codepoint
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +38,81 @@ def trim_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
-def _full_unescape(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
+# What may follow `&`: a number, or up to 32 characters of a name.
+REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that HTML also knows without the semicolon; the longest one that fits is taken.
+OPEN_NAMES = [name for name in html5 if not name.endswith(";")]
+OPEN_NAME = "^(?:" + "|".join(sorted(OPEN_NAMES, key=len, reverse=True)) + ")"
+# Numbers 128 to 159 mean Windows characters; five of them have none and stay as they are.
+WINDOWS = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
+
+
+def _entities(names: Iterable[str]) -> Column:
+    """HTML 5 names with their characters: a constant that Catalyst folds.  A map is searched from
+    its beginning, so the older, commoner names go first."""
+    order = sorted(names, key=lambda n: n.rstrip(";") not in name2codepoint)
+    return F.str_to_map(F.lit("\x01".join(f"{n}\x02{html5[n]}" for n in order)),
+                        F.lit("\x01"), F.lit("\x02"))
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point, as HTML reads it; null (too long a number) as unknown."""
+    unknown = F.lit("\ufffd")
+    utf32 = F.concat(F.lit(b"\x00\x00\xfe\xff"), F.unhex(F.lpad(F.hex(number), 8, "0")))
+    return (
+        F.when(number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF)
+               | (number > 0x10FFFF), unknown)
+        .when(number.between(128, 159),
+              F.get(F.array(*[F.lit(w) for w in WINDOWS]), (number - 128).cast("int")))
+        .when(number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+              | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE), "")
+        .otherwise(F.decode(utf32, "UTF-32"))
+    )
+
+
+def _code_point(reference: Column) -> Column:
+    """The number of `#65;` or `#x41;`; null if it has more digits than any code point."""
+    digits = F.regexp_extract(reference, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    known = F.concat(F.lit("0"), digits)
+    number = F.when(F.lower(F.substring(reference, 2, 1)) == "x", F.conv(known, 16, 10))
+    return F.when(F.length(digits) <= 7, number.otherwise(known)).cast("bigint")
+
 
-    return decode(c)
+def _decode_piece(piece: Column) -> Column:
+    """What followed an `&`, with the reference at its beginning decoded."""
+    def decode(x: Column) -> Column:
+        rest = F.substr(x["piece"], F.length(x["ref"]) + 1)
+        name = F.regexp_extract(x["piece"], OPEN_NAME, 0)
+        named = let(_entities(html5)[x["ref"]], lambda whole: F.when(
+            whole.isNotNull(), F.concat(whole, rest)).otherwise(let(name, lambda n: F.when(
+                n == "", F.concat(F.lit("&"), x["piece"])).otherwise(F.concat(
+                    _entities(OPEN_NAMES)[n], F.substr(x["piece"], F.length(n) + 1))))))
+        number = F.concat(let(_code_point(x["ref"]), _character), rest)
+        return (F.when(x["ref"] == "", F.concat(F.lit("&"), x["piece"]))
+                .when(F.startswith(x["ref"], F.lit("#")), number).otherwise(named))
+
+    return let(F.struct(piece.alias("piece"),
+                        F.regexp_extract(piece, REFERENCE, 0).alias("ref")), decode)
+
+
+def _full_unescape(c: Column) -> Column:
+    """All references of HTML 5.  None holds an `&`, so the text is cut there and each piece is
+    decoded by itself."""
+    return F.array_join(F.transform(F.split(c, "&"), lambda piece, i: F.when(
+        i == 0, piece).otherwise(_decode_piece(piece))), "")
 
 
 def unescape_html(c: Column, full: bool = True) -> Column:
     """Decode entities.
 
-    The common ones are replaced in the JVM.  With `full`, texts holding any other entity are
-    sent (and only they; the rest travels as null) through the complete HTML5 table.
+    The common ones are replaced one after the other.  With `full`, a text holding any other
+    reference is cut at its ampersands and goes through the complete HTML 5 table.
     """
     common = c
     for entity, char in COMMON_ENTITIES:
         common = F.replace(common, F.lit(entity), F.lit(char))
     if full:
-        rare = F.when(c.rlike(RARE_ENTITY), c)
-        common = F.coalesce(_full_unescape(rare), common)
+        common = F.when(c.rlike(RARE_ENTITY), _full_unescape(c)).otherwise(common)
     return F.when(F.contains(c, F.lit("&")), common).otherwise(c)
 
 

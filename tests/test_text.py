@@ -1,6 +1,7 @@
 """Cleaning, tickers, labels and responses on literal cases."""
 
 import html
+import html.entities
 import random
 import re
 
@@ -49,6 +50,34 @@ FIXED = [
 ]
 
 
+def reference(rnd):
+    """A character reference, whole or broken, or something near one."""
+    names = sorted(html.entities.html5)
+    number = rnd.choice([0, 1, 9, 11, 13, 31, 65, 127, 128, 129, 159, 160, 0xD800, 0xFDD0, 0xFEFF,
+                         0xFFFF, 0x1FFFE, 0x10FFFF, 0x110000, 10 ** 20, rnd.randint(0, 0x120000)])
+    end = rnd.choice(["", ";", " ", "g", "="])
+    return rnd.choice([
+        "&" + rnd.choice(names), "&" + rnd.choice(names)[:rnd.randint(1, 6)] + end,
+        f"&#{number}{end}", f"&#{rnd.choice('xX')}{rnd.choice(['', '0000'])}{number:x}{end}",
+        rnd.choice(["&", "&;", "&#;", "&#x;", "&&amp;", "&amp;amp;", "&" + "x" * 40, "é", "😀", "\n"]),
+    ])
+
+
+def test_unescape_equals_python(spark):
+    rnd = random.Random(11)
+    cases = ["", None, *["".join(reference(rnd) for _ in range(rnd.randint(1, 6)))
+                         for _ in range(3000)]]
+    got = apply(spark, X.unescape_html, cases)
+    for case, value in zip(cases, got):
+        assert value == (None if case is None else html.unescape(case)), repr(case)
+
+
+def test_cleaning_stays_in_the_jvm(spark):
+    df = spark.createDataFrame([("a &hellip; b",)], "t string")
+    plan = df.select(X.clean_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan  # the constants hold arrows of their own
+
+
 def test_clean_text_equals_python_rules(spark):
     rnd = random.Random(7)
     alphabet = list("ab *_`#>[]()\n\r\t&;.$") + [" ", "🚀", "é", "http://x", "&amp;", "www.", " "]
