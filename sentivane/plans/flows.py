@@ -28,8 +28,8 @@ def preprocess(raw: DataFrame, min_length: int = MIN_LENGTH, order: str = "post_
                stop_words: Sequence[str] = DEFAULT_STOP) -> DataFrame:
     """Raw posts to processed posts: clean, drop short ones, first of equal texts, tag tickers.
 
-    The duplicates are folded by digest and picked by `order` in a join, so the posts are scanned
-    twice.  `order` decides which copy is the first.
+    The posts are scanned and cleaned once; only possible duplicates are exchanged.  `order`
+    decides which copy is the first.
     """
     df = tag_provenance(raw)
     title = F.col("title") if "title" in df.columns else F.lit("")

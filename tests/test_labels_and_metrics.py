@@ -234,6 +234,41 @@ def test_first_per_text(spark):
     assert got == {(1, "a", "y"), (2, "b", None)}
 
 
+def test_first_per_text_for_any_size_of_the_filter(spark):
+    texts = [None, "", *[f"text {i % 70}" for i in range(150)], *["hot"] * 80, None, ""]
+    df = spark.createDataFrame([(len(texts) - i, t, i) for i, t in enumerate(texts)],
+                               "seen int, text string, digest int")
+    lowest = {}
+    for i, t in enumerate(texts):
+        lowest[t] = min(lowest.get(t, 1000), len(texts) - i)
+    for bitmaps in (1, 4096):
+        got = dedup.first_per_text(df, "text", "seen", bitmaps)
+        assert got.columns == df.columns
+        rows = got.collect()
+        assert len(rows) == len(lowest) and {r["text"]: r["seen"] for r in rows} == lowest
+    assert dedup.first_per_text(df.limit(0), "text", "seen").count() == 0
+
+
+def test_filter_holds_every_key(spark):
+    keys = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    bits = dedup.seen_filter(keys, "k", 2)
+    assert bits.count() <= 2
+    assert dedup.seen_in(keys, bits, "k", 2).filter("NOT seen").count() == 0
+    others = spark.range(1000, 3000).select(F.col("id").cast("string").alias("k"))
+    assert dedup.seen_in(others, bits, "k", 2).filter("seen").count() < 60
+
+
+def test_unique_texts_are_not_exchanged(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "post_id int, text string")
+        plan = dedup.first_per_text(df, "text", "post_id")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    alone = plan.toString().split("SortMergeJoin")[0]
+    assert "Exchange hashpartitioning(digest" not in alone
+
+
 def test_model_disagreement(spark):
     posts = spark.createDataFrame([("1", "iv crush " * 50), ("2", "meh")],
                                   "post_id string, text string")
