@@ -70,6 +70,54 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def carried_ranks(df: DataFrame, row: str, columns: Sequence[str]) -> DataFrame:
+    """(row, column_name, rank): tie-averaged ranks from 1 of every non-null value, with its row.
+
+    One sort lays out all columns one after the other; a row's own number ends the sort key, so a
+    frequent value spreads over many partitions.  Ranks are counted inside each partition.  Only
+    the first and the last value of a partition can go on in a neighbour: their runs are added up
+    over all partitions in a table of at most two rows per partition, which every row can meet.
+    """
+    values = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("column_no"), F.col(c).cast("double").alias("value"))
+        for i, c in enumerate(columns)])).alias("v")
+    laid = stage(
+        df.select(F.col(row).alias("row"), values).select("row", "v.*")
+        .filter(F.col("value").isNotNull()).orderBy("column_no", "value", "row")
+        .withColumn("_row", F.monotonically_increasing_id()), "laid",
+    ).withColumn("_part", F.shiftright("_row", _PARTITION_BIT))
+    inside = Window.partitionBy("_part").orderBy("column_no", "value")
+    placed = laid.select(
+        "row", "column_no", "value", "_part",
+        F.rank().over(inside).alias("low"), F.count(F.lit(1)).over(inside).alias("high"))
+    # per partition: its rows, and the runs of its first and last value
+    runs = laid.groupBy("_part", "column_no", "value").agg(F.count(F.lit(1)).alias("n"))
+    run = F.struct("column_no", "value", "n")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stage(runs.groupBy("_part").agg(
+        F.sum("n").alias("size"), F.min(run).alias("first"), F.max(run).alias("last"),
+    ).withColumn("offset", F.coalesce(F.sum("size").over(earlier), F.lit(0))), "parts")
+    edges = F.explode(F.array_distinct(F.array(
+        F.struct("first.*", F.col("offset").alias("before")),
+        F.struct("last.*", (F.col("offset") + F.col("size") - F.col("last.n")).alias("before")),
+    ))).alias("edge")
+    carried = parts.select(edges).select("edge.*").groupBy("column_no", "value").agg(
+        F.min("before").alias("run_before"), F.sum("n").alias("run_n"))
+    lower = Window.orderBy("column_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = laid.groupBy("column_no").agg(F.count(F.lit(1)).alias("n")).select(
+        "column_no", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("start"))
+    before = F.coalesce("run_before", F.col("offset") + F.col("low") - 1) - F.col("start")
+    n = F.coalesce("run_n", F.col("high") - F.col("low") + 1)
+    # one row per sort partition, two per sort partition, one per column
+    return (
+        placed.join(F.broadcast(parts.select("_part", "offset")), "_part")
+        .join(F.broadcast(carried), ["column_no", "value"], "left")
+        .join(F.broadcast(starts), "column_no")
+        .select("row", F.get(F.array(*[F.lit(c) for c in columns]), F.col("column_no"))
+                .alias("column_name"), (before + (n + 1) / F.lit(2.0)).alias("rank"))
+    )
+
+
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
     """One row with q0, q1, ...: exact quantiles, linear between neighbours."""
     totals = value_totals(df, column)

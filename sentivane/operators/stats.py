@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentivane.functions.let import let
-from sentivane.operators.ordering import average_ranks, exact_quantiles
+from sentivane.operators.ordering import carried_ranks, exact_quantiles
 from sentivane.session import one_row, stage
 from sentivane.vocab import HORIZONS
 
@@ -103,16 +103,14 @@ def pearson(df: DataFrame, sentiment: str = "mean_sentiment",
 def spearman(df: DataFrame, sentiment: str = "mean_sentiment",
              horizons: Sequence[int] = HORIZONS, p_values: bool = False) -> DataFrame:
     """(horizon, spearman_rho, n_samples[, p_value]): correlation of tie-averaged ranks."""
-    rows = stage(complete_cases(df, sentiment, horizons).select(
-        sentiment, *[f"fwd_return_{h}d" for h in horizons]
-    ), "spearman")  # read five times below
     columns = {sentiment: "_x", **{f"fwd_return_{h}d": f"_{h}" for h in horizons}}
-    ranks = stage(average_ranks(rows, list(columns)), "ranks")
-    ranked = rows
-    for c, name in columns.items():
-        ranked = ranked.join(
-            ranks.filter(F.col("column_name") == c).select(
-                F.col("value").alias(c), F.col("rank").alias(name)), c)
+    # written, so that a row keeps its number if its task runs again
+    rows = stage(complete_cases(df, sentiment, horizons).select(*columns), "spearman")
+    ranks = carried_ranks(
+        rows.withColumn("_row", F.monotonically_increasing_id()), "_row", list(columns))
+    ranked = ranks.groupBy("row").agg(*[
+        F.max(F.when(F.col("column_name") == c, F.col("rank"))).alias(name)
+        for c, name in columns.items()])
     aggs = [F.corr("_x", f"_{h}").alias(f"r{h}") for h in horizons]
     wide = ranked.agg(*aggs, F.count(F.lit(1)).alias("n"))
     out = wide.select(F.explode(F.array(*[

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sentivane.operators import market, stats
+from sentivane.operators import market, ordering, stats
 from sentivane.operators.ordering import average_ranks, exact_quantiles, running_totals
 
 
@@ -208,3 +208,22 @@ def test_scatter_trend(spark):
     df, rows = joint(spark)
     r = stats.scatter_trend(df).collect()
     assert len(r) == 60 and len({(x["slope"], x["intercept"]) for x in r}) == 1
+
+
+def test_carried_ranks_with_hot_values_and_nulls(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice([0.0, 0.0, 0.0, 1.0, -1.0, rnd.random()]),
+             None if i % 9 == 0 else float(rnd.randint(0, 40)), 7.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, value double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")  # runs that span several partitions
+    try:
+        got = ordering.carried_ranks(df, "id", ["a", "b", "value"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for k, name in ((1, "a"), (2, "b"), (3, "value")):
+        kept = [r for r in rows if r[k] is not None]
+        want = dict(zip([r[0] for r in kept], ranks([r[k] for r in kept])))
+        assert {r["row"]: r["rank"] for r in got if r["column_name"] == name} == want
+    assert ordering.carried_ranks(df.limit(0), "id", ["a", "b"]).count() == 0
