@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentivane.functions import prompts as P
 from sentivane.functions.labels import canonical
 from sentivane.operators.metrics import metrics_from_counts, prediction_counts
-from sentivane.session import small_table
+from sentivane.session import new_path, small_table
 from sentivane.vocab import PATH_GRID, PATH_LABELS, RETENTION_GRID, TOKEN_RATES
 
 TIE_RULES = ("neutral_default", "highest_confidence", "first")
@@ -46,9 +46,30 @@ def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     return df.select(*others, F.inline(F.array(P.parse_response(F.col(response)))))
 
 
+def store_responses(responses: DataFrame, key: str = "prompt_key",
+                    buckets: int | None = None) -> DataFrame:
+    """Responses written as a table in buckets of their key (as many as shuffles have tasks), one
+    sorted file each, so that no later join with it moves or sorts them again.
+
+    The files lie in the shared folder; the table's name is known to this session's catalog.
+    """
+    spark = responses.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, "responses")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    (responses.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 def answered(requests: DataFrame, cache: DataFrame, key: str = "prompt_key") -> DataFrame:
-    """Requests with the cached response, null where none is stored yet."""
-    return requests.join(cache.select(key, "response"), key, "left")
+    """Requests with the cached response and `pending`: no response is stored for their key.
+
+    A stored response may be null: its request isn't pending.
+    """
+    stored = cache.select(key, "response", F.lit(True).alias("_stored"))
+    return requests.join(stored, key, "left").withColumn(
+        "pending", F.col("_stored").isNull()).drop("_stored")
 
 
 def pending(requests: DataFrame, cache: DataFrame, key: str = "prompt_key") -> DataFrame:

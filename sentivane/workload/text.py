@@ -468,13 +468,9 @@ def response_cache(spark, sf):
     req = c.select("conv_id", "turn", "role", "text", P.prompt_key(
         F.lit("model-a"), F.lit("0.5"), F.lit(None).cast("string"), F.col("text")
     ).alias("prompt_key"))
-    cache = req.filter(F.col("role") == "assistant").groupBy("prompt_key").agg(
-        F.max("text").alias("response"))
-    req = req.select("conv_id", "turn", "prompt_key")
-    done = K.answered(req, cache).filter(F.col("response").isNotNull())
-    todo = K.pending(req, cache).withColumn("response", F.lit(None).cast("string"))
-    return done.withColumn("pending", F.lit(False)).unionByName(
-        todo.withColumn("pending", F.lit(True)))
+    cache = K.store_responses(req.filter(F.col("role") == "assistant").groupBy("prompt_key").agg(
+        F.max("text").alias("response")))
+    return K.answered(req.select("conv_id", "turn", "prompt_key"), cache)
 
 
 PARSED = f"""parsed AS (SELECT conv_id, turn,

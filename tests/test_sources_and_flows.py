@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sentivane.operators import models
+from sentivane.operators import models, weak
 from sentivane.plans import flows
 from sentivane.sources import posts as S
 from sentivane.sources import prices, sinks
@@ -327,3 +327,21 @@ def test_naive_bayes_weights_against_brute_force(spark):
         total = x[y == k].sum(0) + 0.5
         assert np.allclose(got[:-1, k], np.log(total / total.sum()))
         assert got[-1, k] == pytest.approx(np.log((y == k).mean()))
+
+
+def test_stored_responses_are_met_in_one_join_and_stay_where_they_are(spark):
+    stored = spark.createDataFrame([("k1", "yes"), ("k2", None), ("k4", "no")],
+                                   "prompt_key string, response string")
+    asked = spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "k3"), (4, "k1"), (5, None)],
+                                  "id int, prompt_key string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = weak.store_responses(stored, buckets=4)
+        out = weak.answered(asked, table)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: (r["response"], r["pending"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {1: ("yes", False), 2: (None, False), 3: (None, True), 4: ("yes", False),
+                   5: (None, True)}
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Join") == 1
