@@ -3,9 +3,11 @@
 A line that begins with `>` marks (blanks between them allowed) is quoted at as many levels as it has
 marks.  Runs of quoted lines of one level are passages; a blank line ends a passage.  Passages and
 the paragraphs and lines of what messages say themselves are normalised (lower case, blanks
-squeezed) and hashed.  A first-level passage links its message to the first message of the
-conversation that said it, if that one came earlier: a whole paragraph, else one of its lines; of
-several linked messages the latest is the parent.
+squeezed) and hashed.  A passage of any level links its message to the first message of the
+conversation that said it itself, if that one came earlier: a whole paragraph, else one of its lines.
+The least nested passages go first: a deeper quote is what the quoted message quoted, so its author
+is the parent only where no passage of a lower level is found.  Of several linked messages at that
+level the latest is the parent.
 
 Messages are returned without their quotes, in reply order: `reply_path` holds the turns from the
 first message of the thread down to the message itself, and ordering by (conv_id, reply_path) is the
@@ -83,16 +85,16 @@ def parse(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent): the latest of the messages that a message quotes at level one.
+    """(conv_id, turn, parent): the latest of the messages quoted at the lowest level that links.
 
     Only conversations with quotes take part.  The first message that said something is a grouped
     minimum, so a phrase that everybody repeats is one row on that side of the join.
     """
     there = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     quoted = there.filter("quotes").select(
-        "conv_id", "turn", F.posexplode(F.filter("runs", lambda r: r["level"] == 1))
+        "conv_id", "turn", F.posexplode(F.filter("runs", lambda r: r["level"] > 0))
         .alias("passage", "run")).select(
-        "conv_id", "turn", "passage", F.posexplode(_hashes(F.col("run.said")))
+        "conv_id", "turn", "passage", "run.level", F.posexplode(_hashes(F.col("run.said")))
         .alias("part", "hash"))
     asked = quoted.select("conv_id", "hash").distinct()
     said = there.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select(
@@ -102,9 +104,10 @@ def links(messages: DataFrame) -> DataFrame:
     first = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     found = quoted.join(first, ["conv_id", "hash"]).filter("origin < turn")
     # a passage as a whole (part 0) goes before its lines
-    best = found.groupBy("conv_id", "turn", "passage").agg(
+    best = found.groupBy("conv_id", "turn", "passage", "level").agg(
         F.max(F.struct((F.col("part") == 0).alias("whole"), "origin")).alias("best"))
-    return best.groupBy("conv_id", "turn").agg(F.max("best.origin").alias("parent"))
+    near = F.max(F.struct((-F.col("level")).alias("near"), "best.origin"))
+    return best.groupBy("conv_id", "turn").agg(near["origin"].alias("parent"))
 
 
 def paths(parents: DataFrame) -> DataFrame:
@@ -167,10 +170,12 @@ n AS (SELECT conv_id, turn, run, level, whole,
         trim(regexp_replace(lower(s), '[ \t\r\n]+', ' ', 'g')) AS s FROM h),
 first AS (SELECT conv_id, s, min(turn) AS origin FROM n WHERE level = 0 AND s <> ''
           GROUP BY conv_id, s),
-best AS (SELECT conv_id, turn, run, max((whole, origin)) AS b
-         FROM n JOIN first USING (conv_id, s) WHERE level = 1 AND origin < turn
+best AS (SELECT conv_id, turn, run, any_value(level) AS level, max((whole, origin)) AS b
+         FROM n JOIN first USING (conv_id, s) WHERE level > 0 AND origin < turn
          GROUP BY conv_id, turn, run),
-link AS (SELECT conv_id, turn, max(b[2]) AS parent FROM best GROUP BY conv_id, turn),
+near AS (SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS lowest FROM best),
+link AS (SELECT conv_id, turn, max(b[2]) AS parent FROM near WHERE level = lowest
+         GROUP BY conv_id, turn),
 up AS (SELECT conv_id, turn, parent, [turn] AS path FROM m LEFT JOIN link USING (conv_id, turn)
        UNION ALL
        SELECT up.conv_id, up.turn, link.parent, [up.parent] || up.path

@@ -285,6 +285,41 @@ def test_components_equal_brute_force(spark):
 
 # 5. Chat ------------------------------------------------------------------------------------------
 
+NESTED = [
+    (1, 1, "user", "first words"), (1, 2, "user", "> first words\nsecond words"),
+    (1, 3, "user", "> second words\n>> first words\nthird"),  # the nearer level decides
+    (1, 4, "user", ">> first words\nonly the inner quote is left"),
+    (1, 5, "user", "> never said\n> > second words\n>>> first words\nfifth"),
+    (1, 6, "user", ">> third\n\n>> second words\nlatest of one level"),
+    (1, 7, "user", ">> never said\nno parent"), (2, 1, "user", ">> first words\nelsewhere"),
+    (3, 1, None, None), (3, 2, "user", ">> \n>"),
+]
+PARENTS = {(1, 2): 1, (1, 3): 2, (1, 4): 1, (1, 5): 2, (1, 6): 3}
+
+
+def test_nested_quotes_link_where_no_nearer_one_does(spark):
+    df = spark.createDataFrame(NESTED, "conv_id long, turn long, role string, text string")
+    got = quotes.conversations(df).collect()
+    assert len(got) == len(NESTED)
+    assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in got
+            if r["parent_turn"] is not None} == PARENTS
+    path = {(r["conv_id"], r["turn"]): list(r["reply_path"]) for r in got}
+    assert path[1, 6] == [1, 2, 3, 6] and path[1, 7] == [7]
+
+
+def test_sql_of_chat_links_nested_quotes_too(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame(NESTED, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    names = ["conv_id", "turn", "role", "body", "max_level", "parent_turn", "reply_path"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({quotes.SQL}) ORDER BY 1, 2").fetchall()
+    got = quotes.conversations(df).orderBy("conv_id", "turn").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_quotes_link_to_their_origin(spark):
     rows = [
         (1, 0, "u", "Hello there\nHow  are you?\n\nSecond para"),
