@@ -12,6 +12,7 @@ from sentivane.operators import dedup, lexicon, splits
 from sentivane.operators import errors as EO
 from sentivane.operators import weak as K
 from sentivane.operators.models import tfidf_long
+from sentivane.session import stage
 from sentivane.operators.ordering import running_totals
 from sentivane.vocab import (
     BEARISH_CUES,
@@ -271,7 +272,8 @@ def error_rows(spark, sf):
 
 @query("union_errors", _PRED + "SELECT post_id, model, truth, pred, error_category FROM errs")
 def union_errors(spark, sf):
-    p = _text_predictions(spark, sf, with_text=True)
+    # both models' errors come from one cleaning of the posts
+    p = stage(EO.error_rows(_text_predictions(spark, sf, with_text=True)), "errors")
     return EO.diagnose(p.filter(F.col("model") == "cues")).unionByName(
         EO.diagnose(p.filter(F.col("model") == "size")))
 

@@ -4,6 +4,7 @@ import html
 import html.entities
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,22 @@ def test_error_categories(spark):
     assert apply(spark, lambda c: E.error_category_5(c, True), clown) == ["SARCASM_MEMES"]
 
 
+
+def test_error_patterns_in_one_line(spark):
+    """Both parts must stand in one line, in order; a long line takes no time by its square."""
+    cases = [("buy and hold calls", "AMBIGUOUS_TICKER"), ("calls and hold", None),
+             ("buy and\nhold calls", None), ("calls and\nand puts", "AMBIGUOUS_TICKER"),
+             ("and and recalls", None), ("short term up, long term down", "MIXED_SENTIMENT"),
+             ("band and putsch and\r puts", "AMBIGUOUS_TICKER"), ("long term, short\nterm", None)]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "text string")
+    got = [r[0] for r in df.select(E.error_category_4(F.col("text"))).collect()]
+    assert got == [want or "IMPLICIT_OR_SUBTLE_SENTIMENT" for _, want in cases]
+    began = time.time()
+    long = spark.range(1).select(F.concat(F.repeat(F.lit("and yes "), 30_000), F.lit("recalls")))
+    found = long.toDF("text").select(E._in_one_line(F.col("text"), r"\band\b.*\b(calls|puts)\b"))
+    assert found.first()[0] is False and time.time() - began < 10
+
+
 def test_parse_responses(spark):
     cases = [
         ('{"reasoning_summary": "Strong", "sentiment": "bullish"}', "ok", "positive", "Strong"),
