@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sentivane.functions.errors import error_category_4, error_category_5
 from sentivane.functions.text import preview, trim_ws
+from sentivane.session import stage
 from sentivane.vocab import ERROR_DEFAULT_4, ERROR_GROUPS_4
 
 CATEGORIES_4 = [*[name for name, _ in ERROR_GROUPS_4], ERROR_DEFAULT_4]
@@ -22,11 +23,14 @@ def diagnose(predictions: DataFrame, posts: DataFrame | None = None) -> DataFram
     """Errors of all models with their text category (four-group taxonomy).
 
     Predictions that carry the `text` need no posts: no join, one pass.  Otherwise only the posts
-    with an error are looked at, each once, not once per model.
+    with an error are looked at, each once, not once per model; the (narrow) errors are written once
+    for both joins.
     """
     wrong = error_rows(predictions)
     category = error_category_4(F.col("text")).alias("error_category")
-    if posts is None:
+    if posts is not None:
+        wrong = stage(wrong, "errors")
+    else:
         return wrong.select(*[c for c in wrong.columns if c != "text"], category)
     failed = posts.join(wrong.select("post_id"), "post_id", "left_semi")
     return wrong.join(failed.select("post_id", category), "post_id")
