@@ -73,9 +73,11 @@ class WordTokens:
     the word end in its name.
     """
 
-    def __init__(self, path: str, special_as_text: bool):
+    def __init__(self, path: str, special_as_text: bool, words: int | None = None,
+                 parts: int | None = None):
         from tokenizers import Tokenizer
 
+        self.most_words, self.most_parts = words or CACHE_WORDS, parts or CACHE_PARTS
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.code = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -102,7 +104,7 @@ class WordTokens:
             self.part.add(new, *self._asked(new))
 
     def learn(self, missing: list[bytes]) -> None:
-        if len(self.part.number) > CACHE_PARTS:
+        if len(self.part.number) > self.most_parts:
             self.part = Numbered(self.code)
         texts = [w.decode("utf-8", "replace") for w in missing]
         whole = [bool(_WHOLE.search(t)) for t in texts]
@@ -132,7 +134,7 @@ class WordTokens:
         distinct = words.dictionary.cast(pa.binary()).to_pylist()
         number = self.known.numbers(distinct)
         if (number < 0).any():
-            if len(self.known.number) + int((number < 0).sum()) > CACHE_WORDS:
+            if len(self.known.number) + int((number < 0).sum()) > self.most_words:
                 self._forget()
                 number[:] = -1
             missing = list(compress(distinct, (number < 0).tolist()))
@@ -151,8 +153,9 @@ class WordTokens:
 
 
 @lru_cache(maxsize=2)
-def word_tokens(path: str, special_as_text: bool) -> WordTokens:
-    return WordTokens(path, special_as_text)
+def word_tokens(path: str, special_as_text: bool, words: int | None = None,
+                parts: int | None = None) -> WordTokens:
+    return WordTokens(path, special_as_text, words, parts)
 
 
 def placed(df: DataFrame, path: str, end: int, id_col: str, text_col: str) -> DataFrame:

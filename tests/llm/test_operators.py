@@ -666,6 +666,16 @@ def test_memory_of_words_starts_anew(monkeypatch):
         assert ids == t.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
 
+def test_memory_of_words_by_caller():
+    t = packing.word_tokens(WORDS, True, 30, 9)
+    for k in range(30):
+        text = " ".join(f"a{i}b, it's c{i}" for i in range(k, k + 9)).encode()
+        ids = np.frombuffer(t.packed(pa.array([text], pa.binary()))[0], t.code).tolist()
+        assert ids == t.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        assert len(t.known.number) <= 30
+    assert token_files.CACHE_WORDS < packing.CACHE_WORDS
+
+
 # 10. Token files ----------------------------------------------------------------------------------
 
 def test_token_files_round_trip(spark):
