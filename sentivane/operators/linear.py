@@ -24,7 +24,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 512
+# A block ends at so many rows, or entries (a longer row is a block of its own).
+BLOCK_ROWS, BLOCK_ENTRIES = 512, 1 << 18
 HISTORY = 20
 # Eigenpairs of the rows' products that steps are scaled by, and the passes that find them.
 RANK, ROUNDS = 12, 2
@@ -43,7 +44,7 @@ class Problem:
 
 def packed(rows: DataFrame, features: str = "features", target: str = "label",
            fold: str | None = None) -> DataFrame:
-    """Blocks of at most `BLOCK_ROWS` sparse rows, each one table row of flat arrays."""
+    """Blocks of sparse rows, each one table row of flat arrays."""
     v = F.unwrap_udt(features)
     dense = F.sequence(F.lit(0), F.size(v["values"]) - 1)
     flat = rows.select(
@@ -53,8 +54,9 @@ def packed(rows: DataFrame, features: str = "features", target: str = "label",
 
     def pack(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_ROWS):
-                b = whole.slice(at, BLOCK_ROWS)
+            entries = np.diff(whole.column(0).offsets.to_numpy())
+            for at, end in _block_bounds(entries):
+                b = whole.slice(at, end - at)
                 size = np.diff(b.column(0).offsets.to_numpy())
                 row = np.repeat(np.arange(b.num_rows, dtype=np.int32), size)
                 term = b.column(0).flatten().to_numpy().astype(np.int32)
@@ -68,6 +70,17 @@ def packed(rows: DataFrame, features: str = "features", target: str = "label",
     return flat.mapInArrow(pack, ", ".join(f"{p} binary" for p in _PARTS))
 
 
+def _block_bounds(entries: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the rows of every block, given the entries of each row."""
+    bounds, first, total = [], 0, 0
+    for k, n in enumerate(entries.tolist()):
+        if k > first and (k - first == BLOCK_ROWS or total + n > BLOCK_ENTRIES):
+            bounds.append((first, k))
+            first, total = k, 0
+        total += n
+    return [*bounds, (first, len(entries))] if len(entries) else []
+
+
 _PARTS = ["row", "term", "value", "by_term", "target", "fold"]
 _TYPES = [np.int32, np.int32, np.float64, np.int32, np.float64, np.int32]
 
@@ -118,6 +131,13 @@ class Block:
         return float(loss[used].sum()), slopes * used[:, None]
 
 
+def blocks_of(batches):
+    """The blocks of Arrow batches one at a time: a worker holds one beside the batch."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield Block({name: b.column(name)[k].as_py() for name in _PARTS})
+
+
 def evaluator(blocks: DataFrame, terms: int) -> Callable:
     """f([(problem, weights)]) -> [(sum of losses, gradient of it)], in one pass."""
 
@@ -128,23 +148,21 @@ def evaluator(blocks: DataFrame, terms: int) -> Callable:
 
         def run(batches):
             total, loss = np.zeros((terms + 1, weights.shape[1])), np.zeros(len(problems))
-            for b in batches:
-                for record in b.to_pylist():
-                    block = Block(record)
-                    margin = block.margins(weights)
-                    slopes = np.empty_like(margin)
-                    for k, (p, end) in enumerate(zip(problems, ends)):
-                        part = slice(end - p.classes, end)
-                        value, slopes[:, part] = block.losses(p, margin[:, part])
-                        loss[k] += value
-                    block.add_gradient(total, slopes)
+            for block in blocks_of(batches):
+                margin = block.margins(weights)
+                slopes = np.empty_like(margin)
+                for k, (p, end) in enumerate(zip(problems, ends)):
+                    part = slice(end - p.classes, end)
+                    value, slopes[:, part] = block.losses(p, margin[:, part])
+                    loss[k] += value
+                block.add_gradient(total, slopes)
             flat = [np.append(total[:, e - p.classes:e].ravel(), v)
                     for p, e, v in zip(problems, ends, loss)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(flat)), pa.int32()), pa.array(flat, pa.list_(pa.float64()))],
                 ["k", "sums"])
 
-        got = _summed(blocks.mapInArrow(run, "k int, sums array<double>"), len(problems))
+        got = summed(blocks.mapInArrow(run, "k int, sums array<double>"), len(problems))
         return [(float(v[-1]), v[:-1].reshape(terms + 1, p.classes))
                 for p, v in zip(problems, got)]
 
@@ -230,16 +248,14 @@ def curvature(blocks: DataFrame, terms: int, rank: int = RANK, rounds: int = ROU
     def distributed(space: np.ndarray) -> np.ndarray:
         def run(batches):
             total, n = np.zeros(space.shape), 0
-            for b in batches:
-                for record in b.to_pylist():
-                    block = Block(record)
-                    block.add_gradient(total, block.margins(space))
-                    n += len(block.target)
+            for block in blocks_of(batches):
+                block.add_gradient(total, block.margins(space))
+                n += len(block.target)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(space.shape[1]), pa.int32()),
                  pa.array(list(total.T), pa.list_(pa.float64()))], ["k", "sums"])
 
-        return _summed(blocks.mapInArrow(run, "k int, sums array<double>"), space.shape[1]).T
+        return summed(blocks.mapInArrow(run, "k int, sums array<double>"), space.shape[1]).T
 
     product = product or distributed
     rank = min(rank, terms + 1)
@@ -257,7 +273,7 @@ def curvature(blocks: DataFrame, terms: int, rank: int = RANK, rounds: int = ROU
     return Curvature(rows, np.maximum(values[::-1], 0.0), space @ turn[:, ::-1])
 
 
-def _summed(parts: DataFrame, size: int) -> np.ndarray:
+def summed(parts: DataFrame, size: int) -> np.ndarray:
     """Rows (k, sums) added up by k; `size` vectors come back."""
     got = parts.groupBy("k").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).select(
         "k", vector_to_array("sums").alias("sums")).toArrow()
