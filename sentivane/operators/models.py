@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,9 @@ from sentivane.vocab import WORD
 
 TERM = f"[{WORD}]{{2,}}"
 MAX_FEATURES = 10_000
+# Buckets of the first count of terms, the parts their sums are dealt out in, how many buckets per
+# wanted term are looked at first, and the words a worker looks at together.
+BUCKET_BITS, BUCKET_PARTS, FULLEST, WORDS_AT_ONCE = 20, 64, 2, 500_000
 # The regularisation grid.
 C_GRID = [0.01, 0.1, 1.0, 10.0]
 # Iteration limits; fits end earlier when they change less than the tolerance.
@@ -34,46 +38,128 @@ FOLDS = 3
 
 def terms(text: Column) -> Column:
     """Lower-case words of two or more characters, then their neighbouring pairs."""
-    def with_pairs(words: Column) -> Column:
+    def with_pairs(one: Column) -> Column:
         pairs = F.zip_with(
-            F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-            F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
+            F.slice(one, F.lit(1), F.greatest(F.size(one) - 1, F.lit(0))),
+            F.slice(one, F.lit(2), F.greatest(F.size(one) - 1, F.lit(0))),
             lambda a, b: F.concat(a, F.lit(" "), b),
         )
-        return F.concat(words, pairs)
-
-    return let(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), with_pairs)
-
-
-def term_counts(docs: DataFrame, terms_col: str = "terms") -> DataFrame:
-    """(term, tf, df): occurrences and documents of every term, folded on the map side."""
-    both = F.explode(F.array(
-        F.struct(F.col(terms_col).alias("terms"), F.lit(1).alias("tf"), F.lit(0).alias("df")),
-        F.struct(F.array_distinct(terms_col).alias("terms"), F.lit(0).alias("tf"),
-                 F.lit(1).alias("df")),
-    )).alias("v")
-    return docs.select(both).select(
-        F.explode("v.terms").alias("term"), "v.tf", "v.df"
-    ).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        return F.concat(one, pairs)
+
+    return let(words(text), with_pairs)
+
+
+def words(text: Column) -> Column:
+    """The lower-case words that `terms` begins with."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
+def _slices(batches, words: int):
+    """Parts of Arrow batches with about so many words, so that a worker's memory is bounded."""
+    for b in batches:
+        size = pc.fill_null(pc.list_value_length(b.column("hash")), 0).to_numpy()
+        part = np.cumsum(size) // words
+        starts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), b.num_rows]
+        for i, j in zip(starts, starts[1:]):
+            yield b.slice(i, j - i)
+
+
+def _word_buckets(b: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and bucket of every word; place of every pair's first word, and the pair's bucket."""
+    size = pc.fill_null(pc.list_value_length(b.column("hash")), 0).to_numpy()
+    row = np.repeat(np.arange(b.num_rows), size)
+    h = b.column("hash").flatten().to_numpy().view(np.uint64)
+    at = np.flatnonzero(row[1:] == row[:-1])
+    shift = np.uint64(64 - bits)
+    pair = h[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return row, (h >> shift).astype(np.int32), at, (pair >> shift).astype(np.int32)
+
+
+def _bucket_sizes(docs: DataFrame) -> np.ndarray:
+    """Occurrences of words and pairs per bucket of a hash; a fixed number of sums."""
+    bits, parts, at_once = BUCKET_BITS, BUCKET_PARTS, WORDS_AT_ONCE
+
+    def run(batches):
+        total = np.zeros(1 << bits, np.int64)
+        for b in _slices(batches, at_once):
+            _, word, _, pair = _word_buckets(b, bits)
+            total += np.bincount(word, minlength=len(total))
+            total += np.bincount(pair, minlength=len(total))
+        sums = np.split(total.astype(np.float64), parts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(parts), pa.int32()), pa.array(sums, pa.list_(pa.float64()))],
+            ["k", "sums"])
+
+    return linear.summed(docs.select("hash").mapInArrow(run, "k int, sums array<double>"),
+                         parts).ravel()
+
+
+def term_counts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(term, tf, df): occurrences and documents of the terms in the wanted buckets (one flag each)."""
+    packed, bits, at_once = np.packbits(wanted), BUCKET_BITS, WORDS_AT_ONCE
+
+    def run(batches):
+        wanted = np.unpackbits(packed).astype(bool)
+        for b in _slices(batches, at_once):
+            row, word, at, pair = _word_buckets(b, bits)
+            one, at = np.flatnonzero(wanted[word]), at[wanted[pair]]
+            names = b.column("words").flatten()
+            found = pa.concat_arrays([names.take(pa.array(one)), pc.binary_join_element_wise(
+                names.take(pa.array(at)), names.take(pa.array(at + 1)), " ")]).dictionary_encode()
+            code, n = found.indices.to_numpy(), len(found.dictionary)
+            each = np.unique(np.concatenate([row[one], row[at]]) * n + code)
+            yield pa.RecordBatch.from_arrays(
+                [found.dictionary, pa.array(np.bincount(code, minlength=n)),
+                 pa.array(np.bincount(each % max(n, 1), minlength=n))], ["term", "tf", "df"])
+
+    return docs.select("words", "hash").mapInArrow(
+        run, "term string, tf bigint, df bigint").groupBy("term").agg(
+        F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def top_counts(docs: DataFrame, size: int) -> DataFrame:
+    """(term, tf, df) of the `size` most frequent words and pairs, equals by name; exact.
+
+    Most terms are rare pairs, which are not shuffled.  A first scan counts the occurrences per
+    bucket of a hash: no term has more than its bucket.  Then terms are counted in the fullest
+    buckets.  A bucket with fewer occurrences than the last of the `size` terms found there holds
+    none of the first; if others reach that number, a last scan counts in all that do.
+    """
+    hashed = docs.select("words", F.transform("words", lambda w: F.xxhash64(w)).alias("hash"))
+    sizes = _bucket_sizes(hashed)
+    bound = max(1, int(np.sort(sizes)[-min(FULLEST * size, len(sizes))]))
+    while True:
+        found = term_counts(hashed, sizes >= bound)
+        top = stage(found.orderBy(F.desc("tf"), F.asc("term")).limit(size), "terms")
+        last = top.agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
+        # fewer terms than wanted: all buckets are looked at
+        reach = last["tf"] if last["n"] == size else 1
+        if reach >= bound:
+            return top
+        bound = reach
 
 
 def vocabulary(docs: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
-    """The `size` most frequent terms with idf = ln((1 + n) / (1 + df)) + 1; equals by name."""
+    """The `size` most frequent terms of `words`, with idf = ln((1 + n) / (1 + df)) + 1; equals by
+    name."""
     n = docs.agg(F.count(F.lit(1))).scalar()
-    top = term_counts(docs).orderBy(F.desc("tf"), F.asc("term")).limit(size)
+    top = top_counts(docs, size).orderBy(F.desc("tf"), F.asc("term"))
     return top.select(
         "term", "tf", "df",
         (F.log((1 + n).cast("double") / (1 + F.col("df")).cast("double")) + 1).alias("idf"))
 
 
 class TfIdf:
-    """Vector features.  The vocabulary (at most `size` terms) is the only thing collected."""
+    """Vector features.  The vocabulary (at most `size` terms) is the only thing collected.
+
+    A fit scans its documents three times: write costly ones first.
+    """
 
     def __init__(self, size: int = MAX_FEATURES):
         self.size = size
 
     def fit(self, docs: DataFrame, text: str = "text") -> "TfIdf":
-        rows = docs.select(terms(F.col(text)).alias("terms"))
+        rows = docs.select(words(F.col(text)).alias("words"))
         vocab = vocabulary(rows, self.size).collect()
         self.terms = [r["term"] for r in vocab]
         idf = Vectors.dense([r["idf"] for r in vocab])
@@ -113,6 +199,7 @@ def tfidf_long(docs: DataFrame, id_col: str, size: int = MAX_FEATURES) -> DataFr
 
 def sparse_margins(weights: np.ndarray, features: Column) -> Column:
     """Array with the products of a sparse vector and every column of weights (intercept last)."""
+    entries = linear.BLOCK_ENTRIES
 
     @F.arrow_udf("array<double>")
     def products(term: pa.Array, value: pa.Array) -> pa.Array:
@@ -120,9 +207,14 @@ def sparse_margins(weights: np.ndarray, features: Column) -> Column:
         out = np.tile(weights[-1], (len(size), 1))
         at, v = term.flatten().to_numpy(), value.flatten().to_numpy()
         full = np.flatnonzero(size)
-        if len(full):
-            first = (np.cumsum(size) - size)[full]
-            out[full] += np.add.reduceat(v[:, None] * weights[at], first)
+        ends = np.cumsum(size)
+        # some rows at a time: the products take entries x columns numbers
+        part = ends[full] // entries
+        for rows in np.split(full, np.flatnonzero(np.diff(part)) + 1):
+            if len(rows):
+                low, high = ends[rows[0]] - size[rows[0]], ends[rows[-1]]
+                out[rows] += np.add.reduceat(
+                    v[low:high, None] * weights[at[low:high]], ends[rows] - size[rows] - low)
         return pa.FixedSizeListArray.from_arrays(out.ravel(), out.shape[1]).cast(
             pa.list_(pa.float64()))
 
@@ -232,16 +324,14 @@ def calibrated(blocks: DataFrame, weights: np.ndarray, classes: int) -> np.ndarr
     columns = weights.shape[1]
 
     def held(batches):
-        for b in batches:
-            for record in b.to_pylist():
-                block = linear.Block(record)
-                margin = block.margins(weights)
-                model = block.fold[:, None] * classes + np.arange(classes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(model.ravel().astype(np.int32)),
-                     pa.array((block.target[:, None] == np.arange(classes)).ravel()),
-                     pa.array(np.take_along_axis(margin, model, 1).ravel())],
-                    ["model", "hit", "margin"])
+        for block in linear.blocks_of(batches):
+            margin = block.margins(weights)
+            model = block.fold[:, None] * classes + np.arange(classes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(model.ravel().astype(np.int32)),
+                 pa.array((block.target[:, None] == np.arange(classes)).ravel()),
+                 pa.array(np.take_along_axis(margin, model, 1).ravel())],
+                ["model", "hit", "margin"])
 
     rows = blocks.mapInArrow(held, "model int, hit boolean, margin double").persist()
     try:

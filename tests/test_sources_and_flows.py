@@ -194,6 +194,40 @@ def test_tfidf_against_brute_force(spark):
     assert len(got) == sum(len(set(g)) for g in grams)
 
 
+@pytest.mark.parametrize("size, bits", [(1, 2), (5, 3), (12, 4), (12, 20), (1000, 3)])
+def test_vocabulary_is_exact_in_any_buckets(spark, monkeypatch, size, bits):
+    """A few buckets, so that rare terms share theirs with frequent ones, and a last scan is needed."""
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(models, "BUCKET_BITS", bits)
+    monkeypatch.setattr(models, "BUCKET_PARTS", 2)
+    monkeypatch.setattr(models, "WORDS_AT_ONCE", 7)
+    rnd = random.Random(size)
+    docs = [" ".join(rnd.choice(["aa", "bb", "Zü", "x", "dd", f"w{rnd.randrange(40)}"])
+                     for _ in range(rnd.randrange(12))) for _ in range(60)] + ["", None]
+    tokens = [[w for w in (d or "").lower().split() if len(w) > 1] for d in docs]
+    grams = [t + [" ".join(p) for p in zip(t, t[1:])] for t in tokens]
+    tf, df = Counter(t for g in grams for t in g), Counter(t for g in grams for t in set(g))
+    want = sorted(tf, key=lambda t: (-tf[t], t.encode()))[:size]
+    rows = spark.createDataFrame([(d,) for d in docs], "text string").repartition(3)
+    got = models.vocabulary(rows.select(models.words(F.col("text")).alias("words")), size).collect()
+    assert [(r["term"], r["tf"], r["df"]) for r in got] == [(t, tf[t], df[t]) for t in want]
+
+
+def test_vocabulary_shuffles_no_rare_pairs(spark):
+    import numpy as np
+
+    rows = spark.range(400).select(F.array(
+        F.lit("aa"), F.lit("bb"), F.concat(F.lit("w"), F.col("id")),
+        F.concat(F.lit("v"), F.col("id"))).alias("words"))
+    hashed = rows.select("words", F.transform("words", lambda w: F.xxhash64(w)).alias("hash"))
+    sizes = models._bucket_sizes(hashed)
+    assert sizes.sum() == 400 * 7
+    counted = models.term_counts(hashed, sizes >= np.sort(sizes)[-3]).count()
+    assert 3 <= counted < 30  # of 2,003 terms
+
+
 def test_direction_models(spark):
     import random
 
