@@ -487,7 +487,7 @@ def _label_paths(rows):
 @query("student_regression")
 def student_regression(spark, sf):
     train, val, test = _parts(spark, sf)
-    return flows.distil(_teacher(train), val, test)
+    return flows.distil(stage(_teacher(train), "teacher"), val, test)
 
 
 @query("student_classifier")
