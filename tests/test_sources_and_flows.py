@@ -228,6 +228,27 @@ def test_vocabulary_shuffles_no_rare_pairs(spark):
     assert 3 <= counted < 30  # of 2,003 terms
 
 
+def test_errors_are_derived_once(spark, tmp_path):
+    """What several branches read of the errors is a written table."""
+    from sentivane.operators import errors
+
+    rows = [(i, f"post {i} to the moon but no calls", "en", "web") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(9)],
+                          "doc_id long, toxic int, quality int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    found = entry.queries()["union_errors"](spark, str(tmp_path))
+    assert found.inputFiles() and all("/errors-" in f for f in found.inputFiles())
+    predictions = spark.createDataFrame(
+        [(1, "m", "BULLISH", "BEARISH"), (2, "m", "BULLISH", "BULLISH")],
+        "post_id long, model string, truth string, pred string")
+    posts = spark.createDataFrame([(1, "to the moon"), (2, "x")], "post_id long, text string")
+    told = errors.diagnose(predictions, posts)
+    assert told.inputFiles() and all("/errors-" in f for f in told.inputFiles())
+    assert [(r["post_id"], r["error_category"]) for r in told.collect()] == [(1, "SARCASM_MEMES")]
+
+
 def test_direction_models(spark):
     import random
 
